@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, sharding
+from quillstone.llm import minhash, mixing, quality_fm, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -27,9 +27,27 @@ def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", (F.col("row.size") + 1).alias("size"), "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and the verdict of the n-gram classifier for every document."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factorisation machine's score of every document."""
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_documents": op2_shard_documents,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_minhash": op6_minhash,
+    "op7_quality_fm": op7_quality_fm,
 }
 
 ORACLE_SQL: dict[str, str] = {
