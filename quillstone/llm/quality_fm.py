@@ -190,9 +190,12 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``threshold``, with their own columns."""
-    machine = train(docs, labels, most)
+def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold: float = THRESHOLD, source: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, with their own columns.
+
+    The machine learns from the texts of ``source``, or of ``docs`` itself where none is given.
+    """
+    machine = train(docs if source is None else source, labels, most)
     score = score_with(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

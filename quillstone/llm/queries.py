@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import minhash, mixing, quality_fm, quality_rules, sharding
+from quillstone.llm import decontaminate, minhash, mixing, quality_fm, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -42,12 +42,18 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items found in documents."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_documents": op2_shard_documents,
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash": op6_minhash,
     "op7_quality_fm": op7_quality_fm,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
