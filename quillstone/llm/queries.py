@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, minhash, mixing, quality_fm, quality_rules, sharding
+from quillstone.llm import decontaminate, html_extract, line_dedup, minhash, mixing, quality_fm, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", (F.col("row.size") + 1).alias("size"), "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped from every document, and what is left of it."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and the verdict of the n-gram classifier for every document."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -42,6 +48,11 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test items found in documents."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -50,13 +61,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_documents": op2_shard_documents,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash": op6_minhash,
     "op7_quality_fm": op7_quality_fm,
+    "op8_html_extract": op8_html_extract,
     "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
     "op2_shard_documents": sharding.SHARD_SQL,
+    "op4_line_dedup": line_dedup.LINES_SQL,
 }
