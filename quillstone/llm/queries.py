@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, html_extract, line_dedup, minhash, mixing, quality_fm, quality_rules, sharding
+from quillstone.llm import decontaminate, html_extract, line_dedup, minhash, mixing, pii, quality_fm, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -27,6 +27,19 @@ def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", (F.col("row.size") + 1).alias("size"), "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _base_of(kind: str) -> Column:
+    return F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    number = [F.size(_base_of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", *number, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from every document, and what is left of it."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -61,6 +74,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_documents": op2_shard_documents,
+    "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash": op6_minhash,
