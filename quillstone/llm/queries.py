@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, html_extract, line_dedup, minhash, mixing, pii, quality_fm, quality_rules, sharding
+from quillstone.llm import decontaminate, html_extract, line_dedup, minhash, mixing, pii, quality_fm, quality_rules, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that earlier 20-word windows cover, and what is left."""
+    return substring.find_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_documents": op2_shard_documents,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_fm": op7_quality_fm,
     "op8_html_extract": op8_html_extract,
     "op9_decontaminate": op9_decontaminate,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
