@@ -302,3 +302,27 @@ def sc41(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Customer"), (F.col("c_custkey") % 5).cast("string"), F.lit(", A."), F.when(F.col("c_custkey") % 2 == 0, "; Doe, J.").otherwise("")).alias("authors"))
     n = c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("authors").alias("other"))
     return c.join(n, "c_custkey").select("c_custkey", fuzzy.author_similarity(F.col("authors"), F.col("other")).alias("similarity"))
+
+
+def _verified(spark, sf):
+    """Lines of orders as verified references of suppliers' documents."""
+    c = F.col
+    lines = table(spark, sf, "lineitem").withColumn("no", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")))
+    return lines.select(
+        F.concat(F.lit("S"), c("l_suppkey").cast("string")).alias("source_eid"), c("no").alias("reference_no"), F.concat(F.lit("Title "), c("l_suppkey").cast("string")).alias("source_title"), F.lit(2001).alias("source_year"),
+        F.when(c("l_linenumber") != 3, F.year("l_shipdate")).alias("resolved_year"), F.concat(F.lit("work of "), F.year("l_shipdate").cast("string")).alias("raw_reference"), F.when(c("l_returnflag") == "R", "a gap").otherwise("a work").alias("resolved_title"),
+        F.when(c("l_linestatus") == "O", F.concat(F.lit("Venue "), c("l_linenumber").cast("string"))).otherwise("n/a").alias("journal"), F.when(c("l_quantity") > 49.5, "VALID_DOI_WRONG_REFERENCE").otherwise("VALID_CORRECT").alias("final_status"),
+        F.when((c("l_partkey") % 500 == 0), 404).otherwise(200).alias("http_status"), (c("l_discount") < 0.09).alias("doi_resolves"), (c("l_tax") < 0.07).alias("scopus_linked"),
+    )
+
+
+@query("ag06_document_indicators", """
+WITH r AS (SELECT 'S' || l_suppkey AS source_eid, year(l_shipdate) AS y, CASE WHEN l_linestatus = 'O' THEN 'Venue ' || l_linenumber END AS venue, l_quantity > 49.5 AS wrong, l_partkey % 500 = 0 AS invalid, l_discount < 0.09 AS resolves, l_tax < 0.07 AS linked, l_returnflag = 'R' AS gap FROM lineitem),
+b AS (SELECT source_eid, count(*)::BIGINT AS total_references, count(*) FILTER (WHERE invalid)::BIGINT AS invalid_dois, count(*) FILTER (WHERE wrong)::BIGINT AS discrepancies, round(100.0::DOUBLE * count(*) FILTER (WHERE resolves) / count(*), 1) AS resolving_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE linked) / count(*), 1) AS linked_pct,
+  round(100.0::DOUBLE * count(*) FILTER (WHERE y >= 1996 AND y <= 2002) / count(*) FILTER (WHERE y <= 2002), 1) AS recency_index, CASE WHEN count(*) FILTER (WHERE gap) > count(*) FILTER (WHERE NOT gap) THEN 'CRITIQUE' ELSE 'BACKGROUND' END AS "primary" FROM r GROUP BY 1)
+SELECT *, CASE WHEN invalid_dois >= 3 THEN 'HIGH' WHEN invalid_dois >= 1 OR discrepancies >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CASE WHEN invalid_dois >= 3 THEN 'REQUIRES_REVISION' WHEN invalid_dois >= 1 OR discrepancies >= 2 THEN 'C' WHEN resolving_pct >= 90 AND linked_pct >= 85 THEN CASE WHEN recency_index >= 40 THEN 'A+' ELSE 'A' END WHEN resolving_pct >= 75 OR linked_pct >= 70 THEN 'B' WHEN resolving_pct >= 50 THEN 'C' ELSE 'REQUIRES_REVISION' END AS grade FROM b""")
+def ag06(spark, sf):
+    from quillstone.operators.indicators import document_indicators
+
+    out = document_indicators(_verified(spark, sf))
+    return out.select("source_eid", "total_references", "invalid_dois", "discrepancies", "resolving_pct", "linked_pct", "recency_index", "primary", "risk", "grade")
