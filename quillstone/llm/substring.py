@@ -1,17 +1,21 @@
 """Substring deduplication: words covered by 20-word windows that start earlier elsewhere are removed.
 
 Every window has a minimiser: the least hash of the 8-word runs in it. Equal windows have equal minimisers,
-so a window whose minimiser occurs in one document only can repeat in that document only.
+so windows are dealt to shards by their minimiser, and a shard's index answers for all its windows. Indexes
+cut by document instead would need every document streamed through every shard, at a cost of documents
+times shards.
 
 1. One pass over the texts gives each document's number of words, its digest, its distinct minimisers (about
    one in seven words), and whether it repeats a window itself. Documents with equal words form a class; all
    but the first of a class repeat it whole.
-2. Minimisers of at least two documents are found; only windows with these go on.
-3. Their 128 bits of hash are grouped to the first document with each; later documents lose those windows.
-4. Removed intervals, and what is left, are computed from the whole text again.
-
-A full-text index of each shard that every document is streamed through would answer the same question at
-a cost of documents times shards; here the windows are dealt out by hash instead, once.
+2. Minimisers of at least two documents are found; only windows with these go on, as pieces: the words that
+   neighbouring windows with one minimiser cover.
+3. Each shard joins equal pieces, builds a compressed FM-index (BWT in a wavelet matrix) of the distinct ones
+   and streams these through it by backward search. Every 20-word context's range of suffixes gives the
+   first document with that window; windows of later documents are reported as intervals.
+4. The windows of hot minimisers, those of more than HOT documents, are not gathered in one shard: their
+   hashes are grouped to the first document with each, which combines before the shuffle.
+5. What is left is computed from the whole text again.
 """
 
 from __future__ import annotations
@@ -25,11 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import checkpointed, name
+from quillstone.llm.fm_index import FmIndex
 from quillstone.llm.words import WordHashes, mixed
 
 WINDOW = 20
 RUN = 8
 NO_ID = 2**63 - 1
+#: Documents with a minimiser above which its windows go by their hashes.
+HOT = 4096
+#: Windows in a piece, at most, and words in one index, about.
+PIECE, SHARD_WORDS = 64, 500_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -100,6 +109,101 @@ def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.empty(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate([*ids, np.empty(0, np.int64)]))], names=["w", "doc_id"])
 
 
+def pieces_of(low: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int]]:
+    """(first window, windows) of the runs of wanted windows with one minimiser."""
+    keep = np.isin(low, wanted)
+    if not keep.any():
+        return []
+    cut = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (keep[1:] != keep[:-1]))))
+    runs = zip(cut.tolist(), np.diff(np.append(cut, low.size)).tolist(), strict=True)
+    return [(a + k, min(PIECE, n - k)) for a, n in runs if keep[a] for k in range(0, n, PIECE)]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, shared minimisers) to the distinct pieces of each document: (m, doc_id, start, words)."""
+    hashes = WordHashes()
+    for batch in batches:
+        for part in range(0, batch.num_rows, 250):
+            some = batch.slice(part, 250)
+            m, ids, starts, out = [], [], [], []
+            for doc_id, value, shared in zip(some.column(0).to_pylist(), some.column(1).cast(pa.large_binary()), some.column(2), strict=True):
+                h = hashes.of((value.as_py() or b"").split())
+                low, _ = windows(h)
+                ids32 = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                seen = set()
+                for a, n in pieces_of(low, shared.values.to_numpy().view(np.uint64)):
+                    words = ids32[a : a + n + WINDOW - 1]
+                    key = words.tobytes()
+                    if key not in seen:
+                        seen.add(key)
+                        m.append(int(low[a].view(np.int64)))
+                        ids.append(doc_id)
+                        starts.append(a)
+                        out.append(words)
+            offsets = pa.array(np.concatenate(([0], np.cumsum([w.size for w in out]))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.empty(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), lists], names=["m", "doc_id", "start", "words"])
+
+
+def earlier_in_shard(m: np.ndarray, doc: np.ndarray, start: np.ndarray, words: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, start, windows) of the windows of a shard's pieces that an earlier document has."""
+    size = np.diff(cuts)
+    place = np.arange(words.size) - np.repeat(cuts[:-1], size)
+    h = np.add.reduceat(mixed(words.view(np.uint32).astype(np.uint64) + mixed(place.astype(np.uint64) + np.uint64(1))), cuts[:-1]) + mixed(m.view(np.uint64))
+    order = np.lexsort((start, doc, h))
+    new = np.concatenate(([True], h[order[1:]] != h[order[:-1]]))
+    first = order[new]
+    own = np.empty(doc.size, np.int64)
+    own[order] = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(new), doc.size)))
+    copies = doc != own
+    out = [(doc[copies], start[copies].astype(np.int64), size[copies] - WINDOW + 1)]
+    # Only minimisers with several distinct pieces have anything to tell apart.
+    _, at, n = np.unique(m[first], return_inverse=True, return_counts=True)
+    first = first[n[at] > 1]
+    if first.size:
+        text = np.concatenate([words[cuts[i] : cuts[i + 1]] for i in first])
+        starts = np.concatenate(([0], np.cumsum(size[first])))
+        _, ids = np.unique(text, return_inverse=True)
+        klass = FmIndex(ids, starts, WINDOW).matches(ids, starts)
+        owner = np.repeat(np.arange(first.size), size[first])
+        there = np.flatnonzero(klass >= 0)
+        least = np.full(int(klass.max()) + 1, NO_ID)
+        np.minimum.at(least, klass[there], doc[first][owner[there]])
+        later = there[least[klass[there]] < doc[first][owner[there]]]
+        run = np.flatnonzero(np.concatenate(([True], (np.diff(later) != 1) | (np.diff(owner[later]) != 0)))) if later.size else later
+        piece = owner[later[run]]
+        out.append((doc[first][piece], start[first][piece] + later[run] - starts[piece], np.diff(np.append(run, later.size))))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces sorted by minimiser to intervals of windows: a partition is cut into shards between minimisers."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    total = 0
+
+    def results(end: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, total
+        m, doc, start, words, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        cut = m.size if end else int(np.flatnonzero(m == m[-1])[0])
+        cuts = np.concatenate(([0], np.cumsum(size)))
+        if cut:
+            found = earlier_in_shard(m[:cut], doc[:cut], start[:cut], words[: cuts[cut]], cuts[: cut + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["doc_id", "start", "windows"])
+        held = [(m[cut:], doc[cut:], start[cut:], words[cuts[cut] :], size[cut:])]
+        total = int(cuts[-1] - cuts[cut])
+
+    for batch in batches:
+        if batch.num_rows:
+            lists = batch.column(3)
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), lists.flatten().to_numpy(), size))
+            total += int(size.sum())
+            if total >= SHARD_WORDS:
+                yield from results(False)
+    if held and total:
+        yield from results(True)
+
+
 def repeated(whole: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     """Which windows are in ``earlier`` or start before in the same document."""
     out = np.isin(whole, earlier)
@@ -130,14 +234,17 @@ INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, windows that start earlier elsewhere) to (doc_id, sha, intervals, kept_sha256)."""
+    """(doc_id, text, spans and hashes of windows that start earlier elsewhere) to (doc_id, sha, intervals, kept_sha256)."""
     hashes = WordHashes()
     for batch in batches:
         sha, spans, kept = [], [], []
-        for value, earlier in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
+        for value, found, earlier in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), batch.column(3), strict=True):
             words = (value.as_py() or b"").split()
             _, whole = windows(hashes.of(words))
-            cut = intervals_of(np.flatnonzero(repeated(whole, earlier.values.to_numpy().view(np.uint64) if earlier.is_valid else whole[:0])))
+            gone = repeated(whole, earlier.values.to_numpy().view(np.uint64))
+            for f in found.as_py():
+                gone[f["start"] : f["start"] + f["windows"]] = True
+            cut = intervals_of(np.flatnonzero(gone))
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             spans.append([{"start": a, "end": b} for a, b in cut])
             kept.append(hashlib.sha256(b" ".join(cut_out(words, cut))).hexdigest())
@@ -159,15 +266,19 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     firsts = read.filter("doc_id = first")
 
     holders = firsts.select(F.explode("mins").alias("m"), "doc_id").repartition("m")
-    shared = holders.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("m")
-    shared = holders.join(shared, "m").groupBy("doc_id").agg(F.collect_list("m").alias("shared"))
-    held = slim.join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(_shared_windows, "w long, doc_id long").repartition("w")
+    shared = holders.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).filter("a < z").select("m", (F.col("n") > HOT).alias("hot"))
+    shared = holders.join(shared, "m").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("m"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("m"))).alias("hot"))
+    texts = slim.join(shared, "doc_id")
+    pieces = texts.filter("size(cool) > 0").select("doc_id", "text", "cool").mapInArrow(_pieces, "m long, doc_id long, start int, words array<int>")
+    spans = pieces.repartition("m").sortWithinPartitions("m").mapInArrow(_search_shards, "doc_id long, start long, windows long")
+    held = texts.filter("size(hot) > 0").select("doc_id", "text", "hot").mapInArrow(_shared_windows, "w long, doc_id long")
     earlier = held.groupBy("w").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("z")).filter("at < z").select("w", "at")
-    earlier = held.join(earlier, "w").filter("doc_id <> at").groupBy("doc_id").agg(F.collect_list("w").alias("earlier"))
+    earlier = held.join(earlier, "w").filter("doc_id <> at").select("doc_id", "w")
 
-    own = firsts.filter("own").select("doc_id").distinct().withColumn("own", F.lit(True))
-    changed = earlier.join(own, "doc_id", "full_outer").select("doc_id", "earlier")
-    changed = slim.join(changed, "doc_id").select("doc_id", "text", "earlier").mapInArrow(_changes, "doc_id long, sha string, intervals array<struct<start: long, end: long>>, kept_sha256 string").dropDuplicates(["doc_id", "sha"])
+    own = firsts.filter("own").select("doc_id")
+    changed = spans.select("doc_id", F.struct("start", "windows").alias("span")).unionByName(earlier, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
+    changed = changed.groupBy("doc_id").agg(F.collect_list("span").alias("spans"), F.collect_list("w").alias("earlier"))
+    changed = slim.join(changed, "doc_id").select("doc_id", "text", "spans", "earlier").mapInArrow(_changes, "doc_id long, sha string, intervals array<struct<start: long, end: long>>, kept_sha256 string").dropDuplicates(["doc_id", "sha"])
     out = read.select("doc_id", "n_words", "sha", "first").join(changed, ["doc_id", "sha"], "left")
     copy = F.col("first") < F.col("doc_id")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))

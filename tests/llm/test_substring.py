@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from quillstone.llm import substring
 from quillstone.llm.substring import find_repeats
 
 
@@ -47,6 +48,27 @@ def test_passages_in_random_documents(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_small_shards_and_hot_minimisers(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    passages = [[rng.choice(vocabulary) for _ in range(n)] for n in (22, 40, 90, 40)]
+    rows = []
+    for d in range(120):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        for p in rng.sample(passages, rng.randrange(3)):
+            p = list(p)
+            if rng.random() < 0.5:
+                p[rng.randrange(len(p))] = "edit"
+            w += p + [rng.choice(vocabulary) for _ in range(rng.randrange(10))]
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, words, piece in ((10, 400, 64), (1, 400, 64), (4096, 100, 3), (30, 10**6, 1)):
+        monkeypatch.setattr(substring, "HOT", hot)
+        monkeypatch.setattr(substring, "SHARD_WORDS", words)
+        monkeypatch.setattr(substring, "PIECE", piece)
+        assert found(df) == brute(rows), (hot, words, piece)
+
+
 def test_odd_rows(odd, none):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in find_repeats(odd).collect()}
     assert {(2, 0, 0), (3, 0, 0), (4, 0, 0), (7, 30_000, 29_999), (8, 1, 0)} <= got
