@@ -16,6 +16,7 @@ YEAR_AT_END = r"(?i)\(\s*(?:18|19|20)\d{2}[a-z]?\s*\)\s*$"
 YEAR_ANYWHERE = r"(?i)\(\s*((?:18|19|20)\d{2})[a-z]?\s*\)"
 YEAR_BARE = r"\b((?:18|19|20)\d{2})\b"
 AUTHOR_START = r"^[A-Z][a-zA-Z\-']{1,25}\s+(?:[A-Z]\.?){1,3}(?:;|,|\.|\s)"
+AUTHOR_DATE = r"[A-ZÀ-ɏ][A-Za-zÀ-ɏ'-]+,\s+(?:[A-Z]\.[ -]?){1,4}[^()\n]{0,200}\((?:18|19|20)\d{2}[a-z]?\)"
 LINK_AT_END = r"(?i)(?:https?://\S+|doi:\s*\S+|10\.\d{4,9}/\S+)\s*$"
 JOURNAL_CUE = r"(?i)\b(?:pp\.|pages|vol\.|volume|no\.)"
 PAGES = r"(?i)\bpp?\.?\s*([A-Za-z]?\d+(?:\s*[-–—]\s*[A-Za-z]?\d+)?)"
@@ -102,6 +103,7 @@ def split_bibliography(text: Column) -> Column:
         (F.regexp_count(t, F.lit(r"(?:^|[\s.>)\]\"”’])\[\d{1,3}\]\s*(?=[A-ZÀ-ɏ\"“])")) >= 2, parts(r"(?=(?:^|(?<=[\s.>)\]\"”’]))\[\d{1,3}\]\s*[A-ZÀ-ɏ\"“])", 15)),
         (F.slice(F.regexp_extract_all(t, F.lit(r"(?m)^\s*(\d+)\.\s+"), F.lit(1)), 1, 2) == F.array(F.lit("1"), F.lit("2")), parts(r"(?m)(?=^\s*\d+\.\s+)", 15)),
         (F.regexp_count(t, F.lit(r"(?m)^\s*\(\d+\)\s+")) >= 2, parts(r"(?m)(?=^\s*\(\d+\)\s+)", 15)),
+        (F.regexp_count(t, F.lit(AUTHOR_DATE)) >= 2, parts(rf"(?<=[a-z0-9)]\.)\s+(?={AUTHOR_DATE})", 20)),
         (t.rlike(r"\n\s*\n"), parts(r"\n\s*\n+", 20)),
         (t.contains(";"), parts(";", 15)),
         (t.contains("\n"), parts("\n", 25)),

@@ -55,6 +55,18 @@ def primary_category(df: DataFrame, key: str, category: str, position: str) -> D
     return per.groupBy(key).agg(best.alias("primary"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(category, "n")))).alias("distribution"))
 
 
+def audit_indicators(refs: DataFrame, key: str, cited: str, venue: str, order: str, current_year: int = 2026, top: int = 5) -> DataFrame:
+    """The second set of indicators, of a single audit: cited years up to the current one, the top venues, risk
+    left to its own rule. It differs from ``recency`` on purpose and is not to be mixed with it."""
+    y = F.when(F.col(cited).between(1900, current_year), F.col(cited))
+    share = F.coalesce(F.round(100 * F.count_if(y >= current_year - 5) / F.nullif(F.count(y), F.lit(0)), 1), F.lit(0.0))
+    base = refs.groupBy(key).agg(share.alias("recency_index"), F.round(F.greatest(F.lit(0.0), current_year - F.median(y)), 1).alias("median_age"), F.count("*").alias("n_references"))
+    per = refs.filter(F.coalesce(F.col(venue), F.lit("")) != "").groupBy(key, venue).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
+    ranked = per.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "seen"))).filter(F.col("k") <= top)
+    venues = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", venue))), lambda x: x[venue]).alias("top_venues"))
+    return base.join(venues, key, "left")
+
+
 def risk(invalid: Column, discrepancies: Column) -> Column:
     """HIGH with three invalid or more, MEDIUM with any invalid or discrepancy, else LOW."""
     return F.when(invalid >= 3, "HIGH").when((invalid >= 1) | (discrepancies >= 1), "MEDIUM").otherwise("LOW")

@@ -326,3 +326,34 @@ def ag06(spark, sf):
 
     out = document_indicators(_verified(spark, sf))
     return out.select("source_eid", "total_references", "invalid_dois", "discrepancies", "resolving_pct", "linked_pct", "recency_index", "primary", "risk", "grade")
+
+
+@query("sc97_canonical_hash", """
+SELECT p_partkey, sha256('{"a":{"size":' || p_size || ',"type":"' || p_type || '"},"brand":"' || p_brand || '","note":' || CASE WHEN p_size > 25 THEN '"n"' ELSE 'null' END || ',"tags":["x","' || p_brand || '"]}') AS content_hash FROM part""")
+def sc97(spark, sf):
+    from quillstone.functions.canonical import content_hash
+
+    c = F.col
+    rows = table(spark, sf, "part").select("p_partkey", F.struct(
+        F.array(F.lit("x"), c("p_brand")).alias("tags"), F.when(c("p_size") > 25, "n").alias("note"), c("p_brand").alias("brand"), F.lit("now").alias("generated_at"), F.struct(c("p_type").alias("type"), c("p_size").alias("size")).alias("a"),
+    ).alias("r"))
+    return rows.select("p_partkey", content_hash(c("r"), rows.schema["r"].dataType).alias("content_hash"))
+
+
+@query("wn08_claim_clusters")
+def wn08(spark, sf):
+    """Turns of conversations by role, near-equal ones under the first."""
+    from quillstone.operators.clustering import claim_clusters
+
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 200).alias("claim"))
+    return claim_clusters(c, ["conv_id", "role"], "turn", "claim").select("conv_id", "role", "turn", "cluster")
+
+
+@query("ag15_audit_indicators", """
+WITH r AS (SELECT o_custkey, year(o_orderdate) AS y, o_orderpriority AS v, o_orderkey FROM orders), p AS (SELECT o_custkey, v, count(*) AS n, min(o_orderkey) AS seen FROM r GROUP BY ALL),
+t AS (SELECT o_custkey, string_agg(v, '|' ORDER BY k) AS top_venues FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, seen) AS k FROM p) WHERE k <= 5 GROUP BY 1)
+SELECT o_custkey, coalesce(round(100.0::DOUBLE * count(*) FILTER (WHERE y BETWEEN 1994 AND 1999) / nullif(count(*) FILTER (WHERE y <= 1999), 0), 1), 0) AS recency_index, round(greatest(0.0::DOUBLE, 1999 - median(y) FILTER (WHERE y <= 1999)), 1) AS median_age, count(*)::BIGINT AS n_references, any_value(top_venues) AS top_venues FROM r JOIN t USING (o_custkey) GROUP BY 1""")
+def ag15(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), "o_orderpriority", "o_orderkey")
+    out = aggregates.audit_indicators(o, "o_custkey", "y", "o_orderpriority", "o_orderkey", current_year=1999)
+    return out.withColumn("top_venues", F.array_join("top_venues", "|"))
