@@ -357,3 +357,68 @@ def ag15(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), "o_orderpriority", "o_orderkey")
     out = aggregates.audit_indicators(o, "o_custkey", "y", "o_orderpriority", "o_orderkey", current_year=1999)
     return out.withColumn("top_venues", F.array_join("top_venues", "|"))
+
+
+@query("tvf20_container_facts", """
+SELECT s_suppkey, 'nvidia/cuda:12.' || s_nationkey || '.1-cudnn8-runtime-ubuntu22.04' AS base_image, '12.' || s_nationkey || '.1' AS cuda_version, '8' AS cudnn_version, 'ubuntu' AS os_name, '22.04' AS os_version, '/app' || s_suppkey AS working_directory, 'TOKEN,MODE' AS variables, 'git,curl,numpy==1.' || s_nationkey AS packages FROM supplier""")
+def tvf20(spark, sf):
+    from quillstone.functions.environment import container_facts
+
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    content = F.concat(F.lit("# base\nFROM nvidia/cuda:12."), n, F.lit(".1-cudnn8-runtime-ubuntu22.04 AS b\nENV TOKEN=abc\nARG MODE\nWORKDIR /app"), k, F.lit("\nRUN apt-get update && apt-get install -y git \\\n    curl\nRUN pip install numpy==1."), n, F.lit(" -r requirements.txt\n"))
+    r = table(spark, sf, "supplier").select("s_suppkey", container_facts(content).alias("f"))
+    return r.select("s_suppkey", "f.base_image", "f.cuda_version", "f.cudnn_version", "f.os_name", "f.os_version", "f.working_directory", F.array_join("f.variables", ",").alias("variables"), F.array_join("f.packages", ",").alias("packages"))
+
+
+@query("tvf21_documentation_facts", """
+SELECT s_suppkey, 'python' AS category, '3.' || s_nationkey AS value, 1::INTEGER AS line_no FROM supplier UNION ALL SELECT s_suppkey, 'cuda', '11.8', 1 FROM supplier UNION ALL SELECT s_suppkey, 'memory', (8 + s_nationkey) || ' GB', 2 FROM supplier UNION ALL SELECT s_suppkey, 'gpu', '4 x A100', 2 FROM supplier""")
+def tvf21(spark, sf):
+    from quillstone.functions.environment import documentation_facts
+
+    doc = F.concat(F.lit("Needs Python >= 3."), F.col("s_nationkey").cast("string"), F.lit(" and CUDA 11.8\nWith "), (8 + F.col("s_nationkey")).cast("string"), F.lit(" GB of RAM on 4 x A100 cards\nNothing else"))
+    return documentation_facts(table(spark, sf, "supplier").select("s_suppkey", doc.alias("doc")), "s_suppkey", "doc").select("s_suppkey", "category", "value", "line_no")
+
+
+@query("tvf27_environment_scope", """
+SELECT p_name, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE 'GLOBAL' END AS scope, count(DISTINCT p_type)::BIGINT AS n_experiments FROM part GROUP BY 1""")
+def tvf27(spark, sf):
+    """Evidence of one experiment is that experiment's; what several share is global."""
+    return table(spark, sf, "part").groupBy("p_name").agg(F.when(F.count_distinct("p_type") == 1, F.min("p_type")).otherwise("GLOBAL").alias("scope"), F.count_distinct("p_type").alias("n_experiments"))
+
+
+@query("tvf28_readme_evidence", """
+WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(lower(x), 'license')) AS hits FROM documents)
+SELECT doc_id, array_to_string(hits[1:2], ' / ') AS evidence FROM l WHERE len(hits) > 0""")
+def tvf28(spark, sf):
+    hits = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(x).contains("license")), 1, 2)
+    return table(spark, sf, "documents").select("doc_id", hits.alias("h")).filter(F.size("h") > 0).select("doc_id", F.array_join("h", " / ").alias("evidence"))
+
+
+@query("tvf24_evidence_requirements", """
+SELECT doc_id, 'TEXT' AS requirement, 'documents' AS origin FROM documents WHERE n_chars > 3000 UNION ALL SELECT doc_id, 'REVIEW', 'labels' FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'QUALITY', 'labels' FROM labels WHERE quality = 0""")
+def tvf24(spark, sf):
+    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    one = lambda df, what, where: df.select("doc_id", F.lit(what).alias("requirement"), F.lit(where).alias("origin"))
+    return one(d.filter("n_chars > 3000"), "TEXT", "documents").unionByName(one(lab.filter("toxic = 1"), "REVIEW", "labels")).unionByName(one(lab.filter("quality = 0"), "QUALITY", "labels"))
+
+
+@query("jn25_batch_fetch", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def jn25(spark, sf):
+    ids = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey", "c_name").join(ids, "c_custkey", "left_semi")
+
+
+@query("dm06_terminal_violations", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0")
+def dm06(spark, sf):
+    from quillstone.operators import state
+
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.md5(F.col("o_custkey").cast("string")).alias("content"))
+    new = o.withColumn("content", F.when(F.col("o_orderkey") % 5 == 0, "changed").otherwise(F.col("content")))
+    return state.terminal_violations(o, new, "o_orderkey", "status", ["F"], "content").select("o_orderkey")
+
+
+@query("dm14_idempotent_diagnostics", "SELECT event_id FROM events WHERE event_type = 'click' AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 4 = 0)")
+def dm14(spark, sf):
+    """Diagnostics without a test yet: evaluating again adds nothing."""
+    e = table(spark, sf, "events")
+    return e.filter("event_type = 'click'").select("event_id").join(e.filter("event_id % 4 = 0").select("event_id"), "event_id", "left_anti")
