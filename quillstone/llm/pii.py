@@ -25,7 +25,7 @@ from quillstone.llm.common import checkpointed, name
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "person")
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,7 +36,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Wider patterns for candidates.
 AT_WORD = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[A-Za-z0-9-]++)+", re.I)
-LOCAL_PHONE = re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ .-][0-9]{2,5}){2,4}(?![\w.-]?[0-9])")
+LOCAL_PHONE = re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ .-][0-9]{2,5}){2,4}(?![\w.-]?[0-9])")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|AKIA[A-Z0-9]{16}|(?:gh[pousr]|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16,128})(?![A-Za-z0-9])")
 TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? (?:[A-Z][a-zà-ÿ]{1,20})(?: [A-Z][a-zà-ÿ]{1,20}){0,2}")
 #: Cheap signs without which a pattern cannot match.

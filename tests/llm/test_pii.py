@@ -56,6 +56,13 @@ def test_spans_of_a_table(spark):
     assert not {d for d, *_ in got} & {3, 4, 5}
 
 
+def test_a_number_that_runs_into_another():
+    text = "call +1 (826) 555-4081 190.137.2.4 now, not v1.2.3 or 12345"
+    base = pii.base_spans(text)
+    assert [(k, text[a:b]) for a, b, k in base] == [("ip", "190.137.2.4")]
+    assert [(k, text[a:b]) for a, b, k in pii.candidates(text, base)] == [("phone", "+1 (826) 555-4081")]
+
+
 def test_odd_rows(odd, none):
     assert pii.find_personal_data(odd).count() == 10
     assert pii.find_personal_data(none).count() == 0
