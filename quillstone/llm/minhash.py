@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
     # A member with several centres is joined to the least of them, and so are the others, which are few.
     centres = buckets.join(shared, "key").groupBy("rep").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
-    stars = centres.select("a", F.col("rep").alias("b")).union(centres.select("a", F.explode("others").alias("b"))).filter("a <> b").distinct()
+    ends = F.array_union(F.array("rep"), F.col("others"))
+    stars = centres.select("a", F.explode(ends).alias("b")).filter("a <> b").distinct()
     groups = components(stars)
 
     blocks = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))

@@ -9,7 +9,7 @@ import xxhash
 class WordHashes(dict):
     """64-bit hashes by word, kept for the words seen last."""
 
-    most = 400_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
