@@ -47,3 +47,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a checkpointed table, at most, with which it is broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed table, broadcast if its counted rows allow it; else adaptive execution joins it as it is."""
+    return F.broadcast(df) if df.count() <= rows else df

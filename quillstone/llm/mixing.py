@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import name, row_hash, seeded_hash, whole_row, word_count
+from quillstone.llm.common import checkpointed, name, row_hash, seeded_hash, small, whole_row, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -71,7 +71,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .withColumn("h", seeded_hash(seed, F.col("doc_id")))
     )
     key = ["src_null", "src"]
-    classes = base.groupBy(*key, "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    classes = checkpointed(base.groupBy(*key, "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     along = Window.partitionBy(*key).orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     rows_in_cell = F.greatest(F.lit(CELL_ROWS), F.ceil(F.col("n") / MOST_CELLS))
     classes = (
@@ -79,9 +79,11 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .withColumn("cells", F.ceil(F.col("n") / rows_in_cell))
         .join(targets(classes.groupBy(*key).agg(F.sum("words").alias("source_size")), weights, share, cap), key)
     )
+    # Sources times size classes: few rows, counted before they are broadcast.
+    classes = small(checkpointed(classes.select(*key, "class", "cells", "class_start", "source_size", "target")))
     cell_of = F.expr("shiftright(h * cells, 32)").alias("cell")
-    put = base.join(classes.select(*key, "class", "cells", "class_start", "source_size", "target"), [*key, "class"]).withColumn("cell", cell_of)
-    cells = base.select(*key, "class", "h").join(classes.select(*key, "class", "cells"), [*key, "class"]).withColumn("cell", cell_of)
+    put = base.join(classes, [*key, "class"]).withColumn("cell", cell_of)
+    cells = base.select(*key, "class", "h").join(classes, [*key, "class"]).withColumn("cell", cell_of)
     cells = cells.groupBy(*key, "class", "cell").agg(F.count("*").alias("n"))
     along = Window.partitionBy(*key, "class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*key, "class", "cell", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("cell_start"))
