@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import name, row_hash, seeded_hash, whole_row
+from quillstone.llm.common import checkpointed, name, row_hash, seeded_hash, small, whole_row
 
 SHARDS = 8
 SEED = "shard-1"
@@ -38,10 +38,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     key = ["src_null", "src"]
     rows_in_cell = F.greatest(F.lit(CELL_ROWS), F.ceil(F.col("n") / MOST_CELLS))
     cells_of = F.ceil(F.col("n") / rows_in_cell)
-    sources = base.groupBy(*key).agg(F.count("*").alias("n")).withColumn("cells", cells_of)
+    sources = checkpointed(base.groupBy(*key).agg(F.count("*").alias("n")).withColumn("cells", cells_of))
     cell = F.expr("shiftright(h * cells, 32)").alias("cell")
-    put = base.join(sources, key).withColumn("cell", cell)
-    cells = base.select(*key, "h").join(sources, key).groupBy(*key, "n", cell).agg(F.count("*").alias("rows"))
+    known = small(sources)
+    put = base.join(known, key).withColumn("cell", cell)
+    cells = base.select(*key, "h").join(known, key).groupBy(*key, "n", cell).agg(F.count("*").alias("rows"))
     along = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*key, "n", "cell", "rows", F.coalesce(F.sum("rows").over(along), F.lit(0)).alias("start"))
     within = Window.partitionBy(*key, "cell").orderBy("h", "doc_id", "tie")
