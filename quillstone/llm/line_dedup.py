@@ -196,7 +196,7 @@ def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     """
     # Read back, both sides of the join are plain exchanges, which adaptive execution splits at a hot key.
     repeated = postings(docs).join(checkpointed(index.repeated()), ["k1", "k2"]).filter("doc_id <> first")
-    drops = repeated.select("doc_id", "k1", "k2").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
+    drops = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
     rows = _with_id(docs).join(drops, "doc_id", "left").select("doc_id", "text", "keys")
     out = rows.mapInArrow(_without, "doc_id long, n_lines long, n_dropped long, text string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
