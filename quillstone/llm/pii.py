@@ -37,13 +37,14 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Wider patterns for candidates.
 AT_WORD = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[A-Za-z0-9-]++)+", re.I)
 LOCAL_PHONE = re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ .-][0-9]{2,5}){2,4}(?![\w.-]?[0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|AKIA[A-Z0-9]{16}|(?:gh[pousr]|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16,128})(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,}+|AKIA[A-Z0-9]{16}|(?:gh[pousr]|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])")
 TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? (?:[A-Z][a-zà-ÿ]{1,20})(?: [A-Z][a-zà-ÿ]{1,20}){0,2}")
 #: Cheap signs without which a pattern cannot match.
 AT_SIGN = re.compile(r"[\[({] ?at ?[\])}]", re.I)
 DIGIT = re.compile(r"[0-9]")
 TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor")
-LONG_WORD = 20
+#: The shortest secret has as many characters: sk- or pk- and 16 more.
+LONG_WORD = 19
 
 #: Gazetteers: ends of domains, country calling codes by first digits, issuer prefixes, common given names.
 DOMAIN_ENDS = frozenset("com org net edu gov info biz io de fr es it nl eu uk us ca au ch at be pl se no dk fi pt br mx ar jp cn in ru".split())

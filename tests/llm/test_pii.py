@@ -67,3 +67,11 @@ def test_odd_rows(odd, none):
     assert pii.find_personal_data(odd).count() == 10
     assert pii.find_personal_data(none).count() == 0
     assert pii.mask("a b@c.de f", [{"kind": "email", "start": 2, "end": 8}]) == "a <EMAIL> f"
+
+
+def test_secrets_of_any_length():
+    found = lambda t: [(k, t[a:b]) for a, b, k in pii.candidates(t, []) if k == "secret"]
+    short, hexes, key = "sk-" + "a1B2" * 4, "0a1b2c3d" * 25, "sk-proj-" + "aB3_x-9Z" * 20
+    for secret in (short, "pk_" + "a1B2" * 4, hexes, key):
+        assert found(f"use {secret} here") == [("secret", secret)]
+    assert found("use sk-a1B2a1B2a1B2a1B here") == found(f"use {hexes}g here") == []
