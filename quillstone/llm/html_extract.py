@@ -20,6 +20,8 @@ from quillstone.llm.common import name
 
 #: Elements whose content is no text at all, up to their end tag.
 RAW = frozenset("script style noscript template iframe object svg canvas math audio video textarea select title".split())
+#: Where each ends; only ASCII letters have another case here, so no lower-cased copy of a page is needed.
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -118,7 +120,6 @@ class _State:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of text of a page, in order."""
     s, at, size = _State(), 0, len(page)
-    lower = None
     while at < size:
         m = TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -137,9 +138,8 @@ def blocks_of(page: str) -> list[Block]:
             s.parts.append(" ")
         elif tag in RAW:
             if not closing and not attributes.endswith("/"):
-                lower = lower if lower is not None else page.lower() if len(page.lower()) == size else page
-                end = lower.find("</" + tag, at)
-                at = size if end < 0 else end
+                end = RAW_END[tag].search(page, at)
+                at = end.start() if end else size
             continue
         if tag in BLOCK:
             s.flush()

@@ -41,3 +41,9 @@ def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (None, None, "", "x"), (1, "u", "<main>é 😀", "x"), (1, "u", "<main>é 😀", "x")], "page_id long, url string, html string, n_chars string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract(rows).collect()) == [(0, "", 0), (1, "", 0), (1, "é 😀", 3), (1, "é 😀", 3)]
     assert extract(rows.filter("false")).count() == 0
+
+
+def test_end_tags_of_pages_that_change_length_in_lower_case():
+    page = f"<body><ARTICLE><P>İ {TEXT}</P><SCRIPT>var a = 1;</SCRIPT><STYLE>p{{}}</Style><P>{TEXT}</P></ARTICLE>"
+    assert len(page.lower()) != len(page)
+    assert main_text(page) == f"İ {TEXT}\n\n{TEXT}"
