@@ -11,12 +11,15 @@ exhaustive above the threshold and skips by upper bounds, as block-max WAND does
 
 A retrieved item counts when enough word n-grams of both its question and its answer stand in the passage.
 Passages are windows of twice the longest item, each starting one item length after the last, so every
-occurrence lies within one. Items are indexed in shards of bounded count and like length, a pass each.
+occurrence lies within one. Items are indexed in shards of bounded count and like length, a pass each; document
+frequencies, item count and mean length are those of the whole benchmark and the longest item that of the length
+class, so how a class is cut into shards changes no score and no passage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import name
+from quillstone.llm.common import checkpointed, name
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -52,14 +55,24 @@ def parts_of(words: list[bytes]) -> list[set[tuple[bytes, ...]]]:
     return [{tuple(p[i : i + GRAM]) for i in range(max(1, len(p) - GRAM + 1))} for p in parts]
 
 
+@dataclass
+class Whole:
+    """What a shard has to know of all items: their count, mean length and document frequencies, and the longest of its class."""
+
+    items: int
+    mean: float
+    df: dict[bytes, int]
+    longest: int
+
+
 class Index:
-    """One shard's lists, block maxima and bounds."""
+    """One shard's lists, block maxima and bounds. Without ``whole`` its items are all there are."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
+    def __init__(self, items: list[tuple[int, list[bytes]]], whole: Whole | None = None):
         self.ids = [i for i, _ in items]
         self.parts = [parts_of(w) for _, w in items]
         self.grams = [[min(GRAM, len(next(iter(p)))) for p in q] for q in self.parts]
-        self.longest = max(len(w) for _, w in items)
+        self.longest = whole.longest if whole else max(len(w) for _, w in items)
         self.vocabulary: dict[bytes, int] = {}
         lengths = np.array([len(w) for _, w in items], float)
         t, d, f = [], [], []
@@ -71,8 +84,10 @@ class Index:
         term, item, tf = np.concatenate(t), np.concatenate(d), np.concatenate(f).astype(float)
         n = len(self.vocabulary)
         df = np.bincount(term, minlength=n)
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+        count, mean = (whole.items, whole.mean) if whole else (len(items), lengths.mean())
+        of_all = np.array([whole.df[t] for t in self.vocabulary], float) if whole else df
+        idf = np.log(1 + (count - of_all + 0.5) / (of_all + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
         weight /= np.bincount(item, weight)[item]
         order = np.lexsort((item, term))
         self.item, self.weight = item[order], weight[order]
@@ -152,21 +167,38 @@ class Index:
 
 
 def shards(benchmark: DataFrame) -> Iterator[Index]:
-    """The indexes of a benchmark (item_id, text): one for each length class and SHARD_ITEMS items.
+    """The indexes of a benchmark (item_id, text): one for each length class and SHARD_ITEMS items or so.
 
-    Items without words are left out; a null text has none.
+    Equal items are one. Items without words are left out; a null text has none. Of the whole benchmark the driver
+    has only the counts by class; items and the frequencies of their terms come shard by shard.
     """
     n = F.length(F.bin(F.size(F.split(F.coalesce(name("text"), F.lit("")), r"\s+"))))
-    rows = benchmark.select(name("item_id").cast("long").alias("item_id"), name("text").alias("text"), n.alias("length_class"))
-    counts = rows.groupBy("length_class").count().collect()
-    for length_class, count in sorted((r.length_class, r["count"]) for r in counts):
-        of_class, cuts = rows.filter(F.col("length_class") == length_class), -(-count // SHARD_ITEMS)
+    distinct = benchmark.select(name("item_id").cast("long").alias("item_id"), name("text").alias("text"), n.alias("length_class")).distinct()
+    rows = checkpointed(distinct.mapInArrow(_with_terms, "item_id long, text string, length_class long, n_terms long, terms array<string>"))
+    classes = sorted(map(tuple, rows.groupBy("length_class").agg(F.count("*"), F.sum("n_terms"), F.max("n_terms")).collect()))
+    count, total = sum(c for _, c, _, _ in classes), sum(t for *_, t, _ in classes)
+    frequencies = checkpointed(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    for length_class, of_class, _, longest in classes:
+        cuts = -(-of_class // SHARD_ITEMS)
         for k in range(cuts):
-            part = of_class if cuts == 1 else of_class.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == k)
-            items = sorted(((r.item_id is None, r.item_id or 0, r.text or "") for r in part.collect()))
-            items = [(None if null else i, w) for null, i, t in items if (w := terms_of(t))]
-            if items:
-                yield Index(items)
+            part = rows.filter(F.col("length_class") == length_class)
+            part = part if cuts == 1 else part.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == k)
+            items = sorted((r.item_id is None, r.item_id or 0, r.text) for r in part.select("item_id", "text").collect())
+            if not items:
+                continue
+            own = part.select(F.explode("terms").alias("term")).distinct().join(frequencies, "term")
+            df = {r.term.encode(): r.df for r in own.collect()}
+            yield Index([(None if null else i, terms_of(t)) for null, i, t in items], Whole(count, total / count, df, longest))
+
+
+def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items that have words, with the count of their words and the distinct ones."""
+    for batch in batches:
+        words = [terms_of(t.as_py()) for t in batch.column(1)]
+        kept = batch.filter(pa.array([bool(w) for w in words], pa.bool_()))
+        words = [w for w in words if w]
+        columns = [kept.column(0), kept.column(1), kept.column(2).cast(pa.int64()), pa.array(map(len, words), pa.int64()), pa.array([[t.decode() for t in dict.fromkeys(w)] for w in words], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["item_id", "text", "length_class", "n_terms", "terms"])
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -176,7 +208,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score and the two overlaps.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Null and blank texts of either hold
-    nothing and are found in nothing. Repeated rows are each searched; without items the result is empty.
+    nothing and are found in nothing. Repeated documents are each searched, repeated items once; without items
+    the result is empty.
     """
     slim = docs.select(name("doc_id").cast("long").alias("doc_id"), name("text").alias("text"))
 

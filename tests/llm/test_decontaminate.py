@@ -53,3 +53,21 @@ def test_odd_rows(spark, odd, none):
     assert sorted((r.doc_id or 0) for r in d.find_leaks(odd, bench).collect()) == [0, 1, 5, 5]
     assert d.find_leaks(none, bench).count() == 0 and d.find_leaks(odd, bench.filter("false")).count() == 0
     assert d.drop_leaks(odd, bench).columns == odd.columns and d.drop_leaks(odd, bench).count() == 6
+
+
+def test_cutting_into_shards_changes_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.5))}" for _ in range(800)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(34, 60)))) for i in range(24)]
+    edited = lambda t, n: " ".join(["new"] * n + t.split()[n:])
+    text = lambda: " ".join(rng.choice(words) for _ in range(100))
+    docs = [(i, f"{text()} {edited(t, i % 9)} {text()}") for i, t in items]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = d.Index([(i, d.terms_of(t)) for i, t in items])
+    plain = lambda rows: sorted((a, b, *(round(x, 9) for x in found)) for a, b, *found in rows)
+    want = plain((doc_id, index.ids[i], *found) for doc_id, t in docs for i, found in index.matches(d.terms_of(t)).items())
+    assert len(want) >= 16 and sum(score < 0.99 for _, _, score, *_ in want) >= 8
+    assert plain(d.find_leaks(df, bench.union(bench)).collect()) == want
+    monkeypatch.setattr(d, "SHARD_ITEMS", 6)
+    assert len(list(d.shards(bench))) > 2
+    assert plain(d.find_leaks(df, bench).collect()) == want
