@@ -345,7 +345,7 @@ def wn08(spark, sf):
     """Turns of conversations by role, near-equal ones under the first."""
     from quillstone.operators.clustering import claim_clusters
 
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 200).alias("claim"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("claim"))
     return claim_clusters(c, ["conv_id", "role"], "turn", "claim").select("conv_id", "role", "turn", "cluster")
 
 
