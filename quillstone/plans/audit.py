@@ -165,10 +165,18 @@ def jn24(spark, sf):
 @query("jn26_newest_case", """
 SELECT l_partkey, arg_max(l_orderkey, l_orderkey) AS l_orderkey FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_partkey % 20 = 0) GROUP BY 1""")
 def jn26(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    cases = lines.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("targets")).withColumn("created", F.col("l_orderkey"))
-    wanted = table(spark, sf, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("l_partkey"))
-    return matching.newest_containing(cases, "targets", wanted, "l_partkey", "created", "l_orderkey")
+    return _newest_cases(spark, sf, table(spark, sf, "part").filter("p_partkey % 20 = 0"))
+
+
+@query("jn26_newest_case_all", "SELECT l_partkey, max(l_orderkey) AS l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1")
+def jn26_all(spark, sf):
+    """Every part; jn26_newest_case looks up one in twenty."""
+    return _newest_cases(spark, sf, table(spark, sf, "part"))
+
+
+def _newest_cases(spark: SparkSession, sf: str, parts: DataFrame) -> DataFrame:
+    cases = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("targets")).withColumn("created", F.col("l_orderkey"))
+    return matching.newest_containing(cases, "targets", parts.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "created", "l_orderkey")
 
 
 @query("wn11_step_order", """

@@ -34,10 +34,26 @@ d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '
 p AS (SELECT doc_id, item_id, round(len(list_intersect(d.w, t.w))::DOUBLE / len(list_distinct(list_concat(d.w, t.w))), 4) AS similarity FROM d, t WHERE len(d.w) + len(t.w) > 0)
 SELECT doc_id, item_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id) AS k FROM p WHERE similarity >= 0.15) WHERE k = 1""")
 def jn03(spark, sf):
-    """Nearest item by word overlap. Pairs are made over shared words, whose lists the rarest words keep short."""
-    d = table(spark, sf, "documents").filter("n_chars < 1500").select("doc_id", terms(F.col("text")).alias("w")).withColumn("nd", F.size("w"))
-    t = table(spark, sf, "benchmark").select("item_id", terms(F.col("text")).alias("v")).withColumn("nt", F.size("v"))
+    """Nearest item of the documents that the SQL's all-pairs join can afford; jn03_nearest_all has every document."""
+    return nearest(table(spark, sf, "documents").filter("n_chars < 1500"), table(spark, sf, "benchmark"))
+
+
+@query("jn03_nearest_all")
+def jn03_all(spark, sf):
+    """Nearest item of every document, however long."""
+    return nearest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def nearest(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Nearest item by word overlap. Pairs are made over shared words, whose lists the rarest words keep short.
+
+    Where the word counts alone keep the overlap below the limit, no pair is made: the share of common words is
+    at most the smaller count over the larger one.
+    """
+    d = docs.select("doc_id", terms(F.col("text")).alias("w")).withColumn("nd", F.size("w"))
+    t = items.select("item_id", terms(F.col("text")).alias("v")).withColumn("nt", F.size("v"))
     both = d.select("doc_id", "nd", F.explode("w").alias("word")).join(t.select("item_id", "nt", F.explode("v").alias("word")), "word")
+    both = both.filter(F.least("nd", "nt") >= 0.1499 * F.greatest("nd", "nt"))
     p = both.groupBy("doc_id", "item_id", "nd", "nt").agg(F.count("*").alias("n")).select("doc_id", "item_id", F.round(F.col("n") / (F.col("nd") + F.col("nt") - F.col("n")), 4).alias("similarity"))
     best = p.filter("similarity >= 0.15").groupBy("doc_id").agg(F.max(F.struct("similarity", -F.col("item_id"))).alias("b"))
     return best.select("doc_id", (-F.col("b.col2")).alias("item_id"), "b.similarity")

@@ -16,6 +16,13 @@ def sc14(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter(F.col("text").rlike(r"(?i)token\s*=")).select("doc_id", text.redacted(F.col("text")).alias("text"))
 
 
+@query("sc14_redact_all", r"""
+SELECT doc_id, regexp_replace(text, '(?i)\b([A-Z0-9_]*(?:token|secret|password|api_?key)[A-Z0-9_]*)\s*[=:]\s*(?:"[^"]*"|''[^'']*''|[^\s"'']+)', '\1=[REDACTED]', 'g') AS text FROM documents""")
+def sc14_all(spark, sf):
+    """Every document, whichever secret name it holds; sc14_redact has only those with a token."""
+    return table(spark, sf, "documents").select("doc_id", text.redacted(F.col("text")).alias("text"))
+
+
 @query("sc08_alnum_form", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS form FROM documents")
 def sc08(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.alnum_form(F.col("text")).alias("form"))
