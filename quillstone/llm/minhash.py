@@ -4,12 +4,15 @@
    bins; the least hash of each bin is the sketch, and an empty bin takes the value of the first filled
    bin in its own fixed random sequence (optimal densification).
 2. Documents with equal sets form a class, which goes on as one row.
-3. Bands of the sketch are bucket keys. A bucket gives the edges from its smallest member to each other
-   member, so the number of edges grows with the number of members, not of pairs.
-4. Any two linked documents share a bucket, hence a connected group of those edges. Within each group all
-   pairs are compared on their full sets. Large groups are cut into blocks, and each pair of blocks is a
-   group of rows of its own, so that no task meets more than two blocks.
-5. The confirmed links' components are the result.
+3. Bands of the sketch are bucket keys. The first round compares, in each bucket, the smallest member with
+   each other one: a star, whose edges grow with the members, not with their pairs. Confirmed links are
+   joined to components.
+4. A bucket whose members are all of one component is done, and so is a member that has been a centre, as it
+   has met all the others. What is left of a bucket has new centres: members from outside its largest
+   component, a few more in every round. So the pairs compared are a bucket's odd members times its size,
+   and near copies of one text, however many, cost one star.
+5. Rounds end when no bucket holds two components: every pair of a bucket has then been compared, or is
+   joined by links of others. The components are the result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import checkpointed, name
+from quillstone.llm.common import WORD, checkpointed, name, row_hash, whole_row
 from quillstone.llm.graph import components
 from quillstone.llm.words import WordHashes, mixed
 
@@ -29,8 +32,10 @@ SHINGLE = 5
 #: Links need 100 * intersection >= SIMILARITY * union. A pair at the limit shares no band once in 300,000.
 SIMILARITY = 75
 BANDS, ROWS = 64, 6
-#: Documents in a block, about.
+#: Members of a star that go to one group of rows, about, each with the star's centres.
 BLOCK = 256
+#: Centres of a bucket in the first round, in the second, and so on; the last figure holds for all later ones.
+CENTRES = (1, 4, 16, 64)
 SEED = 20_011
 
 
@@ -93,7 +98,7 @@ class Sketcher:
         return mixed((s * self.factors).sum(axis=1) + self.salts).view(np.int64)
 
 
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +108,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in range(0, batch.num_rows, 1000):
             some = batch.slice(part, 1000)
             n, s1, s2, bands = [], [], [], []
-            for text in some.column(1).cast(pa.large_binary()):
+            for text in some.column(2).cast(pa.large_binary()):
                 s = set_of(text.as_py(), hashes)
                 n.append(s.size)
                 sums = signature(s)
@@ -112,7 +117,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(sketcher.keys(s) if s.size else none)
             offsets = np.concatenate(([0], np.cumsum([x.size for x in bands]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))
-            yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], schema=SIGNATURE)
+            yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), some.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], schema=SIGNATURE)
 
 
 def signature(members: np.ndarray) -> tuple[int, int]:
@@ -122,107 +127,144 @@ def signature(members: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def linked_groups(sets: list[np.ndarray], similarity: int = SIMILARITY) -> np.ndarray:
-    """For each set the index of the first set that it is linked with, directly or through others."""
-    m = len(sets)
-    sizes = np.array([s.size for s in sets], np.int64)
-    if m == 2:
-        both = np.intersect1d(sets[0], sets[1], assume_unique=True).size
-        return np.array([0, 0 if 100 * both >= similarity * (sizes.sum() - both) else 1])
-    tokens, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), sizes)
-    shared = counts > 1
-    place = np.cumsum(shared) - 1
-    keep = shared[at]
-    column, owner = place[at[keep]], owner[keep]
-    common = np.zeros((m, m), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    width = max(256, 4_000_000 // m)
-    for lo in range(0, int(shared.sum()), width):
-        i, j = np.searchsorted(column, [lo, lo + width])
-        block = np.zeros((m, width), np.float32)
-        block[owner[i:j], column[i:j] - lo] = 1
-        common += block @ block.T
-    both = np.rint(common).astype(np.int64)
-    link = 100 * both >= similarity * (sizes[:, None] + sizes[None, :] - both)
-    np.fill_diagonal(link, True)
-    label = np.arange(m)
-    while True:
-        to = np.where(link, label[None, :], m).min(axis=1)
-        to = to[to]
-        if (to == label).all():
-            return label
-        label = to
+def linked_with(centre: np.ndarray, members: np.ndarray, starts: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+    """Which of the members' sets, given one after the other from ``starts`` on, are linked with the centre's."""
+    at = np.minimum(np.searchsorted(centre, members), centre.size - 1)
+    both = np.add.reduceat((centre[at] == members).astype(np.int64), starts)
+    size = np.diff(np.append(starts, members.size))
+    return 100 * both >= similarity * (centre.size + size - both)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, lo, hi, node, text), each group's together, to the links that join what is linked in it."""
+    """Rows (star, block, role, node, text), sorted by the first three, to the confirmed links (a, b).
+
+    A block's centres (role 0) come before its members (role 1), of which only some are held at a time.
+    """
     hashes = WordHashes()
-    key, nodes, sets = None, [], []
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    key, centres, nodes, sets, held = None, [], [], [], 0
 
     def links() -> pa.RecordBatch:
-        label = linked_groups(sets) if len(sets) > 1 else np.zeros(len(sets), np.int64)
-        ids = np.array(nodes, np.int64)
-        joined = np.flatnonzero(label != np.arange(label.size))
-        return pa.RecordBatch.from_arrays([pa.array(ids[label[joined]]), pa.array(ids[joined])], schema=schema)
+        members, ids = np.concatenate(sets), np.array(nodes, np.int64)
+        starts = np.concatenate(([0], np.cumsum([s.size for s in sets[:-1]], dtype=np.int64)))
+        a, b = [], []
+        for node, centre in centres:
+            to = ids[linked_with(centre, members, starts)]
+            to = to[to != node]
+            a.append(np.full(to.size, node))
+            b.append(to)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], schema=schema)
 
     for batch in batches:
-        for *k, node, text in zip(*[c.to_pylist() for c in batch.columns[:4]], batch.column(4).cast(pa.large_binary()).to_pylist(), strict=True):
-            if k != key:
-                if len(sets) > 1:
+        star, block, role, node_of = (batch.column(i).to_pylist() for i in range(4))
+        for i, text in enumerate(batch.column(4).cast(pa.large_binary())):
+            if (star[i], block[i]) != key or held > 2_000_000:
+                if nodes:
                     yield links()
-                key, nodes, sets = k, [], []
-            s = set_of(text, hashes)
-            if s.size:
-                nodes.append(node)
+                    nodes, sets, held = [], [], 0
+                if (star[i], block[i]) != key:
+                    key, centres = (star[i], block[i]), []
+            s = set_of(text.as_py(), hashes)
+            if not s.size:
+                continue
+            if role[i] == 0:
+                centres.append((node_of[i], s))
+            else:
+                nodes.append(node_of[i])
                 sets.append(s)
-    if len(sets) > 1:
+                held += s.size
+    if nodes:
         yield links()
 
 
+def _stars(members: DataFrame, slim: DataFrame) -> DataFrame:
+    """The links (a, b) between the members (rep, n, centres: array of (rep, n)) of stars and their centres.
+
+    Stars with the same centres are one, whatever their buckets. Only members that some centre's size allows
+    a link with are compared. A star's members are cut into blocks, which bring the centres' texts with them.
+    """
+    fits = F.exists("centres", lambda c: (c["rep"] != F.col("rep")) & (100 * F.least(c["n"], F.col("n")) >= SIMILARITY * F.greatest(c["n"], F.col("n"))))
+    pairs = checkpointed(members.filter(fits).select(F.transform("centres", lambda c: c["rep"]).alias("star"), "rep").distinct())
+    blocks = pairs.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(blocks, "star").select(F.xxhash64("star").alias("star"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), F.col("rep").alias("node"))
+    centres = blocks.select("star", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select(F.xxhash64("star").alias("own"), "block", F.lit(0).alias("role"), F.explode("star").alias("node")).withColumnRenamed("own", "star")
+    rows = dealt.unionByName(centres).join(slim, F.col("node") == slim["doc_id"]).select("star", "block", "role", "node", "text")
+    return rows.repartition("star", "block").sortWithinPartitions("star", "block", "role").mapInArrow(_confirm, "a long, b long").distinct()
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` (rep and others) with the label of their component; alone, a row is its own."""
+    if labels is None:
+        return rows.withColumn("label", F.col("rep"))
+    return rows.join(labels, rows["rep"] == labels["node"], "left").select(*rows.columns, F.coalesce("label", "rep").alias("label"))
+
+
+def links_of(buckets: DataFrame, slim: DataFrame) -> tuple[DataFrame | None, int]:
+    """Labels (node, label) of the components that the links within buckets (key, rep, n) join, and the rounds taken."""
+    open_ = buckets.withColumn("label", F.col("rep"))
+    links = labels = None
+    rounds = 0
+    while not open_.isEmpty():
+        slots = CENTRES[min(rounds, len(CENTRES) - 1)]
+        one = F.struct("rep", "n")
+        if rounds == 0:
+            centres = open_.groupBy("key").agg(F.array(F.min(one)).alias("centres"))
+        else:
+            sizes = open_.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest"))
+            odd = open_.join(checkpointed(sizes), "key").filter("label <> largest").groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")).agg(F.min(one).alias("centre"))
+            centres = odd.groupBy("key").agg(F.array_sort(F.collect_list("centre")).alias("centres"))
+        with_centres = checkpointed(open_.join(checkpointed(centres), "key"))
+        found = checkpointed(_stars(with_centres, slim))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        left = with_centres.filter(~F.exists("centres", lambda c: c["rep"] == F.col("rep"))).select("key", "rep", "n")
+        left = _labelled(left, labels)
+        several = left.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a < z").select("key")
+        open_ = checkpointed(left.join(several, "key", "left_semi"))
+        rounds += 1
+    return labels, rounds
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     A null or blank text has no shingles and is linked with nothing. ``component_id`` is the smallest
     doc_id reachable, ``kept`` tells whether it is the row's own. Rows with the same doc_id stand for one
     document: links of either are links of both where their texts differ. A row without doc_id takes part
-    only in equality of sets. An empty table gives an empty result. Texts are used whole.
+    only in equality of sets: kept is false where a document has its set. Repeated rows are alike; other
+    columns, whatever their names, are not read. An empty table gives an empty result. Texts are used whole.
     """
+    return _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     slim = docs.select(name("doc_id").cast("long").alias("doc_id"), name("text").alias("text"))
-    signed = checkpointed(slim.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, bands array<long>"))
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
-    classes = checkpointed(classes.select("s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands")))
-
-    buckets = classes.select("rep", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key", "a")
-    # A member with several centres is joined to the least of them, and so are the others, which are few.
-    centres = buckets.join(shared, "key").groupBy("rep").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
-    ends = F.array_union(F.array("rep"), F.col("others"))
-    stars = centres.select("a", F.explode(ends).alias("b")).filter("a <> b").distinct()
-    groups = components(stars)
-
-    blocks = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    member = groups.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = member.join(slim, member["node"] == slim["doc_id"]).select("label", "node", "text", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "text")
-    rows = rows.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
-    links = rows.mapInArrow(_confirm, "a long, b long").distinct()
-    labels = components(links)
-
-    named = classes.select("s1", "s2", "rep").join(labels, classes["rep"] == labels["node"], "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
-    out = signed.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    signed = checkpointed(slim.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signatures, "doc_id long, text_hash long, n long, s1 long, s2 long, bands array<long>"))
+    classes = signed.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("first"))
+    classes = checkpointed(classes.select("s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.n").alias("n"), F.col("first.bands").alias("bands")))
+
+    buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key")
+    labels, _ = links_of(checkpointed(buckets.join(shared, "key").distinct()), slim)
+    named = _labelled(classes.select("s1", "s2", "rep"), labels)
+    out = signed.select("doc_id", "text_hash", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n", "s1", "s2", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns: one for each group.
 
-    Of rows with the same doc_id one stays. Rows without doc_id stay where their set is nobody else's.
+    Rows without words are linked with nothing and all stay. Of rows with the same doc_id and equal sets one
+    stays, the least by a hash of the row; where their sets differ, one of each. A row without doc_id stays
+    where no document has its set, one for each set.
     """
-    kept = near_duplicates(docs).filter("kept")
-    ids = kept.filter("doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.filter(name("doc_id").isNotNull()).join(ids, name("doc_id") == ids["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter(name("doc_id").isNull()))
+    null_id = F.col("doc_id").isNull().alias("null_id")
+    kept = _grouped(docs).filter("kept and n > 0")
+    kept = kept.groupBy(null_id, F.coalesce("doc_id", F.lit(0)).alias("id"), "s1", "s2").agg(F.min("text_hash").alias("text_hash"))
+    row = docs.select(whole_row(docs).alias("row"), row_hash(docs).alias("tie"), name("doc_id").isNull().alias("null_id"), F.coalesce(name("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(name("text")).alias("text_hash"))
+    same = ["null_id", "id", "text_hash"]
+    chosen = row.join(kept.select(*same).distinct(), same).groupBy(*same).agg(F.min_by("row", "tie").alias("row"))
+    blank = docs.filter(~F.coalesce(name("text"), F.lit("")).rlike(WORD))
+    return chosen.select("row.*").unionByName(blank)
