@@ -39,9 +39,9 @@ class WaveletMatrix:
 class FmIndex:
     """An index of sequences given one after the other (``words``, values from 0; ``starts``, with the end).
 
-    Besides the BWT it keeps, for every suffix in sorted order, the range of suffixes that agree with it in
-    ``depth - 1`` words, and the number of its class by ``depth`` words: the search keeps ``depth`` words of
-    context by stepping to the former and reads the latter.
+    It holds the BWT in a wavelet matrix, the counts of the words, and where, among the suffixes in sorted
+    order, those that agree in ``depth - 1`` words begin: a search that has ``depth`` words of context steps
+    to these before it takes the next word. Suffixes themselves are not kept, nor is the text.
     """
 
     def __init__(self, words: np.ndarray, starts: np.ndarray, depth: int):
@@ -65,15 +65,11 @@ class FmIndex:
             order = np.argsort(key, kind="stable")
             length *= 2
             ranks[length] = self._dense_sorted(key, order)
-        self.place = order
-        before = text[order - 1]
         symbols = int(words.max()) + 2 if n else 1
-        self.bwt = WaveletMatrix(before, symbols)
+        self.bwt = WaveletMatrix(text[order - 1], symbols)
         self.less = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
-        self.low, self.high = self._ranges(self._classes(ranks, depth - 1)[order])
-        klass = self._classes(ranks, depth)[order]
-        self.klass = np.cumsum(np.concatenate(([0], klass[1:] != klass[:-1])))
-        self.sequence = np.searchsorted(ends, np.arange(total))
+        short = self._classes(ranks, depth - 1)[order] if depth > 1 else np.zeros(total, np.int64)
+        self.cuts = np.append(np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1]))), total).astype(np.int32)
         self.size = total
 
     @staticmethod
@@ -97,42 +93,35 @@ class FmIndex:
                 done += length
         return out
 
-    @staticmethod
-    def _ranges(klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.flatnonzero(np.concatenate(([True], klass[1:] != klass[:-1])))
-        n = np.diff(np.append(first, klass.size))
-        return np.repeat(first, n), np.repeat(first + n, n)
-
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of suffixes one word longer to the left."""
         s = symbol + 1
         return self.less[s] + self.bwt.count(s, lo), self.less[s] + self.bwt.count(s, hi)
 
-    def matches(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For every place of the streamed sequences the class of the ``depth`` words from there; -1 where fewer
-        are left, or where the index does not have them.
+    def statistics(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Matching statistics of streamed sequences: for every place, how many of the words from there on (up to
+        ``depth``, and to the sequence's end) stand somewhere in the index.
 
         Sequences are read from the right. A word that cannot be put before the context ends the context one
         word earlier, and the search goes on from there.
         """
-        out = np.full(words.size, -1, np.int64)
-        live = np.flatnonzero(np.diff(starts) >= self.depth)
+        out = np.zeros(words.size, np.int64)
+        live = np.flatnonzero(np.diff(starts) > 0)
         first, at = starts[live], starts[live + 1] - 1
         lo, hi, depth = np.zeros(live.size, np.int64), np.full(live.size, self.size, np.int64), np.zeros(live.size, np.int64)
         while at.size:
-            full = depth == self.depth
-            held = np.minimum(lo, self.size - 1)
-            lo, hi = np.where(full, self.low[held], lo), np.where(full, self.high[held], hi)
-            depth = depth - full
+            full = np.flatnonzero(depth == self.depth)
+            k = np.searchsorted(self.cuts, lo[full], "right")
+            lo[full], hi[full] = self.cuts[k - 1], self.cuts[k]
+            depth[full] -= 1
             symbol = words[at]
             known = symbol < self.less.size - 2
             lo, hi = self.step(np.where(known, symbol, 0), lo, hi)
             ok = known & (lo < hi)
-            found = ok & (depth + 1 == self.depth)
-            out[at[found]] = self.klass[lo[found]]
+            # A context that is taken up again passes places that it, or a longer one before it, has matched.
+            out[at[ok]] = np.maximum(out[at[ok]], depth[ok] + 1)
             at = np.where(ok, at - 1, np.where(known & (depth > 0), at + depth - 1, at - 1))
             lo, hi, depth = np.where(ok, lo, 0), np.where(ok, hi, self.size), np.where(ok, depth + 1, 0)
-            go_on = at + 1 + depth - first >= self.depth
-            go_on &= at >= first
+            go_on = at >= first
             first, at, lo, hi, depth = first[go_on], at[go_on], lo[go_on], hi[go_on], depth[go_on]
         return out

@@ -10,11 +10,15 @@ times shards.
    but the first of a class repeat it whole.
 2. Minimisers of at least two documents are found; only windows with these go on, as pieces: the words that
    neighbouring windows with one minimiser cover.
-3. Each shard joins equal pieces, builds a compressed FM-index (BWT in a wavelet matrix) of the distinct ones
-   and streams these through it by backward search. Every 20-word context's range of suffixes gives the
-   first document with that window; windows of later documents are reported as intervals.
-4. The windows of hot minimisers, those of more than HOT documents, are not gathered in one shard: their
-   hashes are grouped to the first document with each, which combines before the shuffle.
+3. Within a minimiser the documents are ranked. For each bit of the ranks, the pieces of those with the bit
+   0 are put in a compressed FM-index (BWT in a wavelet matrix), and those of the documents with the bit 1
+   that agree in all higher bits are streamed through it by backward search: every document so meets every
+   earlier one once. The matching statistics of 20 words and more are reported as intervals.
+4. A minimiser of very many documents (BUSY) would bring each of them to one shard with words of its own
+   around what is shared. Its windows are counted by hash first, which combines before the shuffle; the
+   shared ones alone make pieces, by a second minimiser of 14 words, and equal pieces are combined to the
+   first document's before they come to a shard. They go through the same indexes, and no result depends
+   on which way windows went.
 5. What is left is computed from the whole text again.
 """
 
@@ -28,39 +32,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import checkpointed, name
+from quillstone.llm.common import checkpointed, name, small
 from quillstone.llm.fm_index import FmIndex
 from quillstone.llm.words import WordHashes, mixed
 
 WINDOW = 20
-RUN = 8
-NO_ID = 2**63 - 1
-#: Documents with a minimiser above which its windows go by their hashes.
-HOT = 4096
+#: Words in the runs that give minimisers, and in those that give second ones.
+RUN, RUN2 = 8, 14
+#: Ids from here on stand for the texts of rows without doc_id: after all others.
+NO_ID = 2**62
+#: Documents with a minimiser from which on its windows are counted, and equal pieces combined, before they are sharded.
+BUSY = 4096
 #: Windows in a piece, at most, and words in one index, about.
 PIECE, SHARD_WORDS = 64, 500_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimiser and hash of every window of a document's word hashes."""
-    n = h.size
-    if n < WINDOW:
+def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser, second minimiser and hash of every window of a document's word hashes."""
+    m = h.size - WINDOW + 1
+    if m < 1:
         none = np.empty(0, np.uint64)
-        return none, none
-    r = h[: n - RUN + 1].copy()
+        return none, none, none
+    r = h[: h.size - RUN + 1].copy()
     for i in range(1, RUN):
         r *= np.uint64(0x9E3779B97F4A7C15)
-        r += h[i : n - RUN + 1 + i]
+        r += h[i : h.size - RUN + 1 + i]
     r = mixed(r)
-    low = r
-    for step in (1, 2, 4):
-        low = np.minimum(low[:-step], low[step:])
-    width = WINDOW - RUN + 1
-    low = np.minimum(low[: n - WINDOW + 1], low[width - 8 : width - 8 + n - WINDOW + 1])
-    m = n - WINDOW + 1
+    long = mixed(r[: h.size - RUN2 + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + r[RUN2 - RUN :])
     whole = r[:m] * np.uint64(0xC2B2AE3D27D4EB4F) + r[RUN : RUN + m] * np.uint64(0x165667B19E3779F9) + r[WINDOW - RUN : WINDOW - RUN + m] * np.uint64(0x27D4EB2F165667C5)
-    return low, mixed(whole)
+    return _least(r, WINDOW - RUN + 1), _least(long, WINDOW - RUN2 + 1), mixed(whole)
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbouring values."""
+    n, step = values.size - width + 1, 1
+    while 2 * step <= width:
+        values = np.minimum(values[:-step], values[step:])
+        step *= 2
+    return np.minimum(values[:n], values[width - step : width - step + n])
 
 
 def distinct(a: np.ndarray) -> np.ndarray:
@@ -69,7 +79,9 @@ def distinct(a: np.ndarray) -> np.ndarray:
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(name("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), name("text").alias("text"))
+    """doc_id and text; rows without doc_id have one after all others, by the hash of their text."""
+    own = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(name("text")), 2)
+    return docs.select(F.coalesce(name("doc_id").cast("long"), own).alias("doc_id"), name("text").alias("text"))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -85,7 +97,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, sha, own, mins = [], [], [], []
             for value in some.column(1).cast(pa.large_binary()):
                 words = (value.as_py() or b"").split()
-                low, whole = windows(hashes.of(words))
+                low, _, whole = windows(hashes.of(words))
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 own.append(distinct(whole).size < whole.size)
@@ -93,15 +105,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(own, pa.bool_()), _lists(mins)], names=["doc_id", "n_words", "sha", "own", "mins"])
 
 
-def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, shared minimisers) to the distinct windows (w, doc_id) that have one of these."""
+def _held_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, minimisers) to the distinct windows (w, doc_id) that have one of these."""
     hashes = WordHashes()
     for batch in batches:
         for part in range(0, batch.num_rows, 500):
             some = batch.slice(part, 500)
             ids, out = [], []
             for doc_id, value, shared in zip(some.column(0).to_pylist(), some.column(1).cast(pa.large_binary()), some.column(2), strict=True):
-                low, whole = windows(hashes.of((value.as_py() or b"").split()))
+                low, _, whole = windows(hashes.of((value.as_py() or b"").split()))
                 if shared.is_valid and whole.size:
                     w = distinct(whole[np.isin(low, shared.values.to_numpy().view(np.uint64))])
                     ids.append(np.full(w.size, doc_id))
@@ -109,9 +121,8 @@ def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.empty(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate([*ids, np.empty(0, np.int64)]))], names=["w", "doc_id"])
 
 
-def pieces_of(low: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int]]:
-    """(first window, windows) of the runs of wanted windows with one minimiser."""
-    keep = np.isin(low, wanted)
+def pieces_of(low: np.ndarray, keep: np.ndarray) -> list[tuple[int, int]]:
+    """(first window, windows) of the runs of windows to keep that have one minimiser."""
     if not keep.any():
         return []
     cut = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (keep[1:] != keep[:-1]))))
@@ -119,37 +130,51 @@ def pieces_of(low: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int]]:
     return [(a + k, min(PIECE, n - k)) for a, n in runs if keep[a] for k in range(0, n, PIECE)]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, shared minimisers) to the distinct pieces of each document: (m, doc_id, start, words)."""
-    hashes = WordHashes()
-    for batch in batches:
-        for part in range(0, batch.num_rows, 250):
-            some = batch.slice(part, 250)
-            m, ids, starts, out = [], [], [], []
-            for doc_id, value, shared in zip(some.column(0).to_pylist(), some.column(1).cast(pa.large_binary()), some.column(2), strict=True):
-                h = hashes.of((value.as_py() or b"").split())
-                low, _ = windows(h)
-                ids32 = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                seen = set()
-                for a, n in pieces_of(low, shared.values.to_numpy().view(np.uint64)):
-                    words = ids32[a : a + n + WINDOW - 1]
-                    key = words.tobytes()
-                    if key not in seen:
-                        seen.add(key)
-                        m.append(int(low[a].view(np.int64)))
-                        ids.append(doc_id)
-                        starts.append(a)
-                        out.append(words)
-            offsets = pa.array(np.concatenate(([0], np.cumsum([w.size for w in out]))).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.empty(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), lists], names=["m", "doc_id", "start", "words"])
+PIECES = "m long, doc_id long, start int, words array<long>"
+
+
+def _pieces_by(select):
+    """A function from batches (doc_id, text, hashes) to the distinct pieces of each document: PIECES.
+
+    ``select`` gives the minimisers to cut by, and which windows to keep, from ``windows`` and the hashes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in range(0, batch.num_rows, 250):
+                some = batch.slice(part, 250)
+                m, ids, starts, out = [], [], [], []
+                for doc_id, value, wanted in zip(some.column(0).to_pylist(), some.column(1).cast(pa.large_binary()), some.column(2), strict=True):
+                    h = hashes.of((value.as_py() or b"").split())
+                    by, keep = select(*windows(h), wanted.values.to_numpy().view(np.uint64))
+                    seen = set()
+                    for a, n in pieces_of(by, keep):
+                        words = h[a : a + n + WINDOW - 1].view(np.int64)
+                        key = words.tobytes()
+                        if key not in seen:
+                            seen.add(key)
+                            m.append(int(by[a].view(np.int64)))
+                            ids.append(doc_id)
+                            starts.append(a)
+                            out.append(words)
+                offsets = pa.array(np.concatenate(([0], np.cumsum([w.size for w in out]))).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.empty(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), lists], names=["m", "doc_id", "start", "words"])
+
+    return run
+
+
+_pieces = _pieces_by(lambda low, low2, whole, wanted: (low, np.isin(low, wanted)))
+#: Of windows counted by hash; the two minimisers are one key.
+_counted_pieces = _pieces_by(lambda low, low2, whole, wanted: (mixed(low + mixed(low2)), np.isin(whole, wanted)))
 
 
 def earlier_in_shard(m: np.ndarray, doc: np.ndarray, start: np.ndarray, words: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, start, windows) of the windows of a shard's pieces that an earlier document has."""
     size = np.diff(cuts)
     place = np.arange(words.size) - np.repeat(cuts[:-1], size)
-    h = np.add.reduceat(mixed(words.view(np.uint32).astype(np.uint64) + mixed(place.astype(np.uint64) + np.uint64(1))), cuts[:-1]) + mixed(m.view(np.uint64))
+    h = np.add.reduceat(mixed(words.view(np.uint64) + mixed(place.astype(np.uint64) + np.uint64(1))), cuts[:-1]) + mixed(m.view(np.uint64))
     order = np.lexsort((start, doc, h))
     new = np.concatenate(([True], h[order[1:]] != h[order[:-1]]))
     first = order[new]
@@ -157,25 +182,42 @@ def earlier_in_shard(m: np.ndarray, doc: np.ndarray, start: np.ndarray, words: n
     own[order] = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(new), doc.size)))
     copies = doc != own
     out = [(doc[copies], start[copies].astype(np.int64), size[copies] - WINDOW + 1)]
-    # Only minimisers with several distinct pieces have anything to tell apart.
-    _, at, n = np.unique(m[first], return_inverse=True, return_counts=True)
-    first = first[n[at] > 1]
-    if first.size:
-        text = np.concatenate([words[cuts[i] : cuts[i + 1]] for i in first])
-        starts = np.concatenate(([0], np.cumsum(size[first])))
-        _, ids = np.unique(text, return_inverse=True)
-        klass = FmIndex(ids, starts, WINDOW).matches(ids, starts)
-        owner = np.repeat(np.arange(first.size), size[first])
-        there = np.flatnonzero(klass >= 0)
-        least = np.full(int(klass.max()) + 1, NO_ID)
-        np.minimum.at(least, klass[there], doc[first][owner[there]])
-        later = there[least[klass[there]] < doc[first][owner[there]]]
-        run = np.flatnonzero(np.concatenate(([True], (np.diff(later) != 1) | (np.diff(owner[later]) != 0)))) if later.size else later
-        piece = owner[later[run]]
-        out.append((doc[first][piece], start[first][piece] + later[run] - starts[piece], np.diff(np.append(run, later.size))))
+    # The documents of each minimiser by rank; where there is one alone it meets no other.
+    pieces = first[np.lexsort((doc[first], m[first]))]
+    change = np.concatenate(([True], m[pieces[1:]] != m[pieces[:-1]]))
+    group = np.cumsum(change) - 1
+    rank = np.cumsum(np.concatenate(([True], (doc[pieces[1:]] != doc[pieces[:-1]]) | change[1:]))) - 1
+    rank -= rank[change][group]
+    most = np.maximum.reduceat(rank, np.flatnonzero(change))[group]
+    for bit in range(int(most.max()).bit_length()):
+        met = np.flatnonzero(most >> bit)
+        context = (rank[met] >> (bit + 1)) + group[met] * (int(most.max()) + 1)
+        later = (rank[met] >> bit & 1).astype(bool)
+        met = met[np.isin(context, context[later])]
+        if met.size:
+            out += _streamed(pieces[met], (rank[met] >> (bit + 1)) + group[met] * (int(most.max()) + 1), (rank[met] >> bit & 1).astype(bool), doc, start, words, cuts)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def _streamed(pieces: np.ndarray, context: np.ndarray, later: np.ndarray, doc: np.ndarray, start: np.ndarray, words: np.ndarray, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stream the later ones of the pieces through an index of the others; words match within a context only."""
+    size = cuts[pieces + 1] - cuts[pieces]
+    text = np.concatenate([words[cuts[i] : cuts[i + 1]] for i in pieces]).view(np.uint64)
+    # Ids of (context, word): the hash of a word is 64 bits, and so is that of the two.
+    _, ids = np.unique(mixed(text + mixed(np.repeat(context, size).astype(np.uint64))), return_inverse=True)
+    streamed = np.repeat(later, size)
+    starts = lambda of: np.concatenate(([0], np.cumsum(size[of])))
+    index = FmIndex(ids[~streamed], starts(~later), WINDOW)
+    cut = starts(later)
+    there = np.flatnonzero(index.statistics(ids[streamed], cut) >= WINDOW)
+    if not there.size:
+        return []
+    owner = np.repeat(np.arange(cut.size - 1), np.diff(cut))[there]
+    run = np.flatnonzero(np.concatenate(([True], (np.diff(there) != 1) | (np.diff(owner) != 0))))
+    piece = pieces[later][owner[run]]
+    return [(doc[piece], start[piece] + there[run] - cut[owner[run]], np.diff(np.append(run, there.size)))]
+
+
 def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces sorted by minimiser to intervals of windows: a partition is cut into shards between minimisers."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -204,12 +246,11 @@ def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from results(True)
 
 
-def repeated(whole: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    """Which windows are in ``earlier`` or start before in the same document."""
-    out = np.isin(whole, earlier)
+def repeated(whole: np.ndarray) -> np.ndarray:
+    """Which windows start before in the same document."""
+    out = np.zeros(whole.size, bool)
     order = np.argsort(whole, kind="stable")
-    same = whole[order[1:]] == whole[order[:-1]]
-    out[order[1:][same]] = True
+    out[order[1:][whole[order[1:]] == whole[order[:-1]]]] = True
     return out
 
 
@@ -234,14 +275,13 @@ INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans and hashes of windows that start earlier elsewhere) to (doc_id, sha, intervals, kept_sha256)."""
+    """(doc_id, text, spans of windows that start earlier elsewhere) to (doc_id, sha, intervals, kept_sha256)."""
     hashes = WordHashes()
     for batch in batches:
         sha, spans, kept = [], [], []
-        for value, found, earlier in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), batch.column(3), strict=True):
+        for value, found in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
             words = (value.as_py() or b"").split()
-            _, whole = windows(hashes.of(words))
-            gone = repeated(whole, earlier.values.to_numpy().view(np.uint64))
+            gone = repeated(windows(hashes.of(words))[2])
             for f in found.as_py():
                 gone[f["start"] : f["start"] + f["windows"]] = True
             cut = intervals_of(np.flatnonzero(gone))
@@ -251,13 +291,28 @@ def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string()), pa.array(spans, INTERVALS), pa.array(kept, pa.string())], names=["doc_id", "sha", "intervals", "kept_sha256"])
 
 
+def _busy_pieces(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of texts (doc_id, text, busy minimisers): the distinct pieces with the first document of each, and the
+    spans (doc_id, start, windows) of the other documents that hold them."""
+    held = checkpointed(texts.mapInArrow(_held_windows, "w long, doc_id long"))
+    shared = held.groupBy("w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("w")
+    wanted = held.join(checkpointed(shared), "w").groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
+    pieces = checkpointed(texts.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_counted_pieces, PIECES))
+    pieces = pieces.withColumn("piece", F.struct("m", F.xxhash64("words"), F.hash("words")))
+    first = checkpointed(pieces.groupBy("piece").agg(F.min(F.struct("doc_id", "start", "m", "words")).alias("first")))
+    copies = pieces.join(first.select("piece", F.col("first.doc_id").alias("of")), "piece").filter("doc_id <> of")
+    return first.select("first.m", "first.doc_id", "first.start", "first.words"), copies.select("doc_id", F.col("start").cast("long").alias("start"), (F.size("words") - WINDOW + 1).cast("long").alias("windows"))
+
+
 def find_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, intervals, n_removed, kept_sha256.
 
     ``intervals`` are the removed words (start, end exclusive), ``kept_sha256`` the digest of those left,
     joined by one space. Texts of under 20 words, null ones too, keep all. Rows with the same doc_id are one
     document with more than one text: neither makes the other's windows earlier. Rows without doc_id come
-    after all others. An empty table gives an empty result.
+    after all others, in the order of a hash of their text, and those with equal texts are one document.
+    Other columns, whatever their names, are not read. An empty table gives an empty result. Words are
+    compared as 64-bit hashes, windows as 20 of these.
     """
     slim = _with_id(docs)
     read = checkpointed(slim.mapInArrow(_digests, "doc_id long, n_words long, sha string, own boolean, mins array<long>"))
@@ -265,25 +320,32 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     read = read.join(classes, "sha", "left")
     firsts = read.filter("doc_id = first")
 
-    holders = firsts.select(F.explode("mins").alias("m"), "doc_id").repartition("m")
-    shared = holders.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).filter("a < z").select("m", (F.col("n") > HOT).alias("hot"))
-    shared = holders.join(shared, "m").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("m"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("m"))).alias("hot"))
-    texts = slim.join(shared, "doc_id")
-    pieces = texts.filter("size(cool) > 0").select("doc_id", "text", "cool").mapInArrow(_pieces, "m long, doc_id long, start int, words array<int>")
+    holders = firsts.select(F.explode("mins").alias("m"), "doc_id")
+    shared = holders.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).filter("a < z")
+    shared = checkpointed(shared.select("m", (F.col("n") >= BUSY).alias("busy")))
+    # Busy minimisers are few. While they are, they are broadcast, and no task gathers the holders of one.
+    busy = small(shared.filter("busy"))
+    marked = holders.join(busy, "m", "left")
+    calm = marked.filter("busy is null").join(shared.filter("not busy").select("m"), "m").groupBy("doc_id").agg(F.collect_list("m").alias("wanted"))
+    pieces = slim.join(calm, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_pieces, PIECES)
+    copies = None
+    if not busy.isEmpty():
+        of = marked.filter("busy").groupBy("doc_id").agg(F.collect_list("m").alias("wanted"))
+        combined, copies = _busy_pieces(slim.join(of, "doc_id").select("doc_id", "text", "wanted"))
+        pieces = pieces.unionByName(combined)
     spans = pieces.repartition("m").sortWithinPartitions("m").mapInArrow(_search_shards, "doc_id long, start long, windows long")
-    held = texts.filter("size(hot) > 0").select("doc_id", "text", "hot").mapInArrow(_shared_windows, "w long, doc_id long")
-    earlier = held.groupBy("w").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("z")).filter("at < z").select("w", "at")
-    earlier = held.join(earlier, "w").filter("doc_id <> at").select("doc_id", "w")
+    spans = spans if copies is None else spans.unionByName(copies)
 
     own = firsts.filter("own").select("doc_id")
-    changed = spans.select("doc_id", F.struct("start", "windows").alias("span")).unionByName(earlier, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
-    changed = changed.groupBy("doc_id").agg(F.collect_list("span").alias("spans"), F.collect_list("w").alias("earlier"))
-    changed = slim.join(changed, "doc_id").select("doc_id", "text", "spans", "earlier").mapInArrow(_changes, "doc_id long, sha string, intervals array<struct<start: long, end: long>>, kept_sha256 string").dropDuplicates(["doc_id", "sha"])
+    changed = spans.select("doc_id", F.struct("start", "windows").alias("span")).unionByName(own, allowMissingColumns=True)
+    changed = changed.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    changed = slim.join(changed, "doc_id").select("doc_id", "text", "spans").mapInArrow(_changes, "doc_id long, sha string, intervals array<struct<start: long, end: long>>, kept_sha256 string").dropDuplicates(["doc_id", "sha"])
     out = read.select("doc_id", "n_words", "sha", "first").join(changed, ["doc_id", "sha"], "left")
     copy = F.col("first") < F.col("doc_id")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     intervals = F.when(copy, everything).otherwise(F.coalesce("intervals", F.array().cast("array<struct<start: long, end: long>>")))
     removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, i: n + i["end"] - i["start"])
     kept = F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha"))
-    out = out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", intervals.alias("intervals"), kept.alias("kept_sha256"))
+    shown = F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id")
+    out = out.select(shown, "n_words", intervals.alias("intervals"), kept.alias("kept_sha256"))
     return out.withColumn("n_removed", removed)

@@ -12,37 +12,29 @@ def test_counts():
         assert (w.count(s, i) == [(seq[:k] == x).sum() for x, k in zip(s, i, strict=True)]).all()
 
 
-def test_classes_of_windows():
-    rng = np.random.default_rng(2)
-    for symbols, depth in ((2, 5), (3, 20), (50, 20), (1, 4)):
-        pieces = [rng.integers(0, symbols, rng.integers(depth, depth + 12)) for _ in range(60)]
-        pieces += [p[: depth + 1].copy() for p in pieces[:20] if p.size > depth]
-        pieces = list({tuple(p): p for p in pieces}.values())
-        starts = np.concatenate(([0], np.cumsum([p.size for p in pieces])))
-        words = np.concatenate(pieces)
-        got = FmIndex(words, starts, depth).matches(words, starts)
-        seen: dict[tuple, int] = {}
-        classes: dict[int, tuple] = {}
-        for a, p in zip(starts, pieces, strict=False):
-            for i in range(p.size):
-                w = tuple(p[i : i + depth])
-                if len(w) < depth:
-                    assert got[a + i] == -1
-                else:
-                    assert seen.setdefault(w, got[a + i]) == got[a + i] >= 0
-                    assert classes.setdefault(got[a + i], w) == w
-
-
-def test_streamed_sequences_that_are_not_there():
+def longest(piece, i, held, depth):
+    """How many of the words of ``piece`` from ``i`` on stand in a row in some held sequence, up to ``depth``."""
+    there = lambda n: any(tuple(h[k : k + n]) == tuple(piece[i : i + n]) for h in held for k in range(len(h) - n + 1))
+    return max(n for n in range(min(depth, len(piece) - i) + 1) if n == 0 or there(n))
+
+
+def test_matching_statistics():
     index = FmIndex(np.array([0, 1, 2, 3, 0, 1]), np.array([0, 6]), 3)
-    got = index.matches(np.array([9, 0, 1, 2, 9, 1, 2, 3, 3, 3]), np.array([0, 10]))
-    assert [g >= 0 for g in got] == [False, True, False, False, False, True, False, False, False, False]
+    got = index.statistics(np.array([9, 0, 1, 2, 9, 1, 2, 3, 3, 3]), np.array([0, 10]))
+    assert got.tolist() == [0, 3, 2, 1, 0, 3, 2, 1, 1, 1]
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        held = [rng.integers(0, 3, rng.integers(4, 30)) for _ in range(5)]
-        asked = [rng.integers(0, 4, rng.integers(1, 30)) for _ in range(5)]
-        cut = lambda ps: np.concatenate(([0], np.cumsum([p.size for p in ps])))
-        there = {tuple(p[i : i + 4]) for p in held for i in range(p.size - 3)}
-        got = FmIndex(np.concatenate(held), cut(held), 4).matches(np.concatenate(asked), cut(asked))
-        want = [i + 4 <= p.size and tuple(p[i : i + 4]) in there for p in asked for i in range(p.size)]
-        assert [g >= 0 for g in got] == want
+    cut = lambda ps: np.concatenate(([0], np.cumsum([p.size for p in ps])))
+    for symbols, depth in ((2, 5), (3, 4), (3, 20), (1, 4), (30, 2), (4, 1)):
+        for _ in range(6):
+            held = [rng.integers(0, symbols, rng.integers(1, 30)) for _ in range(5)]
+            asked = [rng.integers(0, symbols + 1, rng.integers(1, 30)) for _ in range(4)] + [held[0], held[1][2:]]
+            got = FmIndex(np.concatenate(held), cut(held), depth).statistics(np.concatenate(asked), cut(asked))
+            assert got.tolist() == [longest(p, i, held, depth) for p in asked for i in range(p.size)]
+
+
+def test_the_index_is_small():
+    rng = np.random.default_rng(4)
+    words, n = rng.integers(0, 1000, 50_000), 50_000
+    index = FmIndex(words, np.array([0, n]), 20)
+    held = sum(a.nbytes for a in [*index.bwt.words, *index.bwt.before, index.bwt.leaf, index.less, index.cuts])
+    assert held < 8 * n

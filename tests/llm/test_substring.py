@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from quillstone.llm import substring
 from quillstone.llm.substring import find_repeats
 
@@ -48,7 +50,7 @@ def test_passages_in_random_documents(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
-def test_small_shards_and_hot_minimisers(spark, monkeypatch):
+def test_small_shards_and_busy_minimisers(spark, monkeypatch):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
     passages = [[rng.choice(vocabulary) for _ in range(n)] for n in (22, 40, 90, 40)]
@@ -63,12 +65,35 @@ def test_small_shards_and_hot_minimisers(spark, monkeypatch):
         rows.append((d, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for hot, words, piece in ((10, 400, 64), (1, 400, 64), (4096, 100, 3), (30, 10**6, 1)):
-        monkeypatch.setattr(substring, "HOT", hot)
+        monkeypatch.setattr(substring, "BUSY", hot)
         monkeypatch.setattr(substring, "SHARD_WORDS", words)
         monkeypatch.setattr(substring, "PIECE", piece)
         assert found(df) == brute(rows), (hot, words, piece)
 
 
+def test_rows_without_doc_id(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b = text(40), text(40)
+    rows = [(None, f"{a} {b}"), (None, f"{a} x"), (None, f"{a} x"), (2**62 - 1, b), (None, text(30))]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[0] == (0, 30, 0) and got[-1] == (2**62 - 1, 40, 0)
+    # Which of the two texts is first hangs on their hashes; the copies of one text are one document.
+    assert got[1:4] in ([(0, 41, 0), (0, 41, 0), (0, 80, 80)], [(0, 41, 40), (0, 41, 40), (0, 80, 40)])
+
+
+def test_nothing_is_found_without_the_index(spark, monkeypatch):
+    rows = [(d, " ".join(f"w{d}-{i}" for i in range(30)) + " " + " ".join(f"s{i}" for i in range(40)) + f" e{d}") for d in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows)
+    rng = np.random.default_rng(1)
+    words = rng.integers(-(2**63), 2**63 - 1, 30)
+    shared = (np.array([5, 5]), np.array([1, 2]), np.array([0, 7], np.int32), np.concatenate((words[:25], words[3:28])), np.array([0, 25, 50]))
+    assert [x.tolist() for x in substring.earlier_in_shard(*shared)] == [[2], [7], [3]]
+    monkeypatch.setattr(substring.FmIndex, "statistics", lambda self, words, starts: np.zeros(words.size, np.int64))
+    assert substring.earlier_in_shard(*shared)[0].size == 0
+
+
 def test_odd_rows(odd, none):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in find_repeats(odd).collect()}
     assert {(2, 0, 0), (3, 0, 0), (4, 0, 0), (7, 30_000, 29_999), (8, 1, 0)} <= got
