@@ -38,14 +38,33 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[name(c) for c in df.columns])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the folder that spark.checkpoint.dir names.
+#: Ids from here on stand for the texts of rows without doc_id.
+NO_ID = 2**62
+
+
+def ordered_id(doc_id: Column, text: Column) -> Column:
+    """doc_id as a long; a row without one gets an id after all others, from a hash of its text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
+
 
-    Only where that setting is missing, as in tests, is a folder chosen here.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or the one set for checkpoints.
+
+    Where neither is set, a temporary one is made, on this machine alone, in local mode; a cluster has to name one.
     """
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

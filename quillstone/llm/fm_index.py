@@ -39,9 +39,10 @@ class WaveletMatrix:
 class FmIndex:
     """An index of sequences given one after the other (``words``, values from 0; ``starts``, with the end).
 
-    It holds the BWT in a wavelet matrix, the counts of the words, and where, among the suffixes in sorted
-    order, those that agree in ``depth - 1`` words begin: a search that has ``depth`` words of context steps
-    to these before it takes the next word. Suffixes themselves are not kept, nor is the text.
+    It holds the BWT in a wavelet matrix, the counts of the words, how many words (up to ``depth``) each suffix
+    has in common with the one before it in sorted order, and, by this, where the suffixes that agree in so many
+    words begin: a search gives up words of its context by stepping to these. Suffixes themselves are not kept,
+    nor is the text.
     """
 
     def __init__(self, words: np.ndarray, starts: np.ndarray, depth: int):
@@ -68,8 +69,8 @@ class FmIndex:
         symbols = int(words.max()) + 2 if n else 1
         self.bwt = WaveletMatrix(text[order - 1], symbols)
         self.less = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
-        short = self._classes(ranks, depth - 1)[order] if depth > 1 else np.zeros(total, np.int64)
-        self.cuts = np.append(np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1]))), total).astype(np.int32)
+        self.common = self._common(ranks, order, depth)
+        self.cuts = [np.append(np.flatnonzero(self.common[:-1] < k) if k else 0, total).astype(np.int32) for k in range(depth)]
         self.size = total
 
     @staticmethod
@@ -83,45 +84,64 @@ class FmIndex:
         return out
 
     @staticmethod
-    def _classes(ranks: dict[int, np.ndarray], depth: int) -> np.ndarray:
-        """Numbers of the suffixes' first ``depth`` words, equal for equal ones, in the order of the suffixes."""
-        out, done = None, 0
+    def _common(ranks: dict[int, np.ndarray], order: np.ndarray, depth: int) -> np.ndarray:
+        """Words, up to ``depth``, that each suffix has in common with the one before it; 0 at both ends."""
+        out, total = np.zeros(order.size + 1, np.uint8), order.size
+        a, b = order[:-1].copy(), order[1:].copy()
+        n = np.zeros(a.size, np.int64)
         for length in sorted(ranks, reverse=True):
-            if done + length <= depth:
-                r = np.concatenate((ranks[length][done:] + 1, np.zeros(done, np.int64))) if done else ranks[length] + 1
-                out = r if out is None else FmIndex._dense(out * (r.size + 2) + r)
-                done += length
+            if length <= depth:
+                for _ in range(2):
+                    same = np.flatnonzero((a < total) & (b < total))
+                    same = same[ranks[length][a[same]] == ranks[length][b[same]]]
+                    for x in (a, b, n):
+                        x[same] += length
+        out[1:-1] = np.minimum(n, depth)
         return out
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of suffixes one word longer to the left."""
         s = symbol + 1
-        return self.less[s] + self.bwt.count(s, lo), self.less[s] + self.bwt.count(s, hi)
+        places = self.bwt.count(np.concatenate((s, s)), np.concatenate((lo, hi)))
+        return self.less[s] + places[: s.size], self.less[s] + places[s.size :]
 
     def statistics(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Matching statistics of streamed sequences: for every place, how many of the words from there on (up to
         ``depth``, and to the sequence's end) stand somewhere in the index.
 
-        Sequences are read from the right. A word that cannot be put before the context ends the context one
-        word earlier, and the search goes on from there.
+        Sequences are read from the right. Where a word cannot be put before the context, the context gives up
+        words at its end until there are more suffixes that it stands before, and the word is tried again.
         """
         out = np.zeros(words.size, np.int64)
         live = np.flatnonzero(np.diff(starts) > 0)
         first, at = starts[live], starts[live + 1] - 1
-        lo, hi, depth = np.zeros(live.size, np.int64), np.full(live.size, self.size, np.int64), np.zeros(live.size, np.int64)
+        lo, hi, n = np.zeros(live.size, np.int64), np.full(live.size, self.size, np.int64), np.zeros(live.size, np.int64)
         while at.size:
-            full = np.flatnonzero(depth == self.depth)
-            k = np.searchsorted(self.cuts, lo[full], "right")
-            lo[full], hi[full] = self.cuts[k - 1], self.cuts[k]
-            depth[full] -= 1
+            full = np.flatnonzero(n == self.depth)
+            if full.size:
+                n[full] -= 1
+                self._shorten(full, lo, hi, n)
             symbol = words[at]
             known = symbol < self.less.size - 2
-            lo, hi = self.step(np.where(known, symbol, 0), lo, hi)
-            ok = known & (lo < hi)
-            # A context that is taken up again passes places that it, or a longer one before it, has matched.
-            out[at[ok]] = np.maximum(out[at[ok]], depth[ok] + 1)
-            at = np.where(ok, at - 1, np.where(known & (depth > 0), at + depth - 1, at - 1))
-            lo, hi, depth = np.where(ok, lo, 0), np.where(ok, hi, self.size), np.where(ok, depth + 1, 0)
+            to_lo, to_hi = self.step(np.where(known, symbol, 0), lo, hi)
+            ok = known & (to_lo < to_hi)
+            n = np.where(ok, n + 1, n)
+            out[at[ok]] = n[ok]
+            lo, hi = np.where(ok, to_lo, lo), np.where(ok, to_hi, hi)
+            failed = np.flatnonzero(~ok & (n > 0))
+            # A word that the index has nowhere ends every context, and so does one that an empty one fails at.
+            moved = ok | (n == 0)
+            if failed.size:
+                n[failed] = np.where(known[failed], np.maximum(self.common[lo[failed]], self.common[hi[failed]]), 0)
+                self._shorten(failed, lo, hi, n)
+            at = at - moved
             go_on = at >= first
-            first, at, lo, hi, depth = first[go_on], at[go_on], lo[go_on], hi[go_on], depth[go_on]
+            first, at, lo, hi, n = first[go_on], at[go_on], lo[go_on], hi[go_on], n[go_on]
         return out
+
+    def _shorten(self, which: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> None:
+        """Widen ranges to all the suffixes that agree in ``n`` words."""
+        for k in np.unique(n[which]).tolist():
+            some = which[n[which] == k]
+            i = np.searchsorted(self.cuts[k], lo[some], "right")
+            lo[some], hi[some] = self.cuts[k][i - 1], self.cuts[k][i]

@@ -1,39 +1,50 @@
 """Line deduplication over sharded cuckoo filters and exact reference counts, with deletion of documents.
 
-A line's key is 128 bits of its stripped, lower-cased text. The state of an index is three tables:
+A line's key is 128 bits of its stripped, lower-cased text; among 10^12 different lines two have the same
+once in 10^15 tables. The state of an index is three tables:
 
 * ``refs`` (k1, k2, doc_id): which document holds which key;
-* ``counts`` (k1, k2, shard, n, first, last): how many documents hold a key, and the first and last of them;
+* ``counts`` (k1, k2, n, first, last, again): for each insertion and key, how many documents hold it, and the
+  first and last of them; ``again`` tells that an earlier row has the same key;
 * ``filters`` (shard, filter): a cuckoo filter of each shard's keys.
 
-Inserting documents asks the filters first: keys that they do not know are new and are appended without
-looking at the counts; only the others are looked up. Deleting documents takes their references away,
-recounts the keys concerned and drops keys without references from counts and filters, after which the
-index is as if they had never been there. Shards follow the hash of the key, so a line that every document
-holds is one row in one of them; counting combines before the shuffle.
+Inserting documents asks the filters first, and only these: keys that they do not know are appended as new,
+and nothing is looked up for them. Keys that they may know are looked up in the counts; those that are there
+are appended with ``again``, the few others are new as well and go into the filters. Reading merges the rows
+of the keys that came again and takes the others as they are, so that a key the filters missed would lose its
+earlier count: what they answer decides. Deleting documents takes their references away, counts the keys
+concerned anew and takes keys without references out of counts and filters, after which the index is as if
+the documents had never been there.
+
+Shards follow the hash of the key, so a line that every document holds is one row in one of them; counting
+combines before the shuffle. When the keys outgrow the shards, there are twice as many, and their filters are
+built anew from the counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import checkpointed, name
+from quillstone.llm.common import checkpointed, name, ordered_id
 from quillstone.llm.cuckoo import CuckooFilter
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Code points of a key, at least.
 MIN_KEY = 10
-#: Stands for a null doc_id: after all others.
-NO_ID = 2**63 - 1
-COUNTS = "k1 long, k2 long, shard long, n long, first long, last long"
+#: Keys of a shard while shards are few, and at most.
+SHARD_KEYS, MOST_KEYS, MANY_SHARDS = 2048, 1_000_000, 8192
+#: Insertions that a whole table is dealt to.
+BATCHES = 3
+KEY = ["k1", "k2"]
+COUNTS = "k1 long, k2 long, n long, first long, last long, again boolean"
+FILTERS = "shard long, filter binary"
 
 
 def line_key(line: bytes) -> tuple[int, int] | None:
@@ -45,10 +56,6 @@ def line_key(line: bytes) -> tuple[int, int] | None:
     return (h >> 64) - (h >> 127 << 64), (h & (1 << 64) - 1) - ((h >> 63 & 1) << 64)
 
 
-def _with_id(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(name("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), name("text").alias("text"))
-
-
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, k1, k2 = [], [], []
@@ -62,7 +69,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(k1, k2, doc_id) for the distinct keys of every row."""
-    return _with_id(docs).mapInArrow(_postings, "k1 long, k2 long, doc_id long")
+    slim = docs.select(ordered_id(name("doc_id"), name("text")).alias("doc_id"), name("text").alias("text"))
+    return slim.mapInArrow(_postings, "k1 long, k2 long, doc_id long")
 
 
 @dataclass
@@ -70,141 +78,201 @@ class LineIndex:
     """An index over lines. ``insert`` and ``delete`` give new ones; no table is changed in place."""
 
     shards: int
+    keys: int
     refs: DataFrame
     counts: DataFrame
     filters: DataFrame
 
     @classmethod
-    def empty(cls, spark: SparkSession, shards: int = 0) -> LineIndex:
-        """An index of nothing; with 0 shards the first insertion chooses their number by its keys."""
-        return cls(shards, spark.createDataFrame([], "k1 long, k2 long, doc_id long"), spark.createDataFrame([], COUNTS), spark.createDataFrame([], "shard long, filter binary"))
+    def empty(cls, spark: SparkSession, shards: int = 1) -> LineIndex:
+        """An index of nothing."""
+        return cls(shards, 0, spark.createDataFrame([], "k1 long, k2 long, doc_id long"), spark.createDataFrame([], COUNTS), spark.createDataFrame([], FILTERS))
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents. What a document already holds is counted once."""
-        new = postings(docs).distinct().join(self.refs, ["k1", "k2", "doc_id"], "left_anti")
-        batch = checkpointed(new.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-        shards = self.shards or _shards_for(batch.count())
-        batch = batch.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("long")).select("k1", "k2", "shard", "n", "first", "last")
-        asked = checkpointed(batch.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_ask_and_add, f"{COUNTS}, seen boolean, filter binary"))
+        return self.insert_postings(postings(docs).distinct())
+
+    def insert_postings(self, found: DataFrame) -> LineIndex:
+        """Add distinct (k1, k2, doc_id)."""
+        new = found if not self.keys else found.join(self.refs, [*KEY, "doc_id"], "left_anti")
+        new = checkpointed(new.select(*KEY, "doc_id"))
+        batch = checkpointed(new.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+        added = batch.count()
+        before = self._for(self.keys + added)
+        by_shard = batch.withColumn("shard", before._shard()).groupBy("shard").cogroup(before.filters.groupBy("shard"))
+        asked = checkpointed(by_shard.applyInArrow(_ask_and_add, "k1 long, k2 long, n long, first long, last long, seen boolean, shard long, filter binary"))
+        fresh = asked.filter("not seen").select(*batch.columns, F.lit(False).alias("again"))
+        perhaps = asked.filter("seen").select(batch.columns)
+        known = checkpointed(perhaps.join(self.counts.select(*KEY).distinct().withColumn("again", F.lit(True)), KEY, "left").withColumn("again", F.coalesce("again", F.lit(False))))
         filters = asked.filter("k1 is null").select("shard", "filter")
-        fresh = asked.filter("k1 is not null and not seen").drop("seen", "filter")
-        known = asked.filter("k1 is not null and seen").drop("seen", "filter")
-        merged = _merge(self.counts.unionByName(known))
-        counts = fresh.unionByName(merged)
-        # A key taken for a known one by mistake is not in its filter yet: it has no counts from before.
-        mistaken = known.join(self.counts, ["k1", "k2"], "left_anti").select("k1", "k2", "shard")
-        full = filters.filter("filter is null").select("shard")
-        again = mistaken.select("shard").union(full).distinct()
-        rebuilt = counts.select("k1", "k2", "shard").join(again, "shard", "left_semi").groupBy("shard").applyInPandas(_build, "shard long, filter binary")
-        untouched = self.filters.join(filters, "shard", "left_anti")
-        filters = filters.join(again, "shard", "left_anti").unionByName(rebuilt).unionByName(untouched)
-        return LineIndex(shards, self.refs.unionByName(new), counts, filters)
+        filters = filters.unionByName(before.filters.join(filters, "shard", "left_anti"))
+        mistaken = known.filter("not again")
+        if not mistaken.isEmpty():
+            filters = mistaken.withColumn("shard", before._shard()).groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_add, FILTERS)
+        counts = self.counts.unionByName(checkpointed(fresh.unionByName(known)))
+        after = replace(before, keys=self.keys + added - known.filter("again").count(), refs=self.refs.unionByName(new), counts=counts, filters=checkpointed(filters))
+        return after._with_full_rebuilt()
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        """Take documents (doc_id) out again."""
-        ids = docs.select(F.coalesce(name("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
-        refs = self.refs.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id")
-        touched = self.refs.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct()
-        left = refs.join(touched, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        left = left.withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("long")).select("k1", "k2", "shard", "n", "first", "last")
-        counts = self.counts.join(touched, ["k1", "k2"], "left_anti").select(left.columns).unionByName(left)
-        gone = touched.join(left, ["k1", "k2"], "left_anti").withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("long"))
-        filters = gone.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_remove, "shard long, filter binary")
-        return LineIndex(self.shards, refs, counts, filters)
+        """Take documents (doc_id, text) out again; without doc_id a document is known by its text."""
+        ids = checkpointed(docs.select(ordered_id(name("doc_id"), name("text")).alias("doc_id")).distinct())
+        refs = checkpointed(self.refs.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id"))
+        touched = checkpointed(self.refs.join(ids, "doc_id", "left_semi").select(*KEY).distinct())
+        left = checkpointed(refs.join(touched, KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.lit(False).alias("again")))
+        counts = checkpointed(self.counts.join(touched, KEY, "left_anti").select(left.columns).unionByName(left))
+        gone = checkpointed(touched.join(left, KEY, "left_anti").withColumn("shard", self._shard()))
+        filters = checkpointed(gone.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_remove, FILTERS))
+        return replace(self, keys=self.keys - gone.count(), refs=refs, counts=counts, filters=filters)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Which of the ``keys`` (k1, k2) the filters may know: a column ``seen``. For tests and monitoring."""
-        asked = keys.select("k1", "k2", F.pmod("k1", F.lit(self.shards)).cast("long").alias("shard"))
-        return asked.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_ask, "k1 long, k2 long, seen boolean")
+        asked = keys.select(*KEY, self._shard().alias("shard"))
+        return asked.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_ask, "k1 long, k2 long, seen boolean")
+
+    def totals(self) -> DataFrame:
+        """(k1, k2, n, first, last): one row for each key. Only keys that came again have rows to merge."""
+        again = checkpointed(self.counts.filter("again").select(*KEY).distinct())
+        merged = self.counts.join(again, KEY, "left_semi").groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+        return self.counts.join(again, KEY, "left_anti").drop("again").unionByName(merged)
 
     def repeated(self) -> DataFrame:
         """(k1, k2, first) for the keys of at least two documents."""
-        return self.counts.filter("first < last").select("k1", "k2", "first")
+        return self.totals().filter("first < last").select(*KEY, "first")
+
+    def _shard(self):
+        return F.pmod("k1", F.lit(self.shards)).cast("long")
+
+    def _for(self, keys: int) -> LineIndex:
+        """The index with shards enough for so many keys: doubled, and their filters built anew, as often as needed."""
+        shards = self.shards
+        while keys > shards * (SHARD_KEYS if shards < MANY_SHARDS else MOST_KEYS):
+            shards *= 2
+        if shards == self.shards or not self.keys:
+            return replace(self, shards=shards)
+        more = replace(self, shards=shards)
+        return replace(more, filters=checkpointed(more._built(self.counts)))
 
+    def _built(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*KEY).distinct().withColumn("shard", self._shard()).groupBy("shard").applyInArrow(_build, FILTERS)
 
-def _shards_for(keys: int) -> int:
-    """About 1,024 keys a shard while shards are few, and a million when they are many."""
-    return max(1, -(-keys // 1_000_000), min(-(-keys // 1024), 8192))
+    def _with_full_rebuilt(self) -> LineIndex:
+        """Filters that had no room are null; they are built anew, larger, from the exact keys."""
+        full = self.filters.filter("filter is null").select("shard")
+        if full.isEmpty():
+            return self
+        rows = self.counts.withColumn("shard", self._shard()).join(full, "shard", "left_semi")
+        return replace(self, filters=checkpointed(self.filters.filter("filter is not null").unionByName(self._built(rows))))
 
 
-def _merge(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("k1", "k2", "shard").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("k1").to_numpy(), table.column("k2").to_numpy()
 
 
-def _keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return pdf["k1"].to_numpy(np.int64), pdf["k2"].to_numpy(np.int64)
+def _filter_of(state: pa.Table) -> CuckooFilter | None:
+    return CuckooFilter.from_bytes(state.column("filter")[0].as_py()) if state.num_rows and state.column("filter")[0].is_valid else None
 
 
-def _ask_and_add(batch: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _state(shard: int, data: bytes | None) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int64()), "filter": pa.array([data], pa.binary())})
+
+
+def _ask_and_add(batch: pa.Table, state: pa.Table) -> pa.Table:
     """One shard: which keys its filter may know; the others go into it. Its filter is the last row, null if full."""
+    if not batch.num_rows:
+        return _asked(batch, np.empty(0, bool), state.column("shard")[0].as_py(), state.column("filter")[0].as_py())
     k1, k2 = _keys(batch)
-    if len(state):
-        f = CuckooFilter.from_bytes(state["filter"].iloc[0])
+    f = _filter_of(state)
+    if f is None:
+        seen, data = np.zeros(k1.size, bool), CuckooFilter.of(k1, k2).to_bytes()
+    else:
         seen = f.contains(k1, k2)
         data = f.to_bytes() if f.insert(k1[~seen], k2[~seen]) else None
-        shard = state["shard"].iloc[0]
-    else:
-        seen, data, shard = np.zeros(k1.size, bool), CuckooFilter.of(k1, k2).to_bytes(), batch["shard"].iloc[0]
-    out = batch.assign(seen=seen, filter=None)
-    last = pd.DataFrame([{"k1": None, "k2": None, "shard": shard, "n": None, "first": None, "last": None, "seen": None, "filter": data}])
-    whole = [c for c in ("k1", "k2", "n", "first", "last")]
-    return pd.concat([out.astype(dict.fromkeys(whole, "Int64")).astype({"seen": "boolean", "filter": object}), last.astype(dict.fromkeys(whole, "Int64")).astype({"seen": "boolean", "filter": object})])
+    return _asked(batch, seen, batch.column("shard")[0].as_py(), data)
+
 
+def _asked(batch: pa.Table, seen: np.ndarray, shard: int, data: bytes | None) -> pa.Table:
+    n = batch.num_rows
+    columns = {c: pa.concat_arrays([*batch.column(c).chunks, pa.nulls(1, pa.int64())]) for c in ("k1", "k2", "n", "first", "last")}
+    return pa.table(columns | {"seen": pa.array([*seen.tolist(), None], pa.bool_()), "shard": pa.array([shard] * (n + 1), pa.int64()), "filter": pa.array([None] * n + [data], pa.binary())})
 
-def _ask(batch: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+
+def _add(keys: pa.Table, state: pa.Table) -> pa.Table:
+    """Keys that are new though the filter seemed to know them go into it; null if it is full."""
+    f = _filter_of(state)
+    if not keys.num_rows or f is None:
+        return _state(state.column("shard")[0].as_py(), state.column("filter")[0].as_py())
+    return _state(keys.column("shard")[0].as_py(), f.to_bytes() if f.insert(*_keys(keys)) else None)
+
+
+def _ask(batch: pa.Table, state: pa.Table) -> pa.Table:
+    f = _filter_of(state)
     k1, k2 = _keys(batch)
-    seen = CuckooFilter.from_bytes(state["filter"].iloc[0]).contains(k1, k2) if len(state) else np.zeros(k1.size, bool)
-    return batch[["k1", "k2"]].assign(seen=seen)
+    return pa.table({"k1": batch.column("k1"), "k2": batch.column("k2"), "seen": pa.array(f.contains(k1, k2) if f else np.zeros(k1.size, bool))})
 
 
-def _remove(gone: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    if len(gone) and len(state):
-        f = CuckooFilter.from_bytes(state["filter"].iloc[0])
+def _remove(gone: pa.Table, state: pa.Table) -> pa.Table:
+    f = _filter_of(state)
+    if f is not None and gone.num_rows:
         f.delete(*_keys(gone))
-        return pd.DataFrame({"shard": state["shard"], "filter": [f.to_bytes()]})
-    return state
+        return _state(state.column("shard")[0].as_py(), f.to_bytes())
+    return state.select(["shard", "filter"])
 
 
-def _build(keys: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"shard": keys["shard"].iloc[:1], "filter": [CuckooFilter.of(*_keys(keys)).to_bytes()]})
+def _build(keys: pa.Table) -> pa.Table:
+    return _state(keys.column("shard")[0].as_py(), CuckooFilter.of(*_keys(keys)).to_bytes())
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, dropped keys) to rows (doc_id, n_lines, n_dropped, text)."""
+    """Rows (doc_id, text, dropped keys) to rows (doc_id, n_lines, n_dropped, text), a bounded number of bytes at a time."""
+    out: list[tuple] = []
+    held = 0
+
+    def rows() -> pa.RecordBatch:
+        columns = zip(*out, strict=True)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays[:3], arrays[3].cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
+
     for batch in batches:
-        lines_of, dropped_of, texts = [], [], []
-        for text, drop in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
-            lines = (text.as_py() or b"").split(b"\n")
+        for doc_id, text, drop in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
+            lines = kept = (text.as_py() or b"").split(b"\n")
             if drop.is_valid:
                 keys = {(d["k1"], d["k2"]) for d in drop.as_py()}
                 kept = [x for x in lines if line_key(x) not in keys]
-            else:
-                kept = lines
-            lines_of.append(len(lines))
-            dropped_of.append(len(lines) - len(kept))
-            texts.append(b"\n".join(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines_of, pa.int64()), pa.array(dropped_of, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
-
-
-def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
+            left = b"\n".join(kept)
+            out.append((doc_id, len(lines), len(lines) - len(kept), left))
+            held += len(left)
+            if held > 64_000_000 or len(out) == 1000:
+                yield rows()
+                out.clear()
+                held = 0
+    if out:
+        yield rows()
+
+
+def drop_lines(docs: DataFrame, index: LineIndex, found: DataFrame | None = None) -> DataFrame:
     """Documents without the lines that an earlier document of ``index`` holds: doc_id, n_lines, n_dropped, text.
 
     A key of at least two documents loses its lines in all but the one with the smallest doc_id; lines with
     keys of under 10 code points stay. A null or empty text is one empty line. Rows with the same doc_id
-    count as one document and each keep what it keeps; rows without doc_id count as one document after all
-    others. An empty table gives an empty result.
+    count as one document and each keep what it keeps. Rows without doc_id come after all others, in the order
+    of a hash of their text, those with equal texts as one document. Other columns, whatever their names, are
+    not read. An empty table gives an empty result. ``found`` are the postings of ``docs`` where they are known.
     """
     # Read back, both sides of the join are plain exchanges, which adaptive execution splits at a hot key.
-    repeated = postings(docs).join(checkpointed(index.repeated()), ["k1", "k2"]).filter("doc_id <> first")
-    drops = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
-    rows = _with_id(docs).join(drops, "doc_id", "left").select("doc_id", "text", "keys")
-    out = rows.mapInArrow(_without, "doc_id long, n_lines long, n_dropped long, text string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``drop_lines`` for a whole table, by an index built of it."""
-    return drop_lines(docs, LineIndex.empty(docs.sparkSession).insert(docs))
+    repeated = (postings(docs) if found is None else found).join(checkpointed(index.repeated()), KEY).filter("doc_id <> first")
+    drops = repeated.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct(*KEY)).alias("keys"))
+    rows = docs.select(name("doc_id").cast("long").alias("doc_id"), name("text").alias("text"), ordered_id(name("doc_id"), name("text")).alias("own"))
+    return rows.join(drops, "own", "left").select("doc_id", "text", "keys").mapInArrow(_without, "doc_id long, n_lines long, n_dropped long, text string")
+
+
+def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """``drop_lines`` for a whole table, by an index into which it is inserted in ``batches`` of documents."""
+    found = checkpointed(postings(docs).distinct())
+    index = LineIndex.empty(docs.sparkSession)
+    for k in range(batches):
+        index = index.insert_postings(found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    return drop_lines(docs, index, found)
 
 
 LINES_SQL = r"""

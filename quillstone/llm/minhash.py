@@ -4,13 +4,13 @@
    bins; the least hash of each bin is the sketch, and an empty bin takes the value of the first filled
    bin in its own fixed random sequence (optimal densification).
 2. Documents with equal sets form a class, which goes on as one row.
-3. Bands of the sketch are bucket keys. The first round compares, in each bucket, the smallest member with
-   each other one: a star, whose edges grow with the members, not with their pairs. Confirmed links are
-   joined to components.
-4. A bucket whose members are all of one component is done, and so is a member that has been a centre, as it
-   has met all the others. What is left of a bucket has new centres: members from outside its largest
-   component, a few more in every round. So the pairs compared are a bucket's odd members times its size,
-   and near copies of one text, however many, cost one star.
+3. Bands of the sketch are bucket keys. A bucket is a star with its smallest member as its centre, and the
+   first round compares each document with the least of its buckets' centres, one edge for each document.
+   Confirmed links are joined to components.
+4. A bucket whose members are all of one component is done. What is left has new centres: members from
+   outside its largest component, a few more in every round, which are compared with all of the bucket's
+   members in other components and leave it then. So the pairs compared are a bucket's odd members times its
+   size, and near copies of one text, however many, cost one star.
 5. Rounds end when no bucket holds two components: every pair of a bucket has then been compared, or is
    joined by links of others. The components are the result.
 """
@@ -34,7 +34,7 @@ SIMILARITY = 75
 BANDS, ROWS = 64, 6
 #: Members of a star that go to one group of rows, about, each with the star's centres.
 BLOCK = 256
-#: Centres of a bucket in the first round, in the second, and so on; the last figure holds for all later ones.
+#: Centres of a bucket in the second round, in the third, and so on; the last figure holds for all later ones.
 CENTRES = (1, 4, 16, 64)
 SEED = 20_011
 
@@ -178,12 +178,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(members: DataFrame, slim: DataFrame) -> DataFrame:
-    """The links (a, b) between the members (rep, n, centres: array of (rep, n)) of stars and their centres.
+    """The links (a, b) between the members (rep, n, label, centres: array of these) of stars and their centres.
 
-    Stars with the same centres are one, whatever their buckets. Only members that some centre's size allows
-    a link with are compared. A star's members are cut into blocks, which bring the centres' texts with them.
+    Stars with the same centres are one, whatever their buckets. Only members of another component than some
+    centre, whose size allows a link, are compared. A star's members are cut into blocks, which bring the centres' texts with them.
     """
-    fits = F.exists("centres", lambda c: (c["rep"] != F.col("rep")) & (100 * F.least(c["n"], F.col("n")) >= SIMILARITY * F.greatest(c["n"], F.col("n"))))
+    fits = F.exists("centres", lambda c: (c["label"] != F.col("label")) & (100 * F.least(c["n"], F.col("n")) >= SIMILARITY * F.greatest(c["n"], F.col("n"))))
     pairs = checkpointed(members.filter(fits).select(F.transform("centres", lambda c: c["rep"]).alias("star"), "rep").distinct())
     blocks = pairs.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = pairs.join(blocks, "star").select(F.xxhash64("star").alias("star"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), F.col("rep").alias("node"))
@@ -202,23 +202,26 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 def links_of(buckets: DataFrame, slim: DataFrame) -> tuple[DataFrame | None, int]:
     """Labels (node, label) of the components that the links within buckets (key, rep, n) join, and the rounds taken."""
     open_ = buckets.withColumn("label", F.col("rep"))
+    one = F.struct("rep", "n", "label")
     links = labels = None
     rounds = 0
     while not open_.isEmpty():
-        slots = CENTRES[min(rounds, len(CENTRES) - 1)]
-        one = F.struct("rep", "n")
         if rounds == 0:
-            centres = open_.groupBy("key").agg(F.array(F.min(one)).alias("centres"))
+            least = open_.groupBy("key").agg(F.min(one).alias("least"))
+            members = open_.join(least, "key").groupBy("rep", "n", "label").agg(F.array(F.min("least")).alias("centres"))
+            left = open_.select("key", "rep", "n")
         else:
+            slots = F.lit(CENTRES[min(rounds, len(CENTRES)) - 1])
             sizes = open_.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest"))
-            odd = open_.join(checkpointed(sizes), "key").filter("label <> largest").groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")).agg(F.min(one).alias("centre"))
+            odd = open_.join(sizes, "key").filter("label <> largest").groupBy("key", F.pmod(F.xxhash64("rep"), slots).alias("slot")).agg(F.min(one).alias("centre"))
             centres = odd.groupBy("key").agg(F.array_sort(F.collect_list("centre")).alias("centres"))
-        with_centres = checkpointed(open_.join(checkpointed(centres), "key"))
-        found = checkpointed(_stars(with_centres, slim))
+            members = checkpointed(open_.join(centres, "key"))
+            # A centre is done after its round.
+            left = members.filter(~F.exists("centres", lambda c: c["rep"] == F.col("rep"))).select("key", "rep", "n")
+        found = checkpointed(_stars(members, slim))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        left = with_centres.filter(~F.exists("centres", lambda c: c["rep"] == F.col("rep"))).select("key", "rep", "n")
         left = _labelled(left, labels)
         several = left.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a < z").select("key")
         open_ = checkpointed(left.join(several, "key", "left_semi"))

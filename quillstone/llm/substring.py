@@ -32,15 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import checkpointed, name, small
+from quillstone.llm.common import NO_ID, checkpointed, name, ordered_id, small
 from quillstone.llm.fm_index import FmIndex
 from quillstone.llm.words import WordHashes, mixed
 
 WINDOW = 20
 #: Words in the runs that give minimisers, and in those that give second ones.
 RUN, RUN2 = 8, 14
-#: Ids from here on stand for the texts of rows without doc_id: after all others.
-NO_ID = 2**62
 #: Documents with a minimiser from which on its windows are counted, and equal pieces combined, before they are sharded.
 BUSY = 4096
 #: Windows in a piece, at most, and words in one index, about.
@@ -79,9 +77,7 @@ def distinct(a: np.ndarray) -> np.ndarray:
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
-    """doc_id and text; rows without doc_id have one after all others, by the hash of their text."""
-    own = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(name("text")), 2)
-    return docs.select(F.coalesce(name("doc_id").cast("long"), own).alias("doc_id"), name("text").alias("text"))
+    return docs.select(ordered_id(name("doc_id"), name("text")).alias("doc_id"), name("text").alias("text"))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -130,7 +126,7 @@ def pieces_of(low: np.ndarray, keep: np.ndarray) -> list[tuple[int, int]]:
     return [(a + k, min(PIECE, n - k)) for a, n in runs if keep[a] for k in range(0, n, PIECE)]
 
 
-PIECES = "m long, doc_id long, start int, words array<long>"
+PIECES = "m long, doc_id long, start int, words array<int>"
 
 
 def _pieces_by(select):
@@ -147,10 +143,11 @@ def _pieces_by(select):
                 m, ids, starts, out = [], [], [], []
                 for doc_id, value, wanted in zip(some.column(0).to_pylist(), some.column(1).cast(pa.large_binary()), some.column(2), strict=True):
                     h = hashes.of((value.as_py() or b"").split())
+                    ids32 = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     by, keep = select(*windows(h), wanted.values.to_numpy().view(np.uint64))
                     seen = set()
                     for a, n in pieces_of(by, keep):
-                        words = h[a : a + n + WINDOW - 1].view(np.int64)
+                        words = ids32[a : a + n + WINDOW - 1]
                         key = words.tobytes()
                         if key not in seen:
                             seen.add(key)
@@ -159,7 +156,7 @@ def _pieces_by(select):
                             starts.append(a)
                             out.append(words)
                 offsets = pa.array(np.concatenate(([0], np.cumsum([w.size for w in out]))).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.empty(0, np.int64)])))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.empty(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), lists], names=["m", "doc_id", "start", "words"])
 
     return run
@@ -174,7 +171,7 @@ def earlier_in_shard(m: np.ndarray, doc: np.ndarray, start: np.ndarray, words: n
     """(doc_id, start, windows) of the windows of a shard's pieces that an earlier document has."""
     size = np.diff(cuts)
     place = np.arange(words.size) - np.repeat(cuts[:-1], size)
-    h = np.add.reduceat(mixed(words.view(np.uint64) + mixed(place.astype(np.uint64) + np.uint64(1))), cuts[:-1]) + mixed(m.view(np.uint64))
+    h = np.add.reduceat(mixed(words.view(np.uint32).astype(np.uint64) + mixed(place.astype(np.uint64) + np.uint64(1))), cuts[:-1]) + mixed(m.view(np.uint64))
     order = np.lexsort((start, doc, h))
     new = np.concatenate(([True], h[order[1:]] != h[order[:-1]]))
     first = order[new]
@@ -189,33 +186,40 @@ def earlier_in_shard(m: np.ndarray, doc: np.ndarray, start: np.ndarray, words: n
     rank = np.cumsum(np.concatenate(([True], (doc[pieces[1:]] != doc[pieces[:-1]]) | change[1:]))) - 1
     rank -= rank[change][group]
     most = np.maximum.reduceat(rank, np.flatnonzero(change))[group]
-    for bit in range(int(most.max()).bit_length()):
-        met = np.flatnonzero(most >> bit)
-        context = (rank[met] >> (bit + 1)) + group[met] * (int(most.max()) + 1)
-        later = (rank[met] >> bit & 1).astype(bool)
-        met = met[np.isin(context, context[later])]
-        if met.size:
-            out += _streamed(pieces[met], (rank[met] >> (bit + 1)) + group[met] * (int(most.max()) + 1), (rank[met] >> bit & 1).astype(bool), doc, start, words, cuts)
+    wide = int(most.max()) + 1
+    for bit in range(wide.bit_length()):
+        context, later = (rank >> (bit + 1)) + group * wide, (rank >> bit & 1).astype(bool)
+        # Both sides of a context, or there is nothing to search or nowhere to search it.
+        both = np.flatnonzero((most >> bit > 0) & np.isin(context, context[later]) & np.isin(context, context[~later]))
+        if both.size:
+            found, windows_of = _streamed(pieces[both], context[both], later[both], words, cuts)
+            piece = pieces[both][found[0]]
+            out.append((doc[piece], start[piece] + found[1], found[2]))
+            # A piece with all its windows in earlier ones adds nothing to later indexes.
+            done = both[windows_of == size[pieces[both]] - WINDOW + 1]
+            pieces, group, rank, most = (np.delete(x, done) for x in (pieces, group, rank, most))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _streamed(pieces: np.ndarray, context: np.ndarray, later: np.ndarray, doc: np.ndarray, start: np.ndarray, words: np.ndarray, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Stream the later ones of the pieces through an index of the others; words match within a context only."""
+def _streamed(pieces: np.ndarray, context: np.ndarray, later: np.ndarray, words: np.ndarray, cuts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Stream the later ones of the pieces through an index of the others; words match within a context only.
+
+    Gives (place in ``pieces``, offset, windows) of the intervals found, and the windows found of each piece.
+    """
     size = cuts[pieces + 1] - cuts[pieces]
-    text = np.concatenate([words[cuts[i] : cuts[i + 1]] for i in pieces]).view(np.uint64)
-    # Ids of (context, word): the hash of a word is 64 bits, and so is that of the two.
+    starts = lambda of: np.concatenate(([0], np.cumsum(size[of])))
+    cut = starts(slice(None))
+    text = words[np.repeat(cuts[pieces] - cut[:-1], size) + np.arange(cut[-1])].view(np.uint32).astype(np.uint64)
+    # Ids of (context, word), from 64 bits for the two.
     _, ids = np.unique(mixed(text + mixed(np.repeat(context, size).astype(np.uint64))), return_inverse=True)
     streamed = np.repeat(later, size)
-    starts = lambda of: np.concatenate(([0], np.cumsum(size[of])))
-    index = FmIndex(ids[~streamed], starts(~later), WINDOW)
     cut = starts(later)
-    there = np.flatnonzero(index.statistics(ids[streamed], cut) >= WINDOW)
-    if not there.size:
-        return []
+    there = np.flatnonzero(FmIndex(ids[~streamed], starts(~later), WINDOW).statistics(ids[streamed], cut) >= WINDOW)
     owner = np.repeat(np.arange(cut.size - 1), np.diff(cut))[there]
-    run = np.flatnonzero(np.concatenate(([True], (np.diff(there) != 1) | (np.diff(owner) != 0))))
-    piece = pieces[later][owner[run]]
-    return [(doc[piece], start[piece] + there[run] - cut[owner[run]], np.diff(np.append(run, there.size)))]
+    windows_of = np.zeros(pieces.size, np.int64)
+    windows_of[later] = np.bincount(owner, minlength=cut.size - 1)
+    run = np.flatnonzero(np.concatenate(([True], (np.diff(there) != 1) | (np.diff(owner) != 0)))) if there.size else there
+    return (np.flatnonzero(later)[owner[run]], there[run] - cut[owner[run]], np.diff(np.append(run, there.size))), windows_of
 
 
 def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +316,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     document with more than one text: neither makes the other's windows earlier. Rows without doc_id come
     after all others, in the order of a hash of their text, and those with equal texts are one document.
     Other columns, whatever their names, are not read. An empty table gives an empty result. Words are
-    compared as 64-bit hashes, windows as 20 of these.
+    compared as 32-bit hashes, windows as 20 of these: two windows that differ in one word are taken for equal
+    once in four thousand million.
     """
     slim = _with_id(docs)
     read = checkpointed(slim.mapInArrow(_digests, "doc_id long, n_words long, sha string, own boolean, mins array<long>"))

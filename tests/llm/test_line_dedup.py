@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillstone.llm import line_dedup
@@ -23,7 +24,7 @@ def found(df):
 
 
 def state(index):
-    return {(r.k1, r.k2): (r.n, r.first, r.last) for r in index.counts.collect()}
+    return {(r.k1, r.k2): (r.n, r.first, r.last) for r in index.totals().collect()}
 
 
 def test_whole_table(docs):
@@ -46,13 +47,40 @@ def test_insertions_and_deletions_undo_each_other(docs):
     assert found(drop_lines(first, back)) == brute([(r.doc_id, r.text) for r in first.collect()])
 
 
-def test_full_filters_are_built_anew(docs):
+def test_full_filters_are_built_anew(docs, monkeypatch):
     small, large = docs.filter("doc_id < 10"), docs.filter("doc_id >= 10 and doc_id < 150")
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 10**6)
     index = LineIndex.empty(docs.sparkSession).insert(small).insert(large)
     assert index.shards == 1
     assert index.lookup(index.counts).filter("not seen").count() == 0
 
 
+def test_shards_double_with_the_keys(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 50)
+    index = LineIndex.empty(docs.sparkSession)
+    shards = [1]
+    for k in range(3):
+        index = index.insert(docs.filter(f"doc_id % 3 = {k}"))
+        shards.append(index.shards)
+    assert shards[1] < shards[3] and index.keys == index.totals().count() <= 50 * index.shards
+    assert index.lookup(index.totals()).filter("not seen").count() == 0
+    assert found(drop_lines(docs, index)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    # A batch taken out and put in again leaves no trace.
+    again = index.delete(docs.filter("doc_id % 3 = 1")).insert(docs.filter("doc_id % 3 = 1"))
+    assert state(again) == state(index) and again.keys == index.keys
+
+
+def test_what_the_filters_answer_decides(docs, monkeypatch):
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert found(dedup_lines(docs)) == want
+    # A filter that knows everything costs lookups and changes nothing; one that knows nothing loses counts.
+    index = LineIndex.empty(docs.sparkSession).insert(docs.filter("doc_id % 2 = 0"))
+    for answer, right in ((True, True), (False, False)):
+        monkeypatch.setattr(line_dedup.CuckooFilter, "contains", (lambda a: lambda self, k1, k2: np.full(k1.size, a))(answer))
+        got = found(drop_lines(docs, index.insert(docs.filter("doc_id % 2 = 1"))))
+        assert (got == want) is right
+
+
 def test_odd_rows(spark, odd, none):
     rows = spark.createDataFrame(
         [(1, "Some Line Here\nshort\n\n"), (1, "some line here"), (2, " some line here\t\nother"), (None, "some LINE here"), (3, None), (4, ""), (5, "ééééééééé"), (6, "ééééééééé"), (7, "éééééééééé"), (8, "éééééééééé")],
