@@ -1,9 +1,11 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks of text. The first pass decides blocks by where they stand (menus, footers,
-adverts and the like are never text; an article or main element is where text is expected) and by
-stop-word density, length and link density. The second pass lets each ambiguous block take the label of
-the nearest decided block of its own section, or of the page where the section has none.
+A page is cut into blocks of text. The first pass decides each block by its link density, its length and the
+density of stop words: link lists are no text, and long blocks with enough stop words are. Where a block
+stands is a prior: what is in menus, footers, notices, adverts, forms and readers' comments reads like text and
+is none. Other blocks are ambiguous, the short ones above all. The second pass lets each of them take the label
+of the nearest decided block of its own section. Where its section has none, a block in the page's article is
+text and one outside of it is none; a page without an article lets it take the label of the nearest of all.
 """
 
 from __future__ import annotations
@@ -41,11 +43,13 @@ STOP_WORDS = frozenset(
     "als auch auf aus bei das dem den der des die durch ein eine einem einen einer er es für hat ich im in ist mit nach nicht sich sie sind so und von war wie zu zum zur über "
     "al como con de del el ella en entre es esta la las le lo los más no o para pero por que se sin sobre su sus también un una y".split()
 )
-STOP_DENSITY = 0.25
+#: Share of stop words from which on a long block is text, characters of a long block, share of linked ones of a list.
+STOP_DENSITY = 0.15
 LONG = 140
 LINK_DENSITY = 0.5
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+SPECIAL = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"\w+")
@@ -117,23 +121,66 @@ class _State:
                 return
 
 
+class _Tags:
+    """The tags of a page from left to right, in time linear in the page, however broken it is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last_end = page.rfind(">")
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.quotes = True
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, name, attributes, closing) of the next tag from ``at`` on; comments and the like have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), start):
+                mark = "-->" if page.startswith("<!--", start) else ">"
+                end = page.find(mark, start + 2)
+                return start, len(page) if end < 0 else end + len(mark), "", "", False
+            if start > self.last_end:
+                return None
+            m = TAG_NAME.match(page, start + 1)
+            if m:
+                end = self._end(m.end())
+                return start, end + 1, m[1].lower(), page[m.end() : end], page[start + 1] == "/"
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends: at the first > outside of quotes, or at the first one where the quotes never end.
+
+        A page whose quotes leave no > to its end is read without them from there on.
+        """
+        first = self.page.find(">", at)
+        while self.quotes:
+            m = SPECIAL.search(self.page, at)
+            if not m:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            elif m.start() >= self.last_quote[m[0]]:
+                break
+            else:
+                at = self.page.index(m[0], m.end()) + 1
+        return first
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of text of a page, in order."""
-    s, at, size = _State(), 0, len(page)
+    s, at, size, tags = _State(), 0, len(page), _Tags(page)
     while at < size:
-        m = TAG.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        found = tags.next(at)
+        text = page[at : found[0]] if found else page[at:]
         if text:
             s.parts.append(text)
             if s.links:
                 s.linked.append(text)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = m[2] or m[5]
+        _, at, tag, attributes, closing = found
         if not tag:
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag == "br":
             s.parts.append(" ")
         elif tag in RAW:
@@ -155,39 +202,37 @@ def blocks_of(page: str) -> list[Block]:
     return s.blocks
 
 
-def decide(block: Block, expected: bool) -> bool | None:
-    """First pass: whether a block is text; None for an ambiguous one. expected: the page marks its article."""
-    if block.boilerplate or (expected and not block.inside):
-        return False
-    if block.links > LINK_DENSITY * len(block.text) and not block.inside:
+def stop_density(text: str) -> float:
+    """Share of the words that are stop words."""
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def decide(block: Block) -> bool | None:
+    """First pass: whether a block is text; None for an ambiguous one."""
+    if block.boilerplate or block.links > LINK_DENSITY * len(block.text):
         return False
-    if len(block.text) >= LONG:
-        words = WORD.findall(block.text.lower())
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if density >= STOP_DENSITY and block.links <= LINK_DENSITY * len(block.text):
-            return True
-        if density < 0.05 and not block.inside:
-            return False
+    if len(block.text) >= LONG and stop_density(block.text) >= STOP_DENSITY:
+        return True
     return None
 
 
 def main_text(page: str | None) -> str:
     """The text blocks of a page joined by blank lines; '' for none."""
     blocks = blocks_of(page or "")
-    expected = any(b.inside and not b.boilerplate for b in blocks)
-    labels = [decide(b, expected) for b in blocks]
+    labels = [decide(b) for b in blocks]
+    marked = any(b.inside and not b.boilerplate for b in blocks)
     # Second pass: the nearest decided block before and after, of the same section first.
     before, after = _nearest(blocks, labels, 1), _nearest(blocks, labels, -1)
     kept = []
     for i, (b, label) in enumerate(zip(blocks, labels, strict=True)):
         if label is None:
-            near = [x for x in (before[i], after[i]) if x is not None and x[0] == b.section]
-            if b.inside:
-                # Where text is expected, only a decided neighbour of its own section can speak against a block.
-                label = all(labels[j] for _, j in near)
-            else:
-                near = near or [x for x in (before[i], after[i]) if x is not None]
-                label = bool(near) and labels[min(near, key=lambda x: (abs(x[1] - i), not labels[x[1]]))[1]]
+            near = [x for x in (before[i], after[i]) if x is not None]
+            own = [x for x in near if x[0] == b.section]
+            if not own and marked:
+                label = b.inside
+            elif near:
+                label = labels[min(own or near, key=lambda x: (abs(x[1] - i), not labels[x[1]]))[1]]
         if label:
             kept.append(b.text)
     return "\n\n".join(kept)
@@ -207,8 +252,10 @@ def _nearest(blocks: list[Block], labels: list[bool | None], step: int) -> list[
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars (its code points).
 
-    A null or empty page has the text ''. Pages are parsed whole; unclosed elements end with those around
-    them, and what never closes ends with the page. An empty table gives an empty result.
+    A null or empty page has the text ''. Pages are parsed whole, in time linear in their length; unclosed
+    elements end with those around them, and what never closes ends with the page. Repeated rows and rows with
+    one page_id each have a row. Other columns, whatever their names, are not read. An empty table gives an
+    empty result.
     """
     slim = pages.select(name("page_id").alias("page_id"), name("url").alias("url"), name("html").alias("html"))
 

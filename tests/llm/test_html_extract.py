@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from quillstone.llm.html_extract import extract, main_text
 
@@ -47,3 +48,29 @@ def test_end_tags_of_pages_that_change_length_in_lower_case():
     page = f"<body><ARTICLE><P>İ {TEXT}</P><SCRIPT>var a = 1;</SCRIPT><STYLE>p{{}}</Style><P>{TEXT}</P></ARTICLE>"
     assert len(page.lower()) != len(page)
     assert main_text(page) == f"İ {TEXT}\n\n{TEXT}"
+
+
+def test_densities_decide_where_nothing_is_marked():
+    links = "".join(f"<li><a href=/{i}>Link number {i} of the list</a>" for i in range(9))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Head</h1><p>{TEXT}</p><p>Short one.</p><ul>{links}</ul><figure><img><figcaption>A caption</figcaption></figure><p>{TEXT}</p></div><div><ul>{links}</ul><span>Imprint</span></div>"
+    assert main_text(page) == f"Head\n\n{TEXT}\n\nShort one.\n\nA caption\n\n{TEXT}"
+    # Link lists go from articles as well, and an article of short blocks alone is kept.
+    assert main_text(f"<article><p>{TEXT}</p><ul>{links}</ul><p>End.</p><p>{TEXT}</p></article>") == f"{TEXT}\n\nEnd.\n\n{TEXT}"
+    assert main_text("<nav><a href=1>Menu</a></nav><article><h1>Head</h1><p>Short.</p></article><footer>End</footer>") == "Head\n\nShort."
+
+
+def test_nothing_long_is_text_without_stop_words(monkeypatch):
+    from quillstone.llm import html_extract
+
+    page = f"<body><p>{TEXT}</p><p>Short.</p></body>"
+    assert main_text(page) == f"{TEXT}\n\nShort."
+    monkeypatch.setattr(html_extract, "STOP_WORDS", frozenset())
+    assert main_text(page) == ""
+
+
+def test_broken_pages_of_a_megabyte():
+    for piece in ("<a ", '<a "', "<a '\"", '<a ">"', "<a href='x>", "<", "</", "<!", "<p><a", "<script>", "<div>", "</div><li>", "&#", "<a =\"'>", "class class= <b class"):
+        began = time.time()
+        main_text(piece * (1_000_000 // len(piece)))
+        main_text(piece * (1_000_000 // len(piece)) + ">")
+        assert time.time() - began < 6, piece
