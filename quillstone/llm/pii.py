@@ -35,10 +35,10 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Wider patterns for candidates.
-AT_WORD = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[A-Za-z0-9-]++)+", re.I)
+AT_WORD = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[A-Za-z0-9-]++)+", re.I)
 LOCAL_PHONE = re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ .-][0-9]{2,5}){2,4}(?![\w.-]?[0-9])")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,}+|AKIA[A-Z0-9]{16}|(?:gh[pousr]|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])")
-TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? (?:[A-Z][a-zà-ÿ]{1,20})(?: [A-Z][a-zà-ÿ]{1,20}){0,2}")
+TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][a-zà-ÿ]++(?: [A-Z][a-zà-ÿ]++){0,2}")
 #: Cheap signs without which a pattern cannot match.
 AT_SIGN = re.compile(r"[\[({] ?at ?[\])}]", re.I)
 DIGIT = re.compile(r"[0-9]")
@@ -51,6 +51,9 @@ DOMAIN_ENDS = frozenset("com org net edu gov info biz io de fr es it nl eu uk us
 CALLING = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65", "35", "36", "38", "22", "23", "24", "25", "26", "27")
 GIVEN = frozenset("james john robert michael william david richard joseph thomas mary patricia jennifer linda elizabeth susan jessica sarah karen anna peter paul hans maria jean pierre marie claire jose juan carlos luis ana carmen laura".split())
+#: How issuers' keys begin, and names that keys are assigned to.
+KEY_STARTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "pk-", "pk_", "xoxa-", "xoxb-", "xoxp-")
+KEY_NAMES = re.compile(r"\b(?:[a-z0-9]+[_-])*(?:token|secret|password|passwd|key|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?$", re.I)
 #: Words near a span that speak for its kind.
 CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|adresse|correo)\b", re.I),
@@ -157,6 +160,7 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     elif kind == "secret":
         form = 1
         check = 1 if len(set(span)) >= 10 else -1
+        gazetteer = 1 if span.startswith(KEY_STARTS) or KEY_NAMES.search(before) else 0
     else:
         form = 1
         gazetteer = 1 if any(w.lower() in GIVEN for w in span.split()) else 0
@@ -170,7 +174,7 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
 def features(text: str, start: int, end: int, vote: tuple[int, ...]) -> list[int]:
     """Votes and shape of a span in few values each, so that patterns stay countable."""
     span = text[start:end]
-    return [*vote, min(3, (end - start) // 8), int(any(c.isdigit() for c in span)), int(any(c.isalpha() for c in span)), int(text[:start].endswith(("\n", "")) and (start == 0 or text[start - 1] == "\n"))]
+    return [*vote, min(3, (end - start) // 8), int(any(c.isdigit() for c in span)), int(any(c.isalpha() for c in span)), int(start == 0 or text[start - 1] == "\n")]
 
 
 SPANS = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_()), ("pattern", pa.list_(pa.int8()))])
@@ -236,7 +240,9 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """One row per row of ``docs`` (doc_id, text): doc_id and spans (start, end, kind, base, probability).
 
     Offsets are code points, ends exclusive; spans are sorted by start, then kind as listed. A null text is
-    empty and has none. Base spans never leave. An empty table gives an empty result.
+    empty and has none; texts are read whole, however long. Base spans never leave. Repeated rows and rows with
+    one doc_id each have a row and count each among the votes. Other columns, whatever their names, are not
+    read. An empty table gives an empty result.
     """
     slim = docs.select(name("doc_id").cast("long").alias("doc_id"), name("text").alias("text"))
     found = checkpointed(slim.mapInArrow(_find, SPANS_DDL))

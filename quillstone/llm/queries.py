@@ -27,16 +27,18 @@ def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", (F.col("row.size") + 1).alias("size"), "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _base_of(kind: str) -> Column:
-    return F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+def _count(kind: str, base: bool = False) -> Column:
+    of_kind = lambda s: (s["base"] if base else F.lit(True)) & (s["kind"] == kind)
+    return F.size(F.filter("spans", of_kind)).cast("long").alias(f"n_{kind}")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    number = [F.size(_base_of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    number = [*[_count(kind, base=True) for kind in pii.KINDS], F.size("spans").cast("long").alias("n_spans"), *[_count(kind) for kind in pii.EXTRA]]
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
+    base = F.filter("spans", lambda s: s["base"])
     return found.select("doc_id", *number, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 

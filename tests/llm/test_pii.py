@@ -33,7 +33,7 @@ def test_base_spans_are_those_of_the_patterns(docs):
 
 
 def test_long_runs_take_little_time():
-    for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "a@" * 100_000, "+1 " * 60_000, "(" * 200_000):
+    for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "a@" * 100_000, "+1 " * 60_000, "(" * 200_000, "a-" * 100_000, "a- at " * 40_000, "Mr A" + "a" * 200_000, "Mr Aa " * 40_000, "f" * 200_000, "sk-" * 70_000, "key_" * 50_000 + "= " + "ab12" * 9):
         pii.candidates(t, pii.base_spans(t))
 
 
@@ -75,3 +75,38 @@ def test_secrets_of_any_length():
     for secret in (short, "pk_" + "a1B2" * 4, hexes, key):
         assert found(f"use {secret} here") == [("secret", secret)]
     assert found("use sk-a1B2a1B2a1B2a1B here") == found(f"use {hexes}g here") == []
+
+
+def test_columns_of_the_query_against_plain_code(spark, docs):
+    import hashlib
+
+    from quillstone.llm.queries import QUERIES
+
+    rows = {r.doc_id: r for r in QUERIES["op3_pii"](spark, "/root/testdata/sf0.001").collect()}
+    added = 0
+    for d in docs.collect():
+        base, r = brute(d.text or ""), rows[d.doc_id]
+        join = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for *_, k in base) for kind in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(join(base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(join(base).split(",")) - {""} <= set(spans) and r.n_spans == len(spans)
+        assert r.n_secret == sum(s.startswith("secret:") for s in spans) and r.n_person == sum(s.startswith("person:") for s in spans)
+        order = [(int(s.split(":")[1]), (pii.KINDS + pii.EXTRA).index(s.split(":")[0])) for s in spans]
+        assert order == sorted(order)
+        wider = {f"{k}:{a}:{b}" for a, b, k in pii.candidates(d.text or "", pii.base_spans(d.text or ""))}
+        assert set(spans) - set(join(base).split(",")) <= wider
+        added += len(spans) - len(base)
+    assert len(rows) == docs.count() and added > 0
+
+
+def test_candidates_have_no_longest():
+    email, person = "a" * 300 + " [at] example [dot] com", "Mr " + "A" + "b" * 60
+    assert [t[a:b] for t in (f"to {email} now", f"to {person} now") for a, b, _ in pii.candidates(t, [])] == [email, person]
+
+
+def test_gazetteers_vote_on_secrets():
+    at = pii.LABELERS.index("gazetteer")
+    secret = "0a1b2c3d4e5f60718293a4b5c6d7e8f9"
+    assert pii.votes(f'api_key = "{secret}"', 11, 43, "secret")[at] == 1 and pii.votes("ghp_" + secret, 0, 36, "secret")[at] == 1
+    assert pii.votes(f"sum {secret}", 4, 36, "secret")[at] == 0
