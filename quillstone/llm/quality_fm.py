@@ -123,6 +123,10 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 150, step: float =
         out[some] = np.add.reduceat(values, starts[some], axis=0)
         return out
 
+    by_col = np.argsort(col, kind="stable")
+    col_starts = np.concatenate(([0], np.cumsum(np.bincount(col))))[:-1] if col.size else col
+    row_c, val_c = row[by_col], val[by_col][:, None]
+
     def forward() -> tuple[np.ndarray, np.ndarray]:
         u = p[:-n_stats][col] * val[:, None]
         lin = sums(u) + x @ p[-n_stats:]
@@ -136,8 +140,8 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 150, step: float =
         to[:, 0] = 1
         to *= d[:, None]
         g = np.empty_like(p)
-        for f in range(k):
-            g[:-n_stats, f] = np.bincount(col, val * to[row, f], minlength=used.size)
+        if used.size:
+            g[:-n_stats] = np.add.reduceat(val_c * to[row_c], col_starts, axis=0)
         own = np.bincount(col, val * val * d[row], minlength=used.size)
         g[:-n_stats, 1:] -= p[:-n_stats, 1:] * own[:, None]
         g[-n_stats:] = x.T @ to
@@ -182,8 +186,9 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
     A null text counts as empty and is scored like any other. Without labels of both kinds every score is
-    0.5. A null doc_id counts as the empty text when the held-out rows are told apart. An empty table
-    gives an empty result.
+    0.5. A null doc_id counts as the empty text when the held-out rows are told apart. Texts are read whole,
+    however long; repeated rows and rows with one doc_id have a row each. Other columns, whatever their names,
+    are not read. An empty table gives an empty result.
     """
     slim = docs.select(name("doc_id").cast("long").alias("doc_id"), name("text").alias("text"))
     out = slim.mapInArrow(score_with(train(docs, labels, most)), "doc_id long, score double")

@@ -1,6 +1,6 @@
 """Quality rules: statistics of a text against fixed thresholds, and a calibrated n-gram classifier.
 
-The classifier is a logistic regression over hashed words, word pairs and byte trigrams and 5-grams, each
+The classifier is a logistic regression over hashed words, word pairs and character trigrams and 5-grams, each
 as its share of the text's n-grams of that kind. It is trained on a bounded sample of labelled rows, half
 of either label as far as there are enough; a part of the sample is held back to calibrate the
 probabilities. Texts are scored whole, in Arrow batches.
@@ -60,15 +60,15 @@ def repeated_words(h: np.ndarray) -> int:
 
 
 def ngrams(text: bytes, hashes: np.ndarray) -> list[np.ndarray]:
-    """Buckets of the text's words, word pairs, byte trigrams and byte 5-grams."""
+    """Buckets of the text's words, word pairs, and trigrams and 5-grams of its code points."""
     down = np.uint64(64 - BITS)
     pairs = mixed(hashes[:-1] + hashes[1:] * np.uint64(0x9E3779B97F4A7C15))
-    b = np.frombuffer(text, np.uint8)
+    b = np.frombuffer(text if text.isascii() else text.decode().encode("utf-32-le"), np.uint8 if text.isascii() else np.uint32)
     out = [(hashes >> down).astype(np.intp), (pairs >> down).astype(np.intp)]
     for size, factor in ((3, 0x9E3779B1), (5, 0x85EBCA77)):
         code = np.zeros(max(0, b.size - size + 1), np.uint32)
         for i in range(size):
-            code *= np.uint32(257)
+            code *= np.uint32(0x01000193)
             code += b[i : i + code.size]
         out.append((code * np.uint32(factor) >> np.uint32(32 - BITS)).astype(np.intp))
     return out
@@ -154,13 +154,17 @@ def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, condition=None) -> tuple[list[bytes], list[int]]:
     """Texts and labels of at most ``most`` rows of either label, chosen by a hash of doc_id.
 
-    Only the ids chosen, a bounded number, are broadcast to find their texts.
+    ``condition`` holds for the ids (``id``) to choose from. Only the ids chosen, a bounded number, are broadcast
+    to find their texts. Where an id has several texts, the least one by their hash is its text; where it has
+    several labels, the least one is its label.
     """
-    rows = labels.select(name("doc_id").alias("id"), name(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    rows = labels.select(name("doc_id").cast("long").alias("id"), name(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"))
     rows = rows if condition is None else rows.filter(condition)
     chosen = [rows.filter(f"y = {y}").orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    got = docs.join(ids, name("doc_id") == ids["id"]).select("id", "y", F.coalesce(name("text"), F.lit("")).alias("text")).collect()
+    slim = docs.select(name("doc_id").cast("long").alias("id"), F.coalesce(name("text"), F.lit("")).alias("text"))
+    got = slim.join(ids, "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text")).collect()
     got.sort(key=lambda r: (r.id, r.text))
     return [r.text.encode() for r in got], [r.y for r in got]
 
@@ -192,7 +196,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, thresh
 
     A null text counts as empty and, having fewer than 50 words, fails. ``quality`` is the calibrated
     probability of a good label; ``kept`` needs it at ``threshold`` and no failed rule. Where ``labels``
-    (doc_id, quality) has not both labels, every text has 0.5. An empty table gives an empty result.
+    (doc_id, quality) has not both labels, every text has 0.5. Texts are read whole, however long; repeated
+    rows and rows with one doc_id have a row each. Other columns, whatever their names, are not read. An empty
+    table gives an empty result.
     """
     model = fit(*labelled_sample(docs, labels, "quality", most))
     slim = docs.select(name("doc_id").cast("long").alias("doc_id"), name("text").alias("text"))

@@ -1,10 +1,14 @@
+import functools
 import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from quillstone.llm import quality_fm, quality_rules
 from quillstone.llm.queries import QUERIES
+from quillstone.llm.words import mixed
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,3 +70,48 @@ def test_odd_rows(spark, odd, none):
         assert {r.kept for r in quality_rules.quality_rules(odd, empty).collect() if r.n_words < 50} == {False}
     assert quality_fm.classify(none, labels).count() == 0 and quality_rules.quality_rules(none, labels).count() == 0
     assert quality_fm.keep_good(odd, labels).columns == odd.columns
+
+
+def test_clashing_columns_and_repeated_ids(spark, docs):
+    clash = docs.select("doc_id", "text", *[docs["doc_id"].alias(c) for c in ("id", "y", "key", "n", "label", "quality", "score")])
+    clash = clash.union(clash)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").selectExpr("doc_id", "quality", "doc_id as id", "toxic as y")
+    texts, ys = quality_rules.labelled_sample(clash, labels, "quality", 30)
+    assert len(texts) == len(ys) <= 60 and quality_rules.labelled_sample(docs, labels, "quality", 30) == (texts, ys)
+    assert quality_rules.quality_rules(clash, labels, 30).count() == quality_fm.classify(clash, labels, 30).count() == 2 * docs.count()
+    assert quality_fm.keep_good(clash, labels, 30).columns == clash.columns
+
+
+def test_verdicts_against_plain_code(spark, docs):
+    """Both classifiers' rows from their models, each feature counted and each pair multiplied in plain Python."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality_rules.fit(*quality_rules.labelled_sample(docs, labels, "quality", 60))
+    machine = quality_fm.fit(*quality_rules.labelled_sample(docs, labels, "quality", 60, ~quality_fm.held_out(F.col("id"))))
+    scores = {r.doc_id: r for r in quality_fm.classify(docs, labels, 60).collect()}
+    verdicts = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels, 60).collect()}
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for d in docs.limit(60).collect():
+        t = d.text or ""
+        words = t.encode().split()
+        h = [xxhash.xxh3_64_intdigest(w) for w in words]
+        # The n-gram model: means of weights over words, pairs, and code points in threes and fives.
+        mix = lambda x: int(mixed(np.array([x & (1 << 64) - 1], np.uint64))[0])
+        code = lambda cs, factor: (functools.reduce(lambda a, c: (a * 0x01000193 + ord(c)) & 0xFFFFFFFF, cs, 0) * factor & 0xFFFFFFFF) >> 16
+        grams = [[x >> 48 for x in h], [mix(a + b * 0x9E3779B97F4A7C15) >> 48 for a, b in zip(h, h[1:])]]
+        grams += [[code(t[i : i + n], f) for i in range(len(t) - n + 1)] for n, f in ((3, 0x9E3779B1), (5, 0x85EBCA77))]
+        raw = model.bias + sum(np.mean([model.weights[k][g] for g in gs]) for k, gs in enumerate(grams) if gs)
+        quality = sigmoid(model.slope * raw + model.shift)
+        v = verdicts[d.doc_id]
+        assert abs(v.quality - quality) < 1e-5
+        n_words, *_, again = brute(t)
+        failed = n_words < 50 or 100 * again > 50 * n_words
+        assert v.base_failed is failed and (v.kept is (not failed and bool(v.quality >= 0.5)))
+        # The factorisation machine: the sum over all pairs of features.
+        buckets = sorted({x >> (64 - quality_fm.BITS) for x in h})
+        stats = np.clip((np.array(quality_fm.structure(t.encode(), words, np.array(h, np.uint64), len(set(h)))) - machine.mean) / machine.scale, -4, 4)
+        x = [1 / len(buckets) ** 0.5] * len(buckets) + stats.tolist()
+        w = [machine.weights[b] for b in buckets] + list(machine.weights[1 << quality_fm.BITS :])
+        if len(x) < 120:
+            z = machine.bias + sum(a * u[0] for a, u in zip(x, w)) + sum(x[i] * x[j] * float(w[i][1:] @ w[j][1:]) for i in range(len(x)) for j in range(i))
+            assert abs(scores[d.doc_id].score - sigmoid(machine.slope * z + machine.shift)) < 1e-9
+        assert scores[d.doc_id].predicted == int(scores[d.doc_id].score >= 0.7)
