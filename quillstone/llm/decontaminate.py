@@ -11,8 +11,8 @@ exhaustive above the threshold and skips by upper bounds, as block-max WAND does
 
 A retrieved item counts when enough word n-grams of both its question and its answer stand in the passage.
 Passages are windows of twice the longest item, each starting one item length after the last, so every
-occurrence lies within one. Items are indexed in shards of bounded count and like length, a pass each; document
-frequencies, item count and mean length are those of the whole benchmark and the longest item that of the length
+occurrence lies within one. Items are indexed in shards of bounded size and like length, many of which go with
+one pass over the documents; document frequencies, item count and mean length are those of the whole benchmark and the longest item that of the length
 class, so how a class is cut into shards changes no score and no passage.
 """
 
@@ -38,8 +38,10 @@ GRAM = 5
 #: The last third of an item's words is its answer where none is marked.
 ANSWER = 1 / 3
 BLOCK = 4
-#: Items in a shard, at most.
-SHARD_ITEMS = 4096
+#: Items of a shard, and terms of all of them, at most, about; one item is never cut.
+SHARD_ITEMS, SHARD_TERMS = 4096, 400_000
+#: Postings of the shards that one pass over the documents takes, at most, about: 20 bytes each in every task.
+PASS_POSTINGS = 4_000_000
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
 
@@ -107,11 +109,8 @@ class Index:
                 break
             gained[self.item[i:j]] += self.weight[i:j]
             rare[term_id] = False
-        # Greatest weights of the rarer terms by block, and what they have to make up there.
+        # What the rarer terms have to make up in each block.
         self.rare = rare
-        self.bounds = np.zeros((n, item.max() // BLOCK + 1), np.float32)
-        self.bounds[key // (item.max() // BLOCK + 1), self.block] = self.block_most
-        self.bounds[~rare] = 0
         self.rest = THRESHOLD - np.maximum.reduceat(gained, np.arange(0, len(items), BLOCK))
 
     def search(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,18 +126,23 @@ class Index:
         found = np.flatnonzero(score >= THRESHOLD - 1e-9)
         return found, score[found]
 
-    def _passing(self, terms: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[int]:
-        """Passages (ranges lo to hi of the terms) whose rarer terms may lift some block to the threshold."""
-        counted = np.concatenate(([0], np.cumsum(self.rare[terms])))
-        rare = terms[self.rare[terms]]
-        lo, hi = counted[lo], counted[hi]
-        for first in range(0, lo.size, 256):
-            a, z = lo[first], hi[min(first + 256, lo.size) - 1]
-            total = np.zeros((z - a + 1, self.rest.size))
-            np.cumsum(self.bounds[rare[a:z]], axis=0, out=total[1:])
-            some = slice(first, first + 256)
-            bound = total[hi[some] - a] - total[lo[some] - a]
-            yield from (np.flatnonzero((bound >= self.rest - 1e-6).any(axis=1)) + first).tolist()
+    def _passing(self, terms: np.ndarray, stretch: np.ndarray, passages: int) -> np.ndarray:
+        """Passages whose rarer terms may lift some block to the threshold.
+
+        ``stretch`` tells in which item length of the document each term stands; passage k is stretches k and k + 1.
+        """
+        kept = self.rare[terms]
+        terms, stretch = terms[kept], stretch[kept]
+        out = []
+        for first in range(0, passages, 256):
+            i, j = np.searchsorted(stretch, [first, first + 257])
+            n = self.block_start[terms[i:j] + 1] - self.block_start[terms[i:j]]
+            at = np.repeat(self.block_start[terms[i:j]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            cell = np.repeat(stretch[i:j] - first, n) * self.rest.size + self.block[at]
+            sums = np.bincount(cell, self.block_most[at], minlength=258 * self.rest.size).reshape(258, -1)
+            out.append(np.flatnonzero(((sums[:256] + sums[1:257]) >= self.rest - 1e-6).any(axis=1)) + first)
+        out = np.concatenate(out)
+        return out[out < passages]
 
     def matches(self, words: list[bytes]) -> dict[int, tuple[float, float, float]]:
         """Items found in a document: index to the best passage's (score, question overlap, answer overlap)."""
@@ -149,7 +153,7 @@ class Index:
             return out
         starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + 2 * self.longest)
-        for k in self._passing(terms[at], lo, hi):
+        for k in self._passing(terms[at], at // self.longest, starts.size):
             found, scores = self.search(np.unique(terms[at[lo[k] : hi[k]]]))
             if not found.size:
                 continue
@@ -178,8 +182,8 @@ def shards(benchmark: DataFrame) -> Iterator[Index]:
     classes = sorted(map(tuple, rows.groupBy("length_class").agg(F.count("*"), F.sum("n_terms"), F.max("n_terms")).collect()))
     count, total = sum(c for _, c, _, _ in classes), sum(t for *_, t, _ in classes)
     frequencies = checkpointed(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
-    for length_class, of_class, _, longest in classes:
-        cuts = -(-of_class // SHARD_ITEMS)
+    for length_class, of_class, terms, longest in classes:
+        cuts = max(-(-of_class // SHARD_ITEMS), -(-terms // SHARD_TERMS))
         for k in range(cuts):
             part = rows.filter(F.col("length_class") == length_class)
             part = part if cuts == 1 else part.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == k)
@@ -191,6 +195,18 @@ def shards(benchmark: DataFrame) -> Iterator[Index]:
             yield Index([(None if null else i, terms_of(t)) for null, i, t in items], Whole(count, total / count, df, longest))
 
 
+def passes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The shards' indexes, as many at a time as a task may hold."""
+    some: list[Index] = []
+    for index in shards(benchmark):
+        if some and sum(x.item.size for x in some) + index.item.size > PASS_POSTINGS:
+            yield some
+            some = []
+        some.append(index)
+    if some:
+        yield some
+
+
 def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Items that have words, with the count of their words and the distinct ones."""
     for batch in batches:
@@ -209,16 +225,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Null and blank texts of either hold
     nothing and are found in nothing. Repeated documents are each searched, repeated items once; without items
-    the result is empty.
+    the result is empty. Texts are searched whole, however long. Other columns, whatever their names, are not
+    read.
     """
     slim = docs.select(name("doc_id").cast("long").alias("doc_id"), name("text").alias("text"))
 
-    def search_with(index: Index):
+    def search_with(indexes: list[Index]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    rows += [(doc_id, index.ids[i], *found) for i, found in sorted(index.matches(terms_of(text.as_py())).items())]
+                    words = terms_of(text.as_py())
+                    rows += [(doc_id, index.ids[i], *found) for index in indexes for i, found in sorted(index.matches(words).items())]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, OUT, strict=True)], schema=OUT)
 
@@ -226,22 +244,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ddl = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], ddl)
-    for index in shards(benchmark):
-        out = out.unionByName(slim.mapInArrow(search_with(index), ddl))
+    for indexes in passes(benchmark):
+        out = out.unionByName(slim.mapInArrow(search_with(indexes), ddl))
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no test item is found, with their own columns."""
 
-    def keep_without(index: Index):
+    def keep_without(indexes: list[Index]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text"))
-                yield batch.filter(pa.array([not index.matches(terms_of(t.as_py())) for t in texts], pa.bool_()))
+                words = (terms_of(t.as_py()) for t in texts)
+                yield batch.filter(pa.array([not any(index.matches(w) for index in indexes) for w in words], pa.bool_()))
 
         return run
 
-    for index in shards(benchmark):
-        docs = docs.mapInArrow(keep_without(index), docs.schema)
+    for indexes in passes(benchmark):
+        docs = docs.mapInArrow(keep_without(indexes), docs.schema)
     return docs

@@ -34,7 +34,7 @@ def test_search_finds_all_above_the_threshold():
         want = {i for i, w in items if score(w, passage) >= d.THRESHOLD}
         assert set(index.search(terms)[0].tolist()) == want
         # The bound that skips passages never skips one that holds an item.
-        assert not want or list(index._passing(terms, np.array([0]), np.array([terms.size]))) == [0]
+        assert not want or index._passing(terms, np.zeros(terms.size, int), 1).tolist() == [0]
 
 
 def test_long_documents_and_items(spark):
@@ -69,5 +69,8 @@ def test_cutting_into_shards_changes_nothing(spark, monkeypatch):
     assert len(want) >= 16 and sum(score < 0.99 for _, _, score, *_ in want) >= 8
     assert plain(d.find_leaks(df, bench.union(bench)).collect()) == want
     monkeypatch.setattr(d, "SHARD_ITEMS", 6)
-    assert len(list(d.shards(bench))) > 2
+    assert len(list(d.shards(bench))) > 2 and len(list(d.passes(bench))) == 1
+    assert plain(d.find_leaks(df, bench).collect()) == want
+    monkeypatch.setattr(d, "PASS_POSTINGS", 1)
+    assert len(list(d.passes(bench))) == len(list(d.shards(bench)))
     assert plain(d.find_leaks(df, bench).collect()) == want
