@@ -57,8 +57,10 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Returns one row per row: ``row`` (the input row as a struct), doc_id, source, size (words of the text;
     null has 0), source_size, target, copies, taken (copies times size). A null source is a source of its
     own. Sources without words have target 0 and give nothing; documents without words are taken like the
-    others and add no words. Rows with the same doc_id are ranked apart by their content; equal rows are
-    interchangeable. An empty table gives an empty plan. Reruns give the same rows.
+    others and add no words. Rows with the same doc_id are ranked apart by their content, and rows without one
+    are dealt by it; equal rows are interchangeable. An input column may have any name: those of the result are
+    taken from ``row``. An empty table gives an empty plan. Reruns give the same rows. The sources themselves,
+    and their size classes, are summed up in one task, so they should not be more than some millions.
     """
     size = F.col("size")
     bits = F.length(F.bin(size))
@@ -68,10 +70,12 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .withColumn("src_null", F.col("source").isNull())
         .withColumn("src", F.coalesce("source", F.lit("")))
         .withColumn("class", size_class.cast("int"))
-        .withColumn("h", seeded_hash(seed, F.col("doc_id")))
+        .withColumn("h", seeded_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("tie")))))
     )
     key = ["src_null", "src"]
-    classes = checkpointed(base.groupBy(*key, "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    # Words are counted once for all the statistics, and once more for the rows that are dealt with them.
+    sized = checkpointed(base.select(*key, "class", "h", "size"))
+    classes = checkpointed(sized.groupBy(*key, "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     along = Window.partitionBy(*key).orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     rows_in_cell = F.greatest(F.lit(CELL_ROWS), F.ceil(F.col("n") / MOST_CELLS))
     classes = (
@@ -83,7 +87,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     classes = small(checkpointed(classes.select(*key, "class", "cells", "class_start", "source_size", "target")))
     cell_of = F.expr("shiftright(h * cells, 32)").alias("cell")
     put = base.join(classes, [*key, "class"]).withColumn("cell", cell_of)
-    cells = base.select(*key, "class", "h").join(classes, [*key, "class"]).withColumn("cell", cell_of)
+    cells = sized.select(*key, "class", "h").join(classes, [*key, "class"]).withColumn("cell", cell_of)
     cells = cells.groupBy(*key, "class", "cell").agg(F.count("*").alias("n"))
     along = Window.partitionBy(*key, "class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*key, "class", "cell", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("cell_start"))

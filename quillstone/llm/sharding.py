@@ -28,12 +28,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
 
     Returns one row per row: ``row`` (the input row as a struct), doc_id, shard (from 0) and slot (the
     row's place within its shard, gapless from 0, in the interleaved order). A null source is a source of
-    its own. Rows with the same doc_id are ordered by their content; equal rows are interchangeable. An
-    empty table gives an empty result; with fewer rows than shards some shards stay empty.
+    its own. Rows with the same doc_id are ordered by their content, and rows without one are dealt by it;
+    equal rows are interchangeable. Input columns may have any names: they are read from ``row``. An empty table
+    gives an empty result; with fewer rows than shards some shards stay empty.
     """
     base = (
         docs.select(whole_row(docs).alias("row"), name("doc_id").alias("doc_id"), name("source").alias("source"), row_hash(docs).alias("tie"))
-        .select("row", "doc_id", "tie", F.col("source").isNull().alias("src_null"), F.coalesce("source", F.lit("")).alias("src"), seeded_hash(seed, F.col("doc_id")).alias("h"))
+        .select("row", "doc_id", "tie", F.col("source").isNull().alias("src_null"), F.coalesce("source", F.lit("")).alias("src"), seeded_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("tie")))).alias("h"))
     )
     key = ["src_null", "src"]
     rows_in_cell = F.greatest(F.lit(CELL_ROWS), F.ceil(F.col("n") / MOST_CELLS))
