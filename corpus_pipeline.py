@@ -6,12 +6,12 @@ and rereads them as the next one's ``docs``. All but the last return the columns
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import decontaminate, minhash, mixing, quality_fm, sharding
+from quillstone.llm.common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -50,9 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; stages are written below spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; stages are written below the folder of checkpoints."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
