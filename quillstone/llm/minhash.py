@@ -7,12 +7,14 @@
 3. Bands of the sketch are bucket keys. A bucket is a star with its smallest member as its centre, and the
    first round compares each document with the least of its buckets' centres, one edge for each document.
    Confirmed links are joined to components.
-4. A bucket whose members are all of one component is done. What is left has new centres: members from
-   outside its largest component, a few more in every round, which are compared with all of the bucket's
-   members in other components and leave it then. So the pairs compared are a bucket's odd members times its
-   size, and near copies of one text, however many, cost one star.
-5. Rounds end when no bucket holds two components: every pair of a bucket has then been compared, or is
-   joined by links of others. The components are the result.
+4. A bucket whose members are all of one component is done. In the second round the centres of the others are
+   the members outside of their largest component, which are compared with all the rest: the pairs are a
+   bucket's odd members times its size, and near copies of one text, however many, cost one star.
+5. Buckets in which most are unlike one another have too many odd members for stars (more than ODD). They make
+   groups, and within a group all pairs are compared but those within its largest component, by pairs of
+   blocks, so that no task meets more than two blocks.
+6. Every pair of a bucket has then been compared, or is joined by links of others. The components are the
+   result.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ SIMILARITY = 75
 BANDS, ROWS = 64, 6
 #: Members of a star that go to one group of rows, about, each with the star's centres.
 BLOCK = 256
-#: Centres of a bucket in the second round, in the third, and so on; the last figure holds for all later ones.
-CENTRES = (1, 4, 16, 64)
+#: Members outside a bucket's largest component up to which they are centres of stars.
+ODD = 64
+#: Documents in a block of a group of unlike documents, about.
+GROUP_BLOCK = 128
 SEED = 20_011
 
 
@@ -199,34 +203,102 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, rows["rep"] == labels["node"], "left").select(*rows.columns, F.coalesce("label", "rep").alias("label"))
 
 
-def links_of(buckets: DataFrame, slim: DataFrame) -> tuple[DataFrame | None, int]:
-    """Labels (node, label) of the components that the links within buckets (key, rep, n) join, and the rounds taken."""
-    open_ = buckets.withColumn("label", F.col("rep"))
+def linked_groups(sets: list[np.ndarray], similarity: int = SIMILARITY) -> np.ndarray:
+    """For each set the index of the first set that it is linked with, directly or through others."""
+    m = len(sets)
+    sizes = np.array([s.size for s in sets], np.int64)
+    if m == 2:
+        both = np.intersect1d(sets[0], sets[1], assume_unique=True).size
+        return np.array([0, 0 if 100 * both >= similarity * (sizes.sum() - both) else 1])
+    tokens, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    shared = counts > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[at]
+    column, owner = place[at[keep]], owner[keep]
+    common = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    width = max(256, 4_000_000 // m)
+    for lo in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(column, [lo, lo + width])
+        block = np.zeros((m, width), np.float32)
+        block[owner[i:j], column[i:j] - lo] = 1
+        common += block @ block.T
+    both = np.rint(common).astype(np.int64)
+    link = 100 * both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(link, True)
+    label = np.arange(m)
+    while True:
+        to = np.where(link, label[None, :], m).min(axis=1)
+        to = to[to]
+        if (to == label).all():
+            return label
+        label = to
+
+
+def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, lo, hi, node, text), each group's together, to the links that join what is linked in it."""
+    hashes = WordHashes()
+    key, nodes, sets = None, [], []
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links() -> pa.RecordBatch:
+        label = linked_groups(sets) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+        ids = np.array(nodes, np.int64)
+        joined = np.flatnonzero(label != np.arange(label.size))
+        return pa.RecordBatch.from_arrays([pa.array(ids[label[joined]]), pa.array(ids[joined])], schema=schema)
+
+    for batch in batches:
+        for *k, node, text in zip(*[c.to_pylist() for c in batch.columns[:4]], batch.column(4).cast(pa.large_binary()).to_pylist(), strict=True):
+            if k != key:
+                if len(sets) > 1:
+                    yield links()
+                key, nodes, sets = k, [], []
+            s = set_of(text, hashes)
+            if s.size:
+                nodes.append(node)
+                sets.append(s)
+    if len(sets) > 1:
+        yield links()
+
+
+def _groups(members: DataFrame, slim: DataFrame) -> DataFrame:
+    """The links (a, b) within groups of buckets that share members (key, rep, label), found by pairs of blocks.
+
+    Members of a group's largest component have blocks of their own, which are not compared with one another.
+    """
+    ends = members.groupBy("key").agg(F.min("rep").alias("a"))
+    groups = components(members.join(ends, "key").select("a", F.col("rep").alias("b")).filter("a <> b").distinct())
+    of = checkpointed(members.select("rep", "label").distinct().join(groups.select(F.col("node").alias("rep"), F.col("label").alias("of")), "rep"))
+    sizes = of.groupBy("of", "label").agg(F.count("*").alias("size")).groupBy("of").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.max("size").alias("joined"), F.sum("size").alias("size"))
+    blocks = sizes.select("of", "largest", F.ceil(F.col("joined") / GROUP_BLOCK).alias("first"), (F.ceil(F.col("joined") / GROUP_BLOCK) + F.ceil((F.col("size") - F.col("joined")) / GROUP_BLOCK)).alias("blocks"))
+    h = F.xxhash64("rep")
+    own = F.when(F.col("label") == F.col("largest"), F.pmod(h, F.col("first"))).otherwise(F.col("first") + F.pmod(h, F.col("blocks") - F.col("first")))
+    placed = of.join(blocks, "of").withColumn("own", own)
+    rows = placed.join(slim, F.col("rep") == slim["doc_id"]).select("of", "rep", "text", "own", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.filter("own >= first or other >= first").select("of", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "text")
+    return rows.repartition("of", "lo", "hi").sortWithinPartitions("of", "lo", "hi").mapInArrow(_confirm_blocks, "a long, b long").distinct()
+
+
+def links_of(buckets: DataFrame, slim: DataFrame) -> DataFrame | None:
+    """Labels (node, label) of the components that the links within buckets (key, rep, n) join; None without links."""
     one = F.struct("rep", "n", "label")
-    links = labels = None
-    rounds = 0
-    while not open_.isEmpty():
-        if rounds == 0:
-            least = open_.groupBy("key").agg(F.min(one).alias("least"))
-            members = open_.join(least, "key").groupBy("rep", "n", "label").agg(F.array(F.min("least")).alias("centres"))
-            left = open_.select("key", "rep", "n")
-        else:
-            slots = F.lit(CENTRES[min(rounds, len(CENTRES)) - 1])
-            sizes = open_.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest"))
-            odd = open_.join(sizes, "key").filter("label <> largest").groupBy("key", F.pmod(F.xxhash64("rep"), slots).alias("slot")).agg(F.min(one).alias("centre"))
-            centres = odd.groupBy("key").agg(F.array_sort(F.collect_list("centre")).alias("centres"))
-            members = checkpointed(open_.join(centres, "key"))
-            # A centre is done after its round.
-            left = members.filter(~F.exists("centres", lambda c: c["rep"] == F.col("rep"))).select("key", "rep", "n")
-        found = checkpointed(_stars(members, slim))
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        left = _labelled(left, labels)
-        several = left.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a < z").select("key")
-        open_ = checkpointed(left.join(several, "key", "left_semi"))
-        rounds += 1
-    return labels, rounds
+    rows = buckets.withColumn("label", F.col("rep"))
+    least = rows.groupBy("key").agg(F.min(one).alias("least"))
+    links = checkpointed(_stars(rows.join(least, "key").groupBy("rep", "n", "label").agg(F.array(F.min("least")).alias("centres")), slim))
+    labels = None if links.isEmpty() else components(links)
+
+    rows = _labelled(buckets, labels)
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), (F.sum("size") - F.max("size")).alias("odd"))
+    rows = checkpointed(rows.join(sizes.filter("odd > 0"), "key"))
+    centres = rows.filter(F.col("odd") <= ODD).filter("label <> largest").groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("centres"))
+    found = _stars(rows.filter(F.col("odd") <= ODD).join(centres, "key"), slim)
+    unlike = rows.filter(F.col("odd") > ODD)
+    if not unlike.isEmpty():
+        found = found.unionByName(_groups(unlike, slim))
+    found = checkpointed(found)
+    return labels if found.isEmpty() else components(links.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -249,7 +321,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("key")
-    labels, _ = links_of(checkpointed(buckets.join(shared, "key").distinct()), slim)
+    labels = links_of(checkpointed(buckets.join(shared, "key").distinct()), slim)
     named = _labelled(classes.select("s1", "s2", "rep"), labels)
     out = signed.select("doc_id", "text_hash", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))

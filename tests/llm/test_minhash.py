@@ -73,7 +73,11 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
         for _ in range(rng.randrange(0, 4)):
             copy[rng.randrange(80)] = f"x{rng.randrange(1000)}"
         rows.append((d, " ".join(copy)))
-    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows)
+    monkeypatch.setattr(minhash, "ODD", 0)
+    monkeypatch.setattr(minhash, "GROUP_BLOCK", 10)
+    assert found(df) == brute(rows)
 
 
 def test_rows_that_share_an_id_or_have_none(spark):
@@ -95,12 +99,14 @@ def test_members_that_the_first_star_refuses(spark, monkeypatch):
     rows = [(d, " ".join(words(d) if d < 30 else words(d)[:-1] + ["x"])) for d in range(60)]
     slim = spark.createDataFrame(rows, "doc_id long, text string")
     bucket = slim.selectExpr("1L as key", "doc_id as rep", "36L as n")
-    labels, rounds = minhash.links_of(bucket, slim)
-    assert {r.node: r.label for r in labels.collect()} == {d: d % 30 for d in range(60)} and rounds > 1
-    taken, plain = [], minhash._stars
-    monkeypatch.setattr(minhash, "_stars", lambda members, slim: taken.append(1) or plain(members if len(taken) == 1 else members.filter("false"), slim))
-    labels, _ = minhash.links_of(bucket, slim)
-    assert {r.node: r.label for r in labels.collect()} == {0: 0, 30: 0}
+    want = {d: d % 30 for d in range(60)}
+    assert {r.node: r.label for r in minhash.links_of(bucket, slim).collect()} == want
+    # The same by blocks, where there are too many odd members for stars.
+    monkeypatch.setattr(minhash, "GROUP_BLOCK", 7)
+    monkeypatch.setattr(minhash, "ODD", 10)
+    assert {r.node: r.label for r in minhash.links_of(bucket, slim).collect()} == want
+    monkeypatch.setattr(minhash, "_groups", lambda members, slim: members.selectExpr("rep as a", "rep as b").filter("false"))
+    assert {r.node: r.label for r in minhash.links_of(bucket, slim).collect()} == {0: 0, 30: 0}
 
 
 def test_candidates_at_the_limit():
