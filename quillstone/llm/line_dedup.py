@@ -41,7 +41,7 @@ MIN_KEY = 10
 #: Keys of a shard while shards are few, and at most.
 SHARD_KEYS, MOST_KEYS, MANY_SHARDS = 2048, 1_000_000, 8192
 #: Insertions that a whole table is dealt to.
-BATCHES = 3
+BATCHES = 2
 KEY = ["k1", "k2"]
 COUNTS = "k1 long, k2 long, n long, first long, last long, again boolean"
 FILTERS = "shard long, filter binary"
@@ -92,10 +92,11 @@ class LineIndex:
         """Add documents. What a document already holds is counted once."""
         return self.insert_postings(postings(docs).distinct())
 
-    def insert_postings(self, found: DataFrame) -> LineIndex:
-        """Add distinct (k1, k2, doc_id)."""
-        new = found if not self.keys else found.join(self.refs, [*KEY, "doc_id"], "left_anti")
-        new = checkpointed(new.select(*KEY, "doc_id"))
+    def insert_postings(self, found: DataFrame, known: bool = True) -> LineIndex:
+        """Add distinct (k1, k2, doc_id). ``known``: some may be there already; else all documents are new."""
+        new = found.select(*KEY, "doc_id")
+        if known:
+            new = checkpointed(new.join(self.refs, [*KEY, "doc_id"], "left_anti").select(*KEY, "doc_id") if self.keys else new)
         batch = checkpointed(new.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
         added = batch.count()
         before = self._for(self.keys + added)
@@ -103,14 +104,20 @@ class LineIndex:
         asked = checkpointed(by_shard.applyInArrow(_ask_and_add, "k1 long, k2 long, n long, first long, last long, seen boolean, shard long, filter binary"))
         fresh = asked.filter("not seen").select(*batch.columns, F.lit(False).alias("again"))
         perhaps = asked.filter("seen").select(batch.columns)
-        known = checkpointed(perhaps.join(self.counts.select(*KEY).distinct().withColumn("again", F.lit(True)), KEY, "left").withColumn("again", F.coalesce("again", F.lit(False))))
         filters = asked.filter("k1 is null").select("shard", "filter")
         filters = filters.unionByName(before.filters.join(filters, "shard", "left_anti"))
-        mistaken = known.filter("not again")
-        if not mistaken.isEmpty():
-            filters = mistaken.withColumn("shard", before._shard()).groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_add, FILTERS)
-        counts = self.counts.unionByName(checkpointed(fresh.unionByName(known)))
-        after = replace(before, keys=self.keys + added - known.filter("again").count(), refs=self.refs.unionByName(new), counts=counts, filters=checkpointed(filters))
+        rows, again = fresh, 0
+        if self.keys:
+            # One row of a key, its first, has again = false.
+            there = self.counts.filter("not again").select(*KEY, F.lit(True).alias("again"))
+            perhaps = checkpointed(perhaps.join(there, KEY, "left").withColumn("again", F.coalesce("again", F.lit(False))))
+            again = perhaps.filter("again").count()
+            mistaken = perhaps.filter("not again")
+            if not mistaken.isEmpty():
+                filters = mistaken.withColumn("shard", before._shard()).groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_add, FILTERS)
+            rows = fresh.unionByName(perhaps)
+        counts = self.counts.unionByName(rows)
+        after = replace(before, keys=self.keys + added - again, refs=self.refs.unionByName(new), counts=counts, filters=checkpointed(filters))
         return after._with_full_rebuilt()
 
     def delete(self, docs: DataFrame) -> LineIndex:
@@ -269,9 +276,10 @@ def drop_lines(docs: DataFrame, index: LineIndex, found: DataFrame | None = None
 def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``drop_lines`` for a whole table, by an index into which it is inserted in ``batches`` of documents."""
     found = checkpointed(postings(docs).distinct())
-    index = LineIndex.empty(docs.sparkSession)
+    # Shards enough for all keys from the start: there are no more keys than postings.
+    index = LineIndex.empty(docs.sparkSession)._for(found.count())
     for k in range(batches):
-        index = index.insert_postings(found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        index = index.insert_postings(found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), known=False)
     return drop_lines(docs, index, found)
 
 
