@@ -326,7 +326,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     firsts = read.filter("doc_id = first")
 
     holders = firsts.select(F.explode("mins").alias("m"), "doc_id")
-    shared = holders.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).filter("a < z")
+    shared = holders.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1")
     shared = checkpointed(shared.select("m", (F.col("n") >= BUSY).alias("busy")))
     # Busy minimisers are few. While they are, they are broadcast, and no task gathers the holders of one.
     busy = small(shared.filter("busy"))
