@@ -75,3 +75,13 @@ BROADCAST_ROWS = 50_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A checkpointed table, broadcast if its counted rows allow it; else adaptive execution joins it as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Longs in the lists of a checkpointed table, at most, with which it is broadcast.
+BROADCAST_LONGS = 1_000_000
+
+
+def small_lists(df: DataFrame, lists: str, longs: int = BROADCAST_LONGS) -> DataFrame:
+    """Like ``small``, for a table of rows with lists of longs; each row counts as one more."""
+    total = df.agg(F.sum(F.size(lists) + 1)).first()[0]
+    return F.broadcast(df) if (total or 0) <= longs else df

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import NO_ID, checkpointed, name, ordered_id, small
+from quillstone.llm.common import NO_ID, checkpointed, name, ordered_id, small, small_lists
 from quillstone.llm.fm_index import FmIndex
 from quillstone.llm.words import WordHashes, mixed
 
@@ -295,13 +295,17 @@ def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string()), pa.array(spans, INTERVALS), pa.array(kept, pa.string())], names=["doc_id", "sha", "intervals", "kept_sha256"])
 
 
-def _busy_pieces(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of texts (doc_id, text, busy minimisers): the distinct pieces with the first document of each, and the
-    spans (doc_id, start, windows) of the other documents that hold them."""
-    held = checkpointed(texts.mapInArrow(_held_windows, "w long, doc_id long"))
+def _busy_pieces(slim: DataFrame, busy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of busy (m, doc_id) minimisers: the distinct pieces with the first document of each, and the spans
+    (doc_id, start, windows) of the other documents that hold them.
+
+    Where few documents have busy minimisers, texts are found by a broadcast of these and not shuffled.
+    """
+    of = checkpointed(busy.groupBy("doc_id").agg(F.collect_list("m").alias("wanted")))
+    held = checkpointed(slim.join(small_lists(of, "wanted"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_held_windows, "w long, doc_id long"))
     shared = held.groupBy("w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("w")
-    wanted = held.join(checkpointed(shared), "w").groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    pieces = checkpointed(texts.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_counted_pieces, PIECES))
+    wanted = checkpointed(held.join(checkpointed(shared), "w").groupBy("doc_id").agg(F.collect_list("w").alias("wanted")))
+    pieces = checkpointed(slim.join(small_lists(wanted, "wanted"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_counted_pieces, PIECES))
     pieces = pieces.withColumn("piece", F.struct("m", F.xxhash64("words"), F.hash("words")))
     first = checkpointed(pieces.groupBy("piece").agg(F.min(F.struct("doc_id", "start", "m", "words")).alias("first")))
     copies = pieces.join(first.select("piece", F.col("first.doc_id").alias("of")), "piece").filter("doc_id <> of")
@@ -335,8 +339,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     pieces = slim.join(calm, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_pieces, PIECES)
     copies = None
     if not busy.isEmpty():
-        of = marked.filter("busy").groupBy("doc_id").agg(F.collect_list("m").alias("wanted"))
-        combined, copies = _busy_pieces(slim.join(of, "doc_id").select("doc_id", "text", "wanted"))
+        combined, copies = _busy_pieces(slim, marked.filter("busy").select("m", "doc_id"))
         pieces = pieces.unionByName(combined)
     spans = pieces.repartition("m").sortWithinPartitions("m").mapInArrow(_search_shards, "doc_id long, start long, windows long")
     spans = spans if copies is None else spans.unionByName(copies)
