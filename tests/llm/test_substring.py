@@ -87,7 +87,7 @@ def test_nothing_is_found_without_the_index(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(df) == brute(rows)
     rng = np.random.default_rng(1)
-    words = rng.integers(-(2**63), 2**63 - 1, 30)
+    words = rng.integers(-(2**31), 2**31 - 1, 30, dtype=np.int32)
     shared = (np.array([5, 5]), np.array([1, 2]), np.array([0, 7], np.int32), np.concatenate((words[:25], words[3:28])), np.array([0, 25, 50]))
     assert [x.tolist() for x in substring.earlier_in_shard(*shared)] == [[2], [7], [3]]
     monkeypatch.setattr(substring.FmIndex, "statistics", lambda self, words, starts: np.zeros(words.size, np.int64))
