@@ -21,8 +21,8 @@ LINK_AT_END = r"(?i)(?:https?://\S+|doi:\s*\S+|10\.\d{4,9}/\S+)\s*$"
 JOURNAL_CUE = r"(?i)\b(?:pp\.|pages|vol\.|volume|no\.)"
 PAGES = r"(?i)\bpp?\.?\s*([A-Za-z]?\d+(?:\s*[-–—]\s*[A-Za-z]?\d+)?)"
 MARKERS = {
-    "NUMERIC_BRACKETED": r"\[\s*(\d+(?:\s*[-–—,;]\s*\d+)*)\s*\]",
-    "AUTHOR_YEAR": r"\(([A-Z][A-Za-zÀ-ɏ'-]+(?:\s+(?:&|and)\s+[A-Z][A-Za-zÀ-ɏ'-]+|\s+et\s+al\.)?,?\s*(?:18|19|20)\d{2}[a-z]?(?:;[^)]+)?)\)",
+    "NUMERIC_BRACKETED": r"\[\s*(\d+(?:\s+\d+)*(?:\s*[-–—,;]\s*\d+(?:\s+\d+)*)*)\s*(?:,\s*p{1,2}\.?\s*\d+)?\s*\]",
+    "AUTHOR_YEAR": r"\(([A-Z][A-Za-zÀ-ɏ'-]+(?:\s+(?:&|and)\s+[A-Z][A-Za-zÀ-ɏ'-]+|\s+et\s+al\.)?,?\s*(?:(?:18|19|20)\d{2}[a-z]?|n\.d\.[a-z]?)(?:,\s*(?:p{1,2}\.?\s*)?\d{1,4})?(?:;[^)]+)?)\)",
     "NUMERIC_SUPERSCRIPT": r"([⁰¹²³⁴⁵⁶⁷⁸⁹]+(?:[-–—,][⁰¹²³⁴⁵⁶⁷⁸⁹]+)*)",
     "NUMERIC_PARENTHETICAL": r"(?<![A-Za-z0-9_])\(\s*(\d{1,3}(?:\s*[-–—,;]\s*\d{1,3})*)\s*\)(?![A-Za-z0-9_])(?!\s+[A-Z][a-z]+)",
     "FOOTNOTE_NOTE": r"(?i)\[(?:Footnote|Note)\]\s*(\d{0,4})",
@@ -58,7 +58,7 @@ def split_references(text: Column) -> Column:
     """
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
     tokens = F.filter(F.transform(F.split(squeezed, ";"), lambda t: F.trim(t)), lambda t: t != "")
-    with_next = F.zip_with(tokens, F.slice(tokens, 2, 1_000_000), lambda t, n: F.struct(t.alias("t"), F.coalesce(n, F.lit("")).alias("n")))
+    with_next = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))), lambda t, n: F.struct(t.alias("t"), F.coalesce(n, F.lit("")).alias("n")))
     with_next = F.filter(with_next, lambda x: x["t"].isNotNull())
     kind = "struct<held: array<string>, done: array<struct<raw: string, reasons: array<string>>>>"
     start = F.struct(F.array().cast("array<string>").alias("held"), F.array().cast("array<struct<raw: string, reasons: array<string>>>").alias("done")).cast(kind)

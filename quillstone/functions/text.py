@@ -21,8 +21,8 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def decomposed(text: Column) -> Column:
-    """NFKD of a text; plain ASCII, which it leaves alone, never goes to Python's side of the plan's result."""
-    return nfkd(text)
+    """NFKD of a text. ASCII, which it leaves alone, is not worked on: Python gets null in its place."""
+    return F.coalesce(nfkd(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def squeeze(text: Column) -> Column:
@@ -30,9 +30,9 @@ def squeeze(text: Column) -> Column:
 
 
 def title_form(text: Column) -> Column:
-    """Lower case, no tags, punctuation as blanks, squeezed. Give it a decomposed text."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "<[^>]+>", " ")
-    return squeeze(F.regexp_replace(t, r"(?U)[^\w\s]", " "))
+    """Decomposed, lower case, no tags, squeezed, with blanks for all but letters, numbers, _ and white space: marks too."""
+    t = F.regexp_replace(F.lower(F.coalesce(decomposed(text), F.lit(""))), "<[^>]+>", " ")
+    return squeeze(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s]", " "))
 
 
 def alnum_form(text: Column) -> Column:

@@ -164,8 +164,11 @@ def domain_scores(df: DataFrame, key: str, fields: Mapping[str, int], words: Dat
     """
     if words.count() > 10_000:
         raise ValueError("a vocabulary has at most 10,000 words")
-    hits = sum(F.when(F.lower(F.coalesce(F.col(f), F.lit(""))).contains(F.col("word")), w).otherwise(0) for f, w in fields.items())
-    return df.join(F.broadcast(words)).groupBy(key, "domain").agg(F.sum(hits).alias("score"))
+    vocabulary = words.groupBy("domain").agg(F.collect_list("word").alias("words")).agg(F.collect_list(F.struct("domain", "words")).alias("vocabulary"))
+    hits = lambda w: sum(F.when(F.lower(F.coalesce(F.col(f), F.lit(""))).contains(w), n).otherwise(0) for f, n in fields.items())
+    score = lambda d: F.aggregate(d["words"], F.lit(0).cast("long"), lambda total, w: total + hits(w))
+    per = df.join(F.broadcast(vocabulary)).select(F.col(key), F.explode(F.transform("vocabulary", lambda d: F.struct(d["domain"].alias("domain"), score(d).alias("score")))).alias("d"))
+    return per.groupBy(key, "d.domain").agg(F.sum("d.score").alias("score"))
 
 
 def running_lines(df: DataFrame, doc: str, text: str) -> DataFrame:

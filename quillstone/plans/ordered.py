@@ -28,18 +28,8 @@ def jn02(spark, sf):
     return o.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "last.l_partkey", "last.l_suppkey")
 
 
-@query("jn03_nearest", """
-WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3)) AS w FROM benchmark),
-d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3)) AS w FROM documents WHERE n_chars < 1500),
-p AS (SELECT doc_id, item_id, round(len(list_intersect(d.w, t.w))::DOUBLE / len(list_distinct(list_concat(d.w, t.w))), 4) AS similarity FROM d, t WHERE len(d.w) + len(t.w) > 0)
-SELECT doc_id, item_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id) AS k FROM p WHERE similarity >= 0.15) WHERE k = 1""")
+@query("jn03_nearest")
 def jn03(spark, sf):
-    """Nearest item of the documents that the SQL's all-pairs join can afford; jn03_nearest_all has every document."""
-    return nearest(table(spark, sf, "documents").filter("n_chars < 1500"), table(spark, sf, "benchmark"))
-
-
-@query("jn03_nearest_all")
-def jn03_all(spark, sf):
     """Nearest item of every document, however long."""
     return nearest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 

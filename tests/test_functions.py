@@ -130,3 +130,40 @@ def test_unicode(spark):
     assert one(spark, text.nfkd(F.lit("ﬁn é")))[0] == "fin é"
     assert one(spark, text.dehyphenated(F.lit("experi-\nment")))[0] == "experiment"
     assert one(spark, text.closed_brackets(F.lit("[1 0] [15 ] [ 18 ] [1-3]")))[0] == "[10] [15] [18] [1-3]"
+
+
+def test_title_forms_are_decomposed(spark):
+    from quillstone.functions import fuzzy
+    from quillstone.functions import text as t
+
+    rows = spark.createDataFrame([("Über <b>naïve</b> Größen", "Über naïve Größen"), ("ﬁne-tuning", "fine tuning"), (None, "")], "a string, b string")
+    forms = [tuple(r) for r in rows.select(t.title_form(rows.a), t.title_form(rows.b)).collect()]
+    assert forms == [("u ber nai ve gro ßen", "u ber nai ve gro ßen"), ("fine tuning", "fine tuning"), ("", "")]
+    assert [r[0] for r in rows.select(fuzzy.title_similarity(rows.a, rows.b)).collect()] == [1.0, 1.0, 0.0]
+
+
+def test_markers_with_kerning_pages_and_no_date(spark):
+    from quillstone.functions import citations
+
+    body = spark.createDataFrame([("as [1 0] and [1, p. 25] and (Meier n.d.) and (Lopez & Kim, 2019b, 392) say",)], "t string")
+    n = body.select(citations.marker_counts(body.t).alias("n")).first().n
+    assert n["NUMERIC_BRACKETED"] == 2 and n["AUTHOR_YEAR"] == 2
+
+
+def test_facts_with_bare_versions_and_binary_units(spark):
+    from quillstone.functions import environment
+
+    readme = spark.createDataFrame([(1, "Needs Python 3 and CUDA 12.1\n500 GiB of disk")], "k long, t string")
+    facts = {(r.category, r.value) for r in environment.documentation_facts(readme, "k", "t").collect()}
+    assert {("python", "3"), ("cuda", "12.1"), ("storage", "500 GiB")} <= facts
+    image = spark.createDataFrame([("FROM registry.example.org/python-3.10.2-slim\n",)], "t string")
+    assert image.select(environment.container_facts(image.t).alias("f")).first().f.python_version == "3.10.2"
+
+
+def test_domain_scores_without_a_product_of_rows_and_words(spark):
+    from quillstone.operators import aggregates
+
+    rows = spark.createDataFrame([(1, "Deep nets", "graph"), (2, None, "")], "k long, title string, body string")
+    words = spark.createDataFrame([("ml", "deep"), ("ml", "net"), ("db", "graph")], "domain string, word string")
+    out = aggregates.domain_scores(rows, "k", {"title": 5, "body": 2}, words)
+    assert sorted(map(tuple, out.collect())) == [(1, "db", 2), (1, "ml", 10), (2, "db", 0), (2, "ml", 0)]

@@ -33,7 +33,7 @@ def test_nearest_item_of_every_document(spark, tmp_path):
         score, item = max(pairs, default=(0, 0))
         if score >= 0.15:
             want.append((doc_id, -item, score))
-    got = _rows(entry.queries()["jn03_nearest_all"](spark, str(tmp_path)))
+    got = _rows(entry.queries()["jn03_nearest"](spark, str(tmp_path)))
     assert got == want == [(1, 7, 1.0), (2, 7, 0.6), (6, 8, 0.6)]
 
 
@@ -41,8 +41,8 @@ def test_redaction_of_every_document(spark, tmp_path):
     docs = [(1, "password: x"), (2, "API_KEY = 'a b', secret=\"c d\""), (3, "my_token = e f"), (4, "nothing"), (5, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = [(1, "password=[REDACTED]"), (2, "API_KEY=[REDACTED], secret=[REDACTED]"), (3, "my_token=[REDACTED] f"), (4, "nothing"), (5, None)]
-    assert _rows(entry.queries()["sc14_redact_all"](spark, str(tmp_path))) == want
-    assert _rows(entry.queries()["sc14_redact_all"](spark, SF)) == _by_sql("sc14_redact_all")
+    assert _rows(entry.queries()["sc14_redact"](spark, str(tmp_path))) == want
+    assert _rows(entry.queries()["sc14_redact"](spark, SF)) == _by_sql("sc14_redact")
 
 
 def test_newest_case_of_every_part(spark):
@@ -51,6 +51,6 @@ def test_newest_case_of_every_part(spark):
     for r in lines.collect():
         if r.l_partkey in known:
             want[r.l_partkey] = max(want.get(r.l_partkey, r.l_orderkey), r.l_orderkey)
-    got = _rows(entry.queries()["jn26_newest_case_all"](spark, SF))
-    assert got == sorted(want.items(), key=repr) == _by_sql("jn26_newest_case_all")
+    got = _rows(entry.queries()["jn26_newest_case"](spark, SF))
+    assert got == sorted(want.items(), key=repr) == _by_sql("jn26_newest_case")
     assert any(p % 20 for p in want)
