@@ -288,7 +288,7 @@ def snk08(spark, sf):
 WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () AS total FROM orders) SELECT o_orderkey FROM n WHERE n % greatest(1, total // 20) = 0 ORDER BY n LIMIT 20""")
 def snk09(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
-    return paging.stride_sample(o, [F.col("o_orderkey")], o.count(), 20)
+    return paging.stride_sample(o, ["o_orderkey"], o.count(), 20)
 
 
 @query("snk14_backfill", "SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN n_name ELSE 'kept' END AS title FROM customer JOIN nation ON n_nationkey = c_nationkey")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +18,14 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("str01_stream_counts", "SELECT event_type, count(*)::BIGINT AS n, max(event_id)::BIGINT AS last_event FROM events GROUP BY 1")
 def str01(spark, sf):
     counts = _stream(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
-    return ledger.run_once(counts, f"str01_{uuid.uuid4().hex}")
+    return ledger.run_once(counts)
 
 
 @query("ext_stream_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def ext_stream_tumbling(spark, sf):
     """Extension: daily windows of event time, as a stream."""
     timed = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = ledger.run_once(ledger.tumbling(timed, "ts", "1 day", "10 minutes", "event_type"), f"ext_{uuid.uuid4().hex}")
+    out = ledger.run_once(ledger.tumbling(timed, "ts", "1 day", "10 minutes", "event_type"))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -36,4 +34,4 @@ def str05(spark, sf):
     """Last state and moves of every user, folded by a stream that keeps state."""
     allowed = {a: {b for b in ("cart", "click", "login", "logout", "purchase", "search", "signup", "view") if a < b} for a in ("cart", "click", "login", "logout", "purchase", "search", "signup", "view")}
     folded = ledger.fold(_stream(spark, sf).select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id", allowed)
-    return ledger.run_once(folded, f"str05_{uuid.uuid4().hex}", "update")
+    return ledger.run_once(folded, "update")
