@@ -20,9 +20,9 @@ class CuckooFilter:
         self.table = np.zeros((size, SLOTS), np.uint16) if table is None else table
 
     @classmethod
-    def of(cls, k1: np.ndarray, k2: np.ndarray) -> CuckooFilter:
-        """A filter of these keys, with room for a quarter more at least; larger where some find no place."""
-        room = 1.25 * k1.size
+    def of(cls, k1: np.ndarray, k2: np.ndarray, spare: float = 1.25) -> CuckooFilter:
+        """A filter of these keys, with room for ``spare`` times as many; larger where some find no place."""
+        room = spare * k1.size
         while True:
             f = cls(int(room))
             if f.insert(k1, k2):

@@ -40,6 +40,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 MIN_KEY = 10
 #: Keys of a shard while shards are few, and at most.
 SHARD_KEYS, MOST_KEYS, MANY_SHARDS = 2048, 1_000_000, 8192
+#: Room of a new filter, as a multiple of the keys that it begins with: another insertion as large fits in.
+SPARE = 2.5
 #: Insertions that a whole table is dealt to.
 BATCHES = 2
 KEY = ["k1", "k2"]
@@ -190,7 +192,7 @@ def _ask_and_add(batch: pa.Table, state: pa.Table) -> pa.Table:
     k1, k2 = _keys(batch)
     f = _filter_of(state)
     if f is None:
-        seen, data = np.zeros(k1.size, bool), CuckooFilter.of(k1, k2).to_bytes()
+        seen, data = np.zeros(k1.size, bool), CuckooFilter.of(k1, k2, SPARE).to_bytes()
     else:
         seen = f.contains(k1, k2)
         data = f.to_bytes() if f.insert(k1[~seen], k2[~seen]) else None
