@@ -135,14 +135,14 @@ class Index:
         terms, stretch = terms[kept], stretch[kept]
         out = []
         for first in range(0, passages, 256):
-            i, j = np.searchsorted(stretch, [first, first + 257])
+            some = min(256, passages - first)
+            i, j = np.searchsorted(stretch, [first, first + some + 1])
             n = self.block_start[terms[i:j] + 1] - self.block_start[terms[i:j]]
             at = np.repeat(self.block_start[terms[i:j]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             cell = np.repeat(stretch[i:j] - first, n) * self.rest.size + self.block[at]
-            sums = np.bincount(cell, self.block_most[at], minlength=258 * self.rest.size).reshape(258, -1)
-            out.append(np.flatnonzero(((sums[:256] + sums[1:257]) >= self.rest - 1e-6).any(axis=1)) + first)
-        out = np.concatenate(out)
-        return out[out < passages]
+            sums = np.bincount(cell, self.block_most[at], minlength=(some + 1) * self.rest.size).reshape(some + 1, -1)
+            out.append(np.flatnonzero(((sums[:-1] + sums[1:]) >= self.rest - 1e-6).any(axis=1)) + first)
+        return np.concatenate(out)
 
     def matches(self, words: list[bytes]) -> dict[int, tuple[float, float, float]]:
         """Items found in a document: index to the best passage's (score, question overlap, answer overlap)."""
