@@ -94,7 +94,7 @@ def author_list(authors: Column) -> Column:
     """Array of (surname, initials), cut at semicolons, else at 'and' and '&', else at commas."""
     a = F.trim(F.coalesce(authors, F.lit("")))
     cut = F.when(a.contains(";"), F.split(a, ";")).when(a.rlike(r"(?i)\band\b|&"), F.split(a, r"(?i)\band\b|&")).otherwise(F.split(a, ","))
-    names = F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    names = F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(F.transform(names, author_parts), lambda x: x["surname"] != "")
 
 
