@@ -183,3 +183,15 @@ def author_year_consistency(cited: Column, listed: Column, entries: Column) -> C
     penalty = (1.5 * F.size(orphans) + 3 * F.size(missing)) / F.greatest(F.lit(1), entries) * 100
     score = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - penalty)), 1)
     return F.struct(F.array_sort(orphans).alias("orphans"), F.array_sort(missing).alias("missing"), score.alias("score"))
+
+
+def citation_keys(number: Column, ordinal: Column, authors: Column, years: Column) -> Column:
+    """Keys of an entry: its number, ``[n]`` or else its place, and every author with every year."""
+    own = F.coalesce(F.nullif(F.regexp_extract(number, r"^\s*\[(\d+)\]", 1), F.lit("")), ordinal.cast("string"))
+    pairs = F.flatten(F.transform(authors, lambda a: F.transform(years, lambda y: F.concat_ws("_", F.lower(a), y.cast("string")))))
+    return F.concat(F.array(own), pairs)
+
+
+def python_bool(flag: Column) -> Column:
+    """A boolean as the text that exports have for it."""
+    return F.when(flag, "True").when(~flag, "False").otherwise("")

@@ -56,3 +56,8 @@ def bound_approvals(approvals: DataFrame, requests: DataFrame, key: str, hashes:
     """Requests with an approval of the same key and hashes that has neither expired nor been revoked."""
     ok = approvals.filter((F.col("expires_at") > as_of) & ~F.coalesce(F.col("revoked"), F.lit(False)))
     return requests.join(ok.select(key, *hashes), [key, *hashes], "left_semi")
+
+
+def guarded_refresh(old: DataFrame, new: DataFrame, fewer_than: int = 800, forced: bool = False) -> DataFrame:
+    """The new rows in place of the old ones, if those are few or it is forced; else the old ones as they are."""
+    return new if forced or old.limit(fewer_than).count() < fewer_than else old

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions import context, dependencies, rules
+from quillstone.functions import artifacts, canonical, context, dependencies, environment, rules
+from quillstone.operators import filters, state
 from quillstone.plans.registry import query
 from quillstone.plans.tables import table
 
@@ -262,3 +263,76 @@ def tvf15(spark, sf):
     raw = F.concat(mark, F.lit("A. Smith, Bo  Lee, and C. D. "), "p_type", F.lit(".\n"), title, year, F.lit(". Journal of things, 3(2)."))
     f = table(spark, sf, "part").filter("p_name IS NOT NULL").select("p_partkey", context.reference_fields(raw).alias("f"))
     return f.select("p_partkey", "f.title", F.array_join("f.authors", "|").alias("authors"))
+
+
+@query("sc80_environment_status", """
+WITH l AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS facts, count(*) FILTER (l_quantity > 45) AS conflicts, count(*) FILTER (l_linestatus = 'O') AS missing, bool_or(l_tax > 0.01) AS open FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CASE WHEN NOT open THEN 'BLOCKED' WHEN facts = 0 THEN 'UNKNOWN' WHEN conflicts = 0 AND missing = 0 THEN 'RECONSTRUCTED' ELSE 'PARTIALLY_RECONSTRUCTED' END AS status FROM l""")
+def sc80(spark, sf):
+    n = lambda e: F.count_if(F.expr(e))
+    status = artifacts.environment_status(n("l_returnflag = 'A'"), n("l_quantity > 45"), n("l_linestatus = 'O'"), F.bool_or(F.col("l_tax") > 0.01))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(status.alias("status"))
+
+
+@query("so08_missing_roles", """
+SELECT p_partkey, (2 + (p_size > 10)::INT + (p_type <> 'SMALL')::INT)::INTEGER AS n_missing FROM part""")
+def so08(spark, sf):
+    """Roles that a part's experiment expects and its files, which have two of them, do not fill."""
+    wanted = artifacts.expected_roles(F.when(F.col("p_size") > 10, F.col("p_name")), F.when(F.col("p_type") != "SMALL", F.col("p_type")))
+    return table(spark, sf, "part").select("p_partkey", F.size(F.array_except(wanted, F.array(F.lit("EVALUATION"), F.lit("CHECKPOINT")))).alias("n_missing"))
+
+
+@query("sc99_manifest_hash", """
+SELECT l_orderkey, sha256(string_agg(lpad(strlen(path)::VARCHAR, 8, '0') || path || h, '' ORDER BY path, h)) AS manifest FROM (SELECT l_orderkey, l_linenumber || '/' || l_partkey || '.bin' AS path, sha256(l_suppkey::VARCHAR) AS h FROM lineitem) GROUP BY 1""")
+def sc99(spark, sf):
+    path = F.concat(F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit(".bin"))
+    files = F.collect_list(F.struct(path.alias("path"), F.sha2(F.col("l_suppkey").cast("string"), 256).alias("sha256")))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(canonical.manifest_hash(files).alias("manifest"))
+
+
+@query("jn27_lookups", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, s_name, o_orderstatus FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN orders ON o_orderkey = l_orderkey")
+def jn27(spark, sf):
+    """Lines with what their keys stand for; keys that stand for nothing keep their line."""
+    out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    for which, own, key, value in (("part", "l_partkey", "p_partkey", "p_name"), ("supplier", "l_suppkey", "s_suppkey", "s_name"), ("orders", "l_orderkey", "o_orderkey", "o_orderstatus")):
+        known = table(spark, sf, which).select(F.col(key).alias(own), value)
+        out = out.join(known, own, "left")
+    return out
+
+
+@query("cl06_table_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND (o_orderpriority ILIKE '%URG%' OR o_orderkey::VARCHAR ILIKE '%URG%')")
+def cl06(spark, sf):
+    o = table(spark, sf, "orders").withColumn("key_text", F.col("o_orderkey").cast("string"))
+    return filters.faceted(o, "urg", ["o_orderpriority", "key_text"], {"o_orderstatus": "F"}).select("o_orderkey")
+
+
+@query("hl06_citation_keys", """
+SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_partkey END) || '|' || lower(p_brand) || '_' || p_size || '|' || lower(p_brand) || '_2000|' || lower(p_type) || '_' || p_size || '|' || lower(p_type) || '_2000' AS keys FROM part""")
+def hl06(spark, sf):
+    number = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" ["), F.col("p_size").cast("string"), F.lit("] A work"))).otherwise("A work")
+    keys = rules.citation_keys(number, F.col("p_partkey"), F.array("p_brand", "p_type"), F.array(F.col("p_size").cast("long"), F.lit(2000).cast("long")))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(keys, "|").alias("keys"))
+
+
+@query("hl16_normal_version", "SELECT p_partkey, lower(p_brand) || '.' || p_size AS version FROM part")
+def hl16(spark, sf):
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("==", ">= ", "~=", "^", "!=", "")]), (F.col("p_size") % 6 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", environment.normal_version(F.concat(mark, "p_brand", F.lit("."), F.col("p_size").cast("string"))).alias("version"))
+
+
+@query("prj02_output_rows", """
+SELECT l_orderkey, round(max(l_quantity) / 7, 3) AS score, string_agg(DISTINCT l_returnflag, '; ' ORDER BY l_returnflag) AS flags, CASE WHEN bool_or(l_linestatus = 'O') THEN 'True' ELSE 'False' END AS open FROM lineitem GROUP BY 1""")
+def prj02(spark, sf):
+    """Rows as exports have them: scores of three places, lists joined, booleans as words."""
+    open_ = rules.python_bool(F.bool_or(F.col("l_linestatus") == "O"))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.max("l_quantity") / 7, 3).alias("score"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "; ").alias("flags"), open_.alias("open"))
+
+
+@query("dm05_guarded_refresh", """
+SELECT n_nationkey AS key, 'nation' AS kind FROM nation UNION ALL SELECT o_custkey, 'old' FROM (SELECT DISTINCT o_custkey FROM orders) WHERE (SELECT count(DISTINCT o_custkey) FROM orders) >= 100
+UNION ALL SELECT r_regionkey, 'new' FROM region WHERE (SELECT count(DISTINCT o_custkey) FROM orders) < 100""")
+def dm05(spark, sf):
+    """A small table that is refreshed and one that is too large to be, one under the other."""
+    rows = lambda which, key, kind: table(spark, sf, which).select(F.col(key).cast("long").alias("key"), F.lit(kind).alias("kind")).distinct()
+    old, new = rows("orders", "o_custkey", "old"), rows("region", "r_regionkey", "new")
+    return state.guarded_refresh(rows("region", "r_regionkey", "region"), rows("nation", "n_nationkey", "nation"), 100).unionByName(state.guarded_refresh(old, new, 100))
