@@ -133,3 +133,16 @@ def allowed_command(command: Column, files: Column) -> Column:
     """Whether a command runs a known relative Python script and nothing else."""
     script = F.regexp_extract(command, r"^\s*python3?\s+([^\s]+\.py)(?:\s|$)", 1)
     return (script != "") & ~script.rlike(r"^/|(^|/)\.\.(/|$)") & ~command.rlike(r"[;&|<>$`\\\n]") & F.array_contains(files, script)
+
+
+#: Files and folders that may not be staged.
+UNSTAGED = (".env", ".git", ".ssh", ".aws", ".azure", ".config/gcloud", "id_rsa", "id_ed25519", "credentials", "credentials.json")
+
+
+def staging_fault(path: Column, symlink: Column) -> Column:
+    """Why a file may not be staged: a forbidden name or folder at its root, or a symbolic link; null if it may."""
+    p = F.lower(path)
+    forbidden = p.isin(*UNSTAGED)
+    for name in UNSTAGED:
+        forbidden = forbidden | p.startswith(f"{name}/")
+    return F.when(forbidden, "INVALID_TARGET").when(F.coalesce(symlink, F.lit(False)), "ARTIFACT_CHANGED")

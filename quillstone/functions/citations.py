@@ -115,6 +115,28 @@ def split_bibliography(text: Column) -> Column:
     return out.otherwise(F.array(F.trim(F.regexp_replace(t, r"\s+", " "))))
 
 
+#: Where a reference starts that was merged into the one before, by its bracketed or dotted number.
+MERGED = (
+    r"(?:^|(?<=[\s.>)\]\"”’]))(?=\[\d{1,3}\]\s*[A-ZÀ-ɏ\"“])",
+    r"(?:^|(?<=[\s.>)\]\"”’]))(?=\d{1,3}\.\s+[A-ZÀ-ɏ\"“])",
+)
+
+
+def unmerged(part: Column) -> Column:
+    """The references in one part of a bibliography: cut before every number where it holds two or more.
+
+    Bracketed numbers go before dotted ones; pieces of 15 characters or fewer are no references. Digits that were
+    drawn apart within brackets are joined first. A part without merged references stays whole, null gives none.
+    """
+    t = F.regexp_replace(F.coalesce(part, F.lit("")), r"(?<=\[[\d\s]{0,40})\s+(?=[\d\s]*\])", "")
+    out = None
+    for start in MERGED:
+        pieces = F.filter(F.transform(F.split(F.regexp_replace(t, start, "\u0001"), "\u0001"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: F.length(p) > 15)
+        found = F.regexp_count(t, F.lit(start)) >= 2
+        out = F.when(found, pieces) if out is None else out.when(found, pieces)
+    return out.otherwise(F.filter(F.array(t), lambda p: p != ""))
+
+
 def marker_counts(body: Column) -> Column:
     """How many markers of each family a text has, in the families' order."""
     return F.struct(*[F.regexp_count(F.coalesce(body, F.lit("")), F.lit(p)).cast("long").alias(k) for k, p in MARKERS.items()])

@@ -195,3 +195,38 @@ def citation_keys(number: Column, ordinal: Column, authors: Column, years: Colum
 def python_bool(flag: Column) -> Column:
     """A boolean as the text that exports have for it."""
     return F.when(flag, "True").when(~flag, "False").otherwise("")
+
+
+#: Ways to verify a paper, by its domain.
+METHODS = {
+    "AI_ML": ("COMPUTATIONAL_REPRODUCTION",),
+    "SOCIAL_SCIENCE": ("STATISTICAL_VERIFICATION", "DOCUMENTARY_VERIFICATION", "QUALITATIVE_EVIDENCE_REVIEW", "HUMAN_EXPERT_VALIDATION"),
+    "HUMANITIES": ("DOCUMENTARY_VERIFICATION", "QUALITATIVE_EVIDENCE_REVIEW", "HUMAN_EXPERT_VALIDATION"),
+    "ENGINEERING": ("COMPUTATIONAL_REPRODUCTION", "EXPERIMENTAL_VERIFICATION", "DOCUMENTARY_VERIFICATION"),
+    "BIOLOGY": ("COMPUTATIONAL_REPRODUCTION", "EXPERIMENTAL_VERIFICATION", "DOCUMENTARY_VERIFICATION"),
+    "PHYSICS_CHEMISTRY": ("COMPUTATIONAL_REPRODUCTION", "EXPERIMENTAL_VERIFICATION", "DOCUMENTARY_VERIFICATION"),
+    "OTHER": ("DOCUMENTARY_VERIFICATION", "HUMAN_EXPERT_VALIDATION"),
+}
+
+
+def verification_methods(domain: Column) -> Column:
+    """The ways to verify a paper of a domain, in order; of another or no domain UNKNOWN."""
+    known = F.create_map(*[x for d, names in METHODS.items() for x in (F.lit(d), F.array(*map(F.lit, names)))])
+    return F.coalesce(F.try_element_at(known, F.coalesce(domain, F.lit(""))), F.array(F.lit("UNKNOWN")))
+
+
+def verification_status(domain: Column, plans: Column, has_dataset: Column) -> Column:
+    """What can be verified, by the domain, the statuses of a paper's plans and whether its data set is there."""
+    of_plans = (
+        F.when(F.array_contains(plans, "READY_FOR_EXECUTION"), "COMPUTATIONALLY_REPRODUCIBLE")
+        .when(F.array_contains(plans, "PARTIALLY_READY"), "PARTIALLY_VERIFIABLE")
+        .when((F.size(plans) > 0) & F.forall(plans, lambda p: p == "BLOCKED"), "INACCESSIBLE")
+        .otherwise("INSUFFICIENT_EVIDENCE")
+    )
+    return (
+        F.when(domain == "AI_ML", of_plans)
+        .when(domain == "SOCIAL_SCIENCE", F.when(has_dataset, "PARTIALLY_VERIFIABLE").otherwise("REQUIRES_HUMAN_VALIDATION"))
+        .when(domain == "HUMANITIES", "DOCUMENTARILY_VERIFIABLE")
+        .when(domain.isin("ENGINEERING", "BIOLOGY", "PHYSICS_CHEMISTRY"), "PARTIALLY_VERIFIABLE")
+        .otherwise("UNKNOWN")
+    )

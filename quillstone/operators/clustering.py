@@ -1,4 +1,4 @@
-"""Greedy fuzzy clustering of near-equal statements (WN08, WN09)."""
+"""Greedy fuzzy clustering of near-equal statements (WN08)."""
 
 from __future__ import annotations
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.fuzzy import token_set_ratio
+
 
 def first_context(references: DataFrame, markers: DataFrame, doc: str, number: str = "reference_no", keys: str = "keys", context: str = "context", position: str = "position") -> DataFrame:
     """Each reference with the context of the first marker that cites its number, grouped and ranged ones too."""
@@ -77,3 +79,17 @@ def newest_containing(cases: DataFrame, targets: str, wanted: DataFrame, target:
 def first_in_group(df: DataFrame, group: str, *order: Column) -> DataFrame:
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def associated(contexts: DataFrame, experiments: DataFrame, paper: str, context: str, experiment: str, order: str, terms: list[str], least: float = 80.0) -> DataFrame:
+    """``contexts`` with the experiment of the same ``paper`` whose terms fit best, null below ``least``.
+
+    Of ``terms`` (data set, model) those of three characters or more count, the better one for each experiment;
+    of equal experiments the first by ``order`` wins. Only rows of one paper meet. Rows with equal texts are
+    scored once.
+    """
+    wanted = experiments.select(paper, experiment, order, F.explode(F.array_distinct(F.array(*terms))).alias("__term")).filter(F.length("__term") >= 3)
+    pairs = contexts.select(paper, context).distinct().join(wanted, paper)
+    scored = pairs.withColumn("__score", token_set_ratio(F.col("__term"), F.col(context))).filter(F.col("__score") >= least)
+    best = scored.groupBy(paper, context).agg(F.min_by(experiment, F.struct(-F.col("__score"), F.col(order))).alias(experiment))
+    return contexts.join(best, [paper, context], "left")
