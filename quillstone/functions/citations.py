@@ -137,6 +137,27 @@ def unmerged(part: Column) -> Column:
     return out.otherwise(F.filter(F.array(t), lambda p: p != ""))
 
 
+#: A key of letters and two digits in brackets, and a bracketed number at a reference's start.
+LETTER_KEY = r"(?<![\p{L}\p{N}_])(?=\[[A-Za-z][A-Za-z0-9+]*\d{2}[a-z]?\]\s+)"
+NUMBERED = r"^\s*\[\d+\]"
+
+
+def listed_references(text: Column) -> Column:
+    """The references of a bibliography, however they are marked: an array of texts, empty for null.
+
+    Five keys of letters or more cut it at each key, what stands before the first one left out; else it is split
+    as a manuscript's and merged numbers are cut apart. Where half of the references and two at least have
+    bracketed numbers, those without are left out.
+    """
+    t = F.coalesce(text, F.lit(""))
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    pieces = F.split(F.regexp_replace(t, LETTER_KEY, "\u0001"), "\u0001")
+    lettered = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), trimmed)
+    found = F.when(F.size(pieces) > 5, lettered).otherwise(F.flatten(F.transform(split_bibliography(t), unmerged)))
+    numbered = F.filter(found, lambda r: r.rlike(NUMBERED))
+    return F.when(F.size(numbered) >= F.greatest(F.lit(2), F.floor(F.size(found) / 2)), numbered).otherwise(found)
+
+
 def marker_counts(body: Column) -> Column:
     """How many markers of each family a text has, in the families' order."""
     return F.struct(*[F.regexp_count(F.coalesce(body, F.lit("")), F.lit(p)).cast("long").alias(k) for k, p in MARKERS.items()])

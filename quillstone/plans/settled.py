@@ -1,11 +1,11 @@
-"""Queries of jobs and cancellations, exact rounding, people's names, merged references and verification (DM09, DM11, F18, JN11, SC81, SC90, TVF03, TVF06, WN09)."""
+"""Queries of jobs and cancellations, exact rounding, people's names, merged references and verification (DM09, DM11, F18, JN11, SC81, SC90, TVF03, TVF06, TVF14, WN08, WN09)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quillstone.functions import artifacts, citations, numbers, people, rules
-from quillstone.operators import jobs, matching
+from quillstone.operators import clustering, jobs, matching
 from quillstone.plans.registry import query
 from quillstone.plans.tables import table
 
@@ -111,3 +111,26 @@ def sc81(spark, sf):
     domains = F.array(*map(F.lit, (*rules.METHODS, "UNKNOWN")))
     c = table(spark, sf, "customer").join(plans, "c_custkey", "left").withColumn("domain", F.element_at(domains, (F.col("c_nationkey") % 8 + 1).cast("int")))
     return c.select("c_custkey", F.array_join(rules.verification_methods(F.col("domain")), ",").alias("methods"), rules.verification_status(F.col("domain"), F.coalesce("plans", F.array().cast("array<string>")), F.col("c_acctbal") > 0).alias("status"))
+
+
+@query("tvf14_listed_references", r"""
+WITH l AS (SELECT doc_id, list_concat(list_transform(range(1, 6), lambda k: '[Key0' || k || '] Fixed.'), list_transform(string_split(text, chr(10)), lambda x, i: '[Ab' || lpad((i % 100)::VARCHAR, 2, '0') || '] ' || x)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(l)::INTEGER AS n_references, md5(array_to_string(list_transform(l, lambda x: regexp_replace(x, '\s+$', '')), chr(10))) AS entries_md5 FROM l""")
+def tvf14(spark, sf):
+    """The lines of every document after five others, each with a key of letters, as a bibliography."""
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("[Ab"), F.lpad(((i + 1) % 100).cast("string"), 2, "0"), F.lit("] "), x)), "\n")
+    fixed = "".join(f"[Key0{k}] Fixed.\n" for k in range(1, 6))
+    r = table(spark, sf, "documents").filter("text is not null").select("doc_id", citations.listed_references(F.concat(F.lit(f"References\n{fixed}"), lines)).alias("r"))
+    return r.select("doc_id", F.size("r").alias("n_references"), F.md5(F.array_join("r", "\n")).alias("entries_md5"))
+
+
+@query("wn08_experiment_clusters")
+def wn08_experiments(spark, sf):
+    """Turns as experiments of their conversation: the text is the objective, its first and last word are fields."""
+    words = F.split(F.trim("text"), r"\s+")
+    none = F.lit(None).cast("string")
+    e = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.col("text").alias("objective"), F.when(F.col("turn") % 3 != 0, F.element_at(words, 1)).alias("dataset"), none.alias("split"),
+        F.when(F.col("turn") % 2 == 0, F.element_at(words, -1)).alias("model"), F.col("role").alias("metric"), none.alias("baseline"), none.alias("reported_result"),
+    )
+    return clustering.experiment_clusters(e, "conv_id", "turn").select("conv_id", "cluster", "n", "dataset", "model", "metric", F.md5("objective").alias("objective_md5"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillstone.functions import artifacts, citations, fuzzy, numbers, people, rules
-from quillstone.operators import jobs, matching
+from quillstone.operators import clustering, jobs, matching
 
 
 def _each(spark, values, kind, f):
@@ -75,3 +75,34 @@ def test_associated(spark):
         return max(scored)[2] if scored and max(scored)[0] >= 80 else None
 
     assert sorted((r.p, r.text, r.e or "") for r in out.collect()) == sorted((p, t, best(p, t) or "") for p, t in contexts)
+
+
+def test_listed_references(spark):
+    keys = "Before [Ab01] one\n[Cd02a] two [E+03]  three\n\n[Fg04] \n[Hi05] five, x[No06] not"
+    few = "[Ab01] one of them only, not five"
+    mixed = "[1] The first numbered work here.\n[2] The second numbered work here.\n"
+    got = _each(spark, [keys, few, mixed, None, ""], "string", citations.listed_references)
+    assert got[0] == ["[Ab01] one", "[Cd02a] two", "[E+03]  three", "[Fg04]", "[Hi05] five, x[No06] not"]
+    assert got[1:] == [[few], ["[1] The first numbered work here.", "[2] The second numbered work here."], [], []]
+
+
+def test_experiment_clusters(spark):
+    names = ["objective", *clustering.MERGED]
+    rows = [  # paper, at, objective, dataset, split, model, metric, baseline, reported_result
+        (1, 0, "Train the small net", "A", None, None, "acc", None, None),
+        (1, 1, "Train the small net!", "a", "test", "M", None, None, "0.9"),
+        (1, 2, "train the small net", "A", None, "N", None, None, None),
+        (1, 3, "Train the small net", None, None, None, None, None, None),
+        (1, 4, "Train the small net", None, None, None, None, None, None),
+        (1, 5, "Train with 10 images per class", "A", None, None, None, None, None),
+        (1, 6, "Train with 50 images / class", "A", None, None, None, None, None),
+        (1, 7, "Train the small net", "A", None, None, "acc", None, None),
+        (2, 0, None, "A", None, None, None, "base", None),
+        (2, 1, "", "A", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "paper int, at int, " + ", ".join(f"{n} string" for n in names))
+    got = {(r.paper, r.cluster): r for r in clustering.experiment_clusters(df, "paper", "at").collect()}
+    assert {k: r.n for k, r in got.items()} == {(1, 0): 3, (1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 5): 1, (1, 6): 1, (2, 0): 2}
+    first = got[1, 0]
+    assert (first.objective, first.dataset, first.split, first.model, first.metric, first.reported_result) == ("Train the small net!", "A", "test", "M", "acc", "0.9")
+    assert got[2, 0].baseline == "base" and clustering.experiment_clusters(df.limit(0), "paper", "at").count() == 0
