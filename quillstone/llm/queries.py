@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, html_extract, line_dedup, minhash, mixing, pii, quality_fm, quality_rules, sharding, substring
+from quillstone.llm import chat, collocations, decontaminate, html_extract, infill, line_dedup, minhash, mixing, pii, quality_fm, quality_rules, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -78,6 +78,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.find_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cuts of every document, its output and the text read back from that."""
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted conversations say, read back from their texts, tokens and masks."""
+    return chat.chat_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of every language."""
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_documents": op2_shard_documents,
@@ -89,10 +106,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_chat_format": op12_chat_format,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
     "op2_shard_documents": sharding.SHARD_SQL,
     "op4_line_dedup": line_dedup.LINES_SQL,
+    "op11_fill_in_middle": infill.INFILL_SQL,
+    "op12_chat_format": chat.CHAT_SQL,
+    "op13_phrases": collocations.PHRASES_SQL,
 }
