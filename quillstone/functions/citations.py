@@ -24,7 +24,7 @@ MARKERS = {
     "NUMERIC_BRACKETED": r"\[\s*(\d+(?:\s+\d+)*(?:\s*[-–—,;]\s*\d+(?:\s+\d+)*)*)\s*(?:,\s*p{1,2}\.?\s*\d+)?\s*\]",
     "AUTHOR_YEAR": r"\(([A-Z][A-Za-zÀ-ɏ'-]+(?:\s+(?:&|and)\s+[A-Z][A-Za-zÀ-ɏ'-]+|\s+et\s+al\.)?,?\s*(?:(?:18|19|20)\d{2}[a-z]?|n\.d\.[a-z]?)(?:,\s*(?:p{1,2}\.?\s*)?\d{1,4})?(?:;[^)]+)?)\)",
     "NUMERIC_SUPERSCRIPT": r"([⁰¹²³⁴⁵⁶⁷⁸⁹]+(?:[-–—,][⁰¹²³⁴⁵⁶⁷⁸⁹]+)*)",
-    "NUMERIC_PARENTHETICAL": r"(?<![A-Za-z0-9_])\(\s*(\d{1,3}(?:\s*[-–—,;]\s*\d{1,3})*)\s*\)(?![A-Za-z0-9_])(?!\s+[A-Z][a-z]+)",
+    "NUMERIC_PARENTHETICAL": r"(?<![A-Za-z0-9_])\(\s*(\d+(?:\s*[-–—,;]\s*\d+)*)\s*\)(?![A-Za-z0-9_])",
     "FOOTNOTE_NOTE": r"(?i)\[(?:Footnote|Note)\]\s*(\d{0,4})",
 }
 
