@@ -1,11 +1,15 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks of text. The first pass decides each block by its link density, its length and the
-density of stop words: link lists are no text, and long blocks with enough stop words are. Where a block
-stands is a prior: what is in menus, footers, notices, adverts, forms and readers' comments reads like text and
-is none. Other blocks are ambiguous, the short ones above all. The second pass lets each of them take the label
-of the nearest decided block of its own section. Where its section has none, a block in the page's article is
-text and one outside of it is none; a page without an article lets it take the label of the nearest of all.
+A page is cut into blocks of text. What is in menus, footers, notices, adverts, forms and readers' comments, by its
+elements and their class words, reads like text and is none: it is taken out before. The first pass decides each
+other block by its link density, its length and the density of stop words: link lists are no text, and long blocks with
+enough stop words are. Other blocks are ambiguous, the short ones above all. The second pass lets each of them take
+the label of the nearest decided block of its own section. Where its section has none, and densities found text in
+the page's article, a block in that is text and one outside of it is none; else it takes the label of the nearest
+decided block of all. Where the first pass finds no text at all, as in languages whose stop words are not listed and
+on pages of short lines, length and link density decide alone: the long blocks are text, or, without any, all that
+are no link lists, those of an article where there is one.
+A form that holds most of a page's text, as one around a whole page does, is no form in this sense.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never hold the article's text.
-BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset head".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog button fieldset head".split())
 #: Words of a class, id or role that mark such parts.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disclaimer disqus dialog footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination paywall popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary".split()
@@ -62,6 +66,7 @@ class Block:
     boilerplate: bool
     inside: bool
     section: int
+    forms: tuple[int, ...] = ()
 
 
 @dataclass
@@ -76,13 +81,14 @@ class _State:
     linked: list[str] = field(default_factory=list)
     sections: list[int] = field(default_factory=lambda: [0])
     made: int = 0
+    forms: list[int] = field(default_factory=list)
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 links = sum(len(" ".join(html.unescape(x).split())) for x in self.linked)
-                self.blocks.append(Block(text, links, self.boilerplate > 0, self.inside > 0, self.sections[-1]))
+                self.blocks.append(Block(text, links, self.boilerplate > 0, self.inside > 0, self.sections[-1], tuple(self.forms)))
             self.parts, self.linked = [], []
 
     def push(self, tag: str, attributes: str) -> None:
@@ -103,8 +109,10 @@ class _State:
         self.boilerplate += bad
         self.inside += good
         self.links += tag == "a"
-        if bad or good or tag == "section":
+        if bad or good or tag in ("section", "form"):
             self.made += 1
+            if tag == "form":
+                self.forms.append(self.made)
             self.sections.append(self.made)
         else:
             self.sections.append(self.sections[-1])
@@ -117,6 +125,8 @@ class _State:
             self.boilerplate -= bad
             self.inside -= good
             self.links -= last == "a"
+            if last == "form":
+                self.forms.pop()
             if last == tag:
                 return
 
@@ -208,9 +218,25 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
+def _linked(block: Block) -> bool:
+    return block.links > LINK_DENSITY * len(block.text)
+
+
+def without_boilerplate(blocks: list[Block]) -> list[Block]:
+    """The blocks that elements and class words leave: not in marked parts, nor in a form that holds less than half of their text."""
+    rest = [b for b in blocks if not b.boilerplate]
+    size = lambda b: 0 if _linked(b) else len(b.text)
+    held: dict[int, int] = {}
+    for b in rest:
+        for f in b.forms:
+            held[f] = held.get(f, 0) + size(b)
+    most = sum(map(size, rest)) / 2
+    return [b for b in rest if all(held[f] > most for f in b.forms)]
+
+
 def decide(block: Block) -> bool | None:
     """First pass: whether a block is text; None for an ambiguous one."""
-    if block.boilerplate or block.links > LINK_DENSITY * len(block.text):
+    if _linked(block):
         return False
     if len(block.text) >= LONG and stop_density(block.text) >= STOP_DENSITY:
         return True
@@ -219,9 +245,11 @@ def decide(block: Block) -> bool | None:
 
 def main_text(page: str | None) -> str:
     """The text blocks of a page joined by blank lines; '' for none."""
-    blocks = blocks_of(page or "")
+    blocks = without_boilerplate(blocks_of(page or ""))
     labels = [decide(b) for b in blocks]
-    marked = any(b.inside and not b.boilerplate for b in blocks)
+    if True not in labels:
+        labels = _by_length(blocks, labels)
+    marked = any(b.inside and label for b, label in zip(blocks, labels, strict=True))
     # Second pass: the nearest decided block before and after, of the same section first.
     before, after = _nearest(blocks, labels, 1), _nearest(blocks, labels, -1)
     kept = []
@@ -238,6 +266,16 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(kept)
 
 
+def _by_length(blocks: list[Block], labels: list[bool | None]) -> list[bool | None]:
+    """The labels of a page on which stop words find no text: long blocks are text, or else all with a word that no list of links is."""
+    labels = [False if label is None and not WORD.search(b.text) else label for b, label in zip(blocks, labels, strict=True)]
+    inside = any(b.inside and label is None for b, label in zip(blocks, labels, strict=True))
+    long = [label is None and len(b.text) >= LONG and (b.inside or not inside) for b, label in zip(blocks, labels, strict=True)]
+    if any(long):
+        return [True if x else label for x, label in zip(long, labels, strict=True)]
+    return [(b.inside or not inside) if label is None else label for b, label in zip(blocks, labels, strict=True)]
+
+
 def _nearest(blocks: list[Block], labels: list[bool | None], step: int) -> list[tuple[int, int] | None]:
     """For each block the section and index of the last decided one on the way, of its own section if that has one."""
     out: list[tuple[int, int] | None] = [None] * len(blocks)

@@ -59,13 +59,46 @@ def test_densities_decide_where_nothing_is_marked():
     assert main_text("<nav><a href=1>Menu</a></nav><article><h1>Head</h1><p>Short.</p></article><footer>End</footer>") == "Head\n\nShort."
 
 
-def test_nothing_long_is_text_without_stop_words(monkeypatch):
+CODES = "x1 " + " ".join(f"k{i}=v{i}" for i in range(40))
+
+
+def test_stop_words_tell_long_text_from_long_lists(monkeypatch):
     from quillstone.llm import html_extract
 
-    page = f"<body><p>{TEXT}</p><p>Short.</p></body>"
+    page = f"<body><section><p>{CODES}</p><p>Total</p><ul><li><a href=1>One</a></li></ul></section><section><p>{TEXT}</p><p>Short.</p></section></body>"
     assert main_text(page) == f"{TEXT}\n\nShort."
-    monkeypatch.setattr(html_extract, "STOP_WORDS", frozenset())
-    assert main_text(page) == ""
+    for change in (0, 2):
+        monkeypatch.setattr(html_extract, "STOP_DENSITY", change)
+        assert CODES in main_text(page)
+
+
+def test_pages_in_other_languages_and_of_short_lines_are_not_lost():
+    italian = "Il paese si trova sulle colline che guardano il mare, dove ogni anno gli abitanti raccolgono le olive e preparano insieme una grande festa per tutti gli amici."
+    russian = "Город стоит на берегу широкой реки, и каждую весну его жители выходят на улицы, чтобы вместе посмотреть, как по воде уходит последний лёд, и спеть старые песни."
+    chinese = "这座城市建在河边，" * 20
+    nav = "<nav><a href=1>Home</a></nav>"
+    for text in (italian, russian, chinese):
+        assert main_text(f"<body>{nav}<div><h1>T</h1><p>{text}</p></div><footer>c</footer>") == f"T\n\n{text}"
+    assert main_text(f"<body>{nav}<p>It rained all day.</p><p>We stayed at home.</p></body>") == "It rained all day.\n\nWe stayed at home."
+    assert main_text(f"<body>{nav}<div>aside words</div><article><p>It rained all day.</p></article></body>") == "It rained all day."
+
+
+def test_a_form_around_a_page_is_no_form():
+    page = f"<body><form action=/page><div><article><h1>Head</h1><p>{TEXT}</p></article></div><form><label>Mail</label></form></form>"
+    assert main_text(page).startswith(f"Head\n\n{TEXT}")
+    assert main_text(f"<body><form><p>It rained all day.</p><input></form></body>") == "It rained all day."
+    assert main_text(f"<body><p>{TEXT}</p><form><p>Write to us and tell us what you think.</p></form></body>") == TEXT
+
+
+def test_an_article_counts_where_densities_find_text_in_it():
+    junk = "<div>Line one</div><div>Line two</div>"
+    assert main_text(f"<body>{junk}<article><h2>Head</h2><section><p>{TEXT}</p></section><section><p>Short.</p></section></article>{junk}") == f"Head\n\n{TEXT}\n\nShort."
+    assert TEXT in main_text(f"<body><article><a href=1>More</a></article><div><p>{TEXT}</p></div>")
+
+
+def test_ties_go_to_text():
+    links = "<p><a href=1>one two three</a></p>"
+    assert main_text(f"<body>{links}<p>Middle.</p><p>{TEXT}</p></body>") == f"Middle.\n\n{TEXT}"
 
 
 def test_broken_pages_of_a_megabyte():
