@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import NO_ID, checkpointed, name, ordered_id, small, small_lists
+from quillstone.llm.common import checkpointed, name, ordered_id, small, small_lists
 from quillstone.llm.fm_index import FmIndex
 from quillstone.llm.words import WordHashes, mixed
 
@@ -77,7 +77,7 @@ def distinct(a: np.ndarray) -> np.ndarray:
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
-    return docs.select(ordered_id(name("doc_id"), name("text")).alias("doc_id"), name("text").alias("text"))
+    return docs.select(ordered_id(name("doc_id"), name("text")).alias("doc_id"), name("text").alias("text"), name("doc_id").isNull().alias("no_id"))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -98,7 +98,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 own.append(distinct(whole).size < whole.size)
                 mins.append(distinct(low))
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(own, pa.bool_()), _lists(mins)], names=["doc_id", "n_words", "sha", "own", "mins"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(own, pa.bool_()), _lists(mins), some.column(2)], names=["doc_id", "n_words", "sha", "own", "mins", "no_id"])
 
 
 def _held_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +318,14 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     ``intervals`` are the removed words (start, end exclusive), ``kept_sha256`` the digest of those left,
     joined by one space. Texts of under 20 words, null ones too, keep all. Rows with the same doc_id are one
     document with more than one text: neither makes the other's windows earlier. Rows without doc_id come
-    after all others, in the order of a hash of their text, and those with equal texts are one document.
+    after all others (but for doc_ids of 2^62 and more, among which they are ordered), in the order of a hash of
+    their text, and those with equal texts are one document.
     Other columns, whatever their names, are not read. An empty table gives an empty result. Words are
     compared as 32-bit hashes, windows as 20 of these: two windows that differ in one word are taken for equal
     once in four thousand million.
     """
     slim = _with_id(docs)
-    read = checkpointed(slim.mapInArrow(_digests, "doc_id long, n_words long, sha string, own boolean, mins array<long>"))
+    read = checkpointed(slim.mapInArrow(_digests, "doc_id long, n_words long, sha string, own boolean, mins array<long>, no_id boolean"))
     classes = read.filter(f"n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"))
     read = read.join(classes, "sha", "left")
     firsts = read.filter("doc_id = first")
@@ -348,12 +349,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     changed = spans.select("doc_id", F.struct("start", "windows").alias("span")).unionByName(own, allowMissingColumns=True)
     changed = changed.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     changed = slim.join(changed, "doc_id").select("doc_id", "text", "spans").mapInArrow(_changes, "doc_id long, sha string, intervals array<struct<start: long, end: long>>, kept_sha256 string").dropDuplicates(["doc_id", "sha"])
-    out = read.select("doc_id", "n_words", "sha", "first").join(changed, ["doc_id", "sha"], "left")
+    out = read.select("doc_id", "no_id", "n_words", "sha", "first").join(changed, ["doc_id", "sha"], "left")
     copy = F.col("first") < F.col("doc_id")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     intervals = F.when(copy, everything).otherwise(F.coalesce("intervals", F.array().cast("array<struct<start: long, end: long>>")))
     removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, i: n + i["end"] - i["start"])
     kept = F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha"))
-    shown = F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id")
+    shown = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
     out = out.select(shown, "n_words", intervals.alias("intervals"), kept.alias("kept_sha256"))
     return out.withColumn("n_removed", removed)

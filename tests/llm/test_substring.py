@@ -99,3 +99,11 @@ def test_odd_rows(odd, none):
     assert {(2, 0, 0), (3, 0, 0), (4, 0, 0), (7, 30_000, 29_999), (8, 1, 0)} <= got
     assert find_repeats(odd).count() == 10
     assert find_repeats(none).count() == 0
+
+
+def test_large_ids_are_kept(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(2**62 + 5, text), (2**63 - 1, text), (None, text), (7, "x " + text)]
+    got = sorted((r.doc_id or 0, r.n_removed) for r in find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [g[0] for g in got] == [0, 7, 2**62 + 5, 2**63 - 1]
+    assert dict(got) == {0: 30, 7: 0, 2**62 + 5: 30, 2**63 - 1: 30}
