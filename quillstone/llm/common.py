@@ -38,6 +38,15 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[name(c) for c in df.columns])
 
 
+def filtered(df: DataFrame, keep) -> DataFrame:
+    """The rows of ``df`` that an Arrow function leaves: it gets batches of ``row`` and ``text`` and returns those of ``row``.
+
+    As a struct, a row may have columns of any names.
+    """
+    kept = df.select(whole_row(df).alias("row"), name("text").alias("text")).mapInArrow(keep, T.StructType([T.StructField("row", df.schema)]))
+    return kept.select("row.*")
+
+
 #: Ids from here on stand for the texts of rows without doc_id.
 NO_ID = 2**62
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import checkpointed, name
+from quillstone.llm.common import checkpointed, filtered, name
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -250,17 +250,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no test item is found, with their own columns."""
+    """The rows of ``docs`` in which no test item is found, with their own columns, whatever their names."""
 
     def keep_without(indexes: list[Index]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text"))
-                words = (terms_of(t.as_py()) for t in texts)
-                yield batch.filter(pa.array([not any(index.matches(w) for index in indexes) for w in words], pa.bool_()))
+                words = (terms_of(t.as_py()) for t in batch.column("text"))
+                yield batch.select(["row"]).filter(pa.array([not any(index.matches(w) for index in indexes) for w in words], pa.bool_()))
 
         return run
 
     for indexes in passes(benchmark):
-        docs = docs.mapInArrow(keep_without(indexes), docs.schema)
+        docs = filtered(docs, keep_without(indexes))
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import name
+from quillstone.llm.common import filtered, name
 from quillstone.llm.quality_rules import FOLLOWING, SPACE, SYMBOLS, calibration, labelled_sample, repeated_words
 from quillstone.llm.words import WordHashes
 
@@ -198,16 +198,16 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold: float = THRESHOLD, source: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``, with their own columns.
 
-    The machine learns from the texts of ``source``, or of ``docs`` itself where none is given.
+    The machine learns from the texts of ``source``, or of ``docs`` itself where none is given. Columns may have any
+    names.
     """
     machine = train(docs if source is None else source, labels, most)
     score = score_with(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
+            pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"])
             good = next(score(iter([pair]))).column(1).to_numpy() >= threshold
-            yield batch.filter(pa.array(good))
+            yield batch.select(["row"]).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)

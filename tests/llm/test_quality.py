@@ -115,3 +115,17 @@ def test_verdicts_against_plain_code(spark, docs):
             z = machine.bias + sum(a * u[0] for a, u in zip(x, w)) + sum(x[i] * x[j] * float(w[i][1:] @ w[j][1:]) for i in range(len(x)) for j in range(i))
             assert abs(scores[d.doc_id].score - sigmoid(machine.slope * z + machine.shift)) < 1e-9
         assert scores[d.doc_id].predicted == int(scores[d.doc_id].score >= 0.7)
+
+
+def test_dotted_columns_pass_the_filtering_stages(spark, odd):
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import decontaminate, quality_fm
+
+    dotted = odd.withColumn("a.b", F.lit(1)).withColumn("row", F.lit("r"))
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality_fm.keep_good(dotted, labels, threshold=0.0).columns == dotted.columns
+    assert quality_fm.keep_good(dotted, labels, threshold=0.0).count() == odd.count()
+    items = spark.createDataFrame([(1, "een twee drie vier vijf zes zeven acht negen")], "item_id long, text string")
+    kept = decontaminate.drop_leaks(dotted, items)
+    assert kept.columns == dotted.columns and kept.count() == odd.count()
