@@ -1,6 +1,7 @@
 """Bibliographies and citation markers as rows: author-date entries, all strategies of splitting, markers with offsets (TVF02, TVF04, TVF07, AG24).
 
-Lines and markers are rows with ordinals; what depends on the order is a window within a document. A document is
+Lines are rows with ordinals, and what depends on their order is a window within a document; markers are found within
+the row of their text. A document is
 named by the column ``key``; rows that share a key count as one document, in no defined order of their lines.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.citations import MARKERS, unmerged
 from quillstone.functions.identifiers import unroll
+from quillstone.functions.text import around, located
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 EDGE_BLANKS, BLANKS = r"(?U)^\s+|\s+$", r"(?U)\s+"
@@ -183,39 +185,44 @@ def scan_markers(df: DataFrame, key: str, body: str) -> DataFrame:
     empty texts give no row.
     """
     text = F.coalesce(F.col(body), F.lit(""))
-    found = []
-    for order, (form, family, pattern) in enumerate(FORMS):
-        groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in ((0, 1, 2) if form in ("AUTHOR_YEAR_NARRATIVE", "FOOTNOTE_NOTE") else (0, 1, 1))]
-        gaps = F.transform(F.split(text, pattern), F.length)  # what stands before each match, and after the last
-        each = F.transform(F.arrays_zip(groups[0].alias("whole"), groups[1].alias("one"), groups[2].alias("two"), gaps.alias("gap")), lambda x: F.struct(F.lit(order).alias("order"), F.lit(form).alias("form"), F.lit(family).alias("family"), x["whole"].alias("whole"), x["one"].alias("one"), x["two"].alias("two"), x["gap"].alias("gap")))
-        found.append(F.transform(F.filter(each, lambda x: x["whole"].isNotNull()), lambda x, i: x.withField("at", i)))
-    rows = df.select(F.col(key).alias("key"), text.alias("text"), F.explode(F.concat(*found)).alias("m")).select("key", "text", "m.*")
-    # Only lengths are ordered; each row has cut its context first.
-    w = Window.partitionBy("key", "order").orderBy("at")
-    slim = rows.select("key", "order", "at", "gap", F.length("whole").alias("n"))
-    end = slim.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(w)).withColumn("start", F.col("end") - F.col("n"))
-    rows = rows.join(end.select("key", "order", "at", "start", "end"), ["key", "order", "at"])
-    left = F.greatest(F.lit(0), F.col("start") - CONTEXT)
-    context = F.regexp_replace(_stripped(F.substr("text", (left + 1).cast("int"), (F.col("end") + CONTEXT - left).cast("int"))), BLANKS, " ")
-    form, one, two = F.col("form"), F.col("one"), F.col("two")
-    author = F.when(form == "AUTHOR_YEAR_NARRATIVE", _stripped(one))
-    read = F.when(form == "NUMERIC_SUPERSCRIPT", unroll(F.translate(one, SUPERSCRIPTS, DIGITS))).when(form.isin("NUMERIC_BRACKETED", "NUMERIC_PARENTHETICAL"), unroll(one))
-    read = F.when(form == "NUMERIC_PARENTHETICAL", F.filter(read, lambda k: k < FIRST_YEAR)).otherwise(read)
-    rows = rows.select("key", "order", "at", "family", "form", "whole", "one", "two", "start", "end", context.alias("context"), author.alias("author"), F.when(author.isNotNull(), _stripped(two)).alias("year"), read.alias("read"))
-    fits = (
-        F.when(form == "AUTHOR_YEAR_NARRATIVE", ~F.lower("author").isin(*NO_AUTHORS))
-        .when(form == "NUMERIC_SUPERSCRIPT", F.size("read") > 0)
-        .when(form == "NUMERIC_PARENTHETICAL", (F.size("read") > 0) & ~F.col("context").rlike(NO_CITATION) & ~F.col("context").rlike(ENUMERATION))
-        .otherwise(True)
-    )
-    place = F.row_number().over(Window.partitionBy("key", "family").orderBy("order", "at"))
-    rows = rows.filter(fits).withColumn("place", place)
-    note = form == "FOOTNOTE_NOTE"
-    number = F.nullif(one, F.lit(""))
-    marker = F.when(form == "AUTHOR_YEAR_NARRATIVE", F.concat("author", F.lit(" ("), "year", F.lit(")"))).when(note, F.coalesce(F.concat(F.lit("["), number, F.lit("]")), F.lit("[Footnote]"))).when(form == "NUMERIC_SUPERSCRIPT", one).otherwise(F.col("whole"))
-    keys = F.when(note, F.array(F.coalesce(number.try_cast("long"), F.col("place").cast("long")))).otherwise(F.col("read").cast("array<long>"))
-    content = F.when(form == "AUTHOR_YEAR_PARENTHETICAL", one).when(note, _stripped(two))
-    return rows.select(F.col("key").alias(key), "family", "form", "place", marker.alias("marker"), content.alias("content"), keys.alias("keys"), "author", "year", "context", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    none, families = F.lit(None).cast("string"), {}
+    for form, family, pattern in FORMS:
+        found = located(text, pattern, 1, 2) if form in ("AUTHOR_YEAR_NARRATIVE", "FOOTNOTE_NOTE") else located(text, pattern, 1)
+        families.setdefault(family, []).append(F.filter(F.transform(found, _marker(text, form, none)), lambda m: m["fits"]))
+    numbered = [F.transform(F.concat(*of), lambda m, i: m.withField("place", i + 1)) for of in families.values()]
+    rows = df.select(F.col(key).alias("key"), F.explode(F.concat(*numbered)).alias("m"))
+    # A note without a number is keyed by its place.
+    keys = F.when((F.col("m.family") == "FOOTNOTE_NOTE") & (F.size("m.keys") == 0), F.array(F.col("m.place").cast("long"))).otherwise(F.col("m.keys"))
+    return rows.select(F.col("key").alias(key), "m.family", "m.form", "m.place", "m.marker", "m.content", keys.alias("keys"), "m.author", "m.year", "m.context", "m.start", "m.end")
+
+
+def _marker(text: Column, form: str, none: Column):
+    """What a match of a form says: family, marker, content, keys and whether it is a citation."""
+    family = next(f for g, f, _ in FORMS if g == form)
+
+    def of(x: Column) -> Column:
+        one, context = x["g1"], around(text, x["start"], x["end"], CONTEXT)
+        marker, content, author, year, keys, fits = x["whole"], none, none, none, F.array().cast("array<long>"), F.lit(True)
+        if form == "AUTHOR_YEAR_NARRATIVE":
+            author, year = _stripped(one), _stripped(x["g2"])
+            marker, fits = F.concat(author, F.lit(" ("), year, F.lit(")")), ~F.lower(author).isin(*NO_AUTHORS)
+        elif form == "AUTHOR_YEAR_PARENTHETICAL":
+            content = one
+        elif form == "FOOTNOTE_NOTE":
+            number = F.nullif(one, F.lit(""))
+            marker, content = F.coalesce(F.concat(F.lit("["), number, F.lit("]")), F.lit("[Footnote]")), _stripped(x["g2"])
+            keys = F.array_compact(F.array(number.try_cast("long")))
+        elif form == "NUMERIC_SUPERSCRIPT":
+            marker, keys = one, unroll(F.translate(one, SUPERSCRIPTS, DIGITS)).cast("array<long>")
+            fits = F.size(keys) > 0
+        else:
+            keys = unroll(one).cast("array<long>")
+            if form == "NUMERIC_PARENTHETICAL":
+                keys = F.filter(keys, lambda k: k < FIRST_YEAR)
+                fits = (F.size(keys) > 0) & ~context.rlike(NO_CITATION) & ~context.rlike(ENUMERATION)
+        return F.struct(F.lit(family).alias("family"), F.lit(form).alias("form"), F.lit(0).alias("place"), marker.alias("marker"), content.alias("content"), keys.alias("keys"), author.alias("author"), year.alias("year"), context.alias("context"), x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), fits.alias("fits"))
+
+    return of
 
 
 def citation_styles(df: DataFrame, key: str, body: str) -> DataFrame:

@@ -116,3 +116,22 @@ def stable_id(prefix: str, *parts: Column, missing: str = "none") -> Column:
     """``PREFIX-`` and 16 hash digits of the parts; absent and empty parts count alike."""
     joined = F.concat_ws(":", *[F.coalesce(F.nullif(p.cast("string"), F.lit("")), F.lit(missing)) for p in parts])
     return F.concat(F.lit(prefix + "-"), F.upper(F.substring(F.sha2(joined, 256), 1, 16)))
+
+
+def located(text: Column, pattern: str, *groups: int) -> Column:
+    """Matches of a pattern in a text: an array of (whole, g1, g2, ..., start, end), the groups asked for and code points.
+
+    Offsets are summed up from the lengths of the matches and of what stands between them, within the row.
+    """
+    wholes, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.transform(F.split(text, pattern), F.length)
+    parts = [wholes.alias("whole"), gaps.alias("gap"), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]]
+    each = F.filter(F.arrays_zip(*parts), lambda x: x["whole"].isNotNull())
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    ends = F.aggregate(each, zero, lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["whole"])).alias("at"), F.concat(a["ends"], F.array(a["at"] + x["gap"] + F.length(x["whole"]))).alias("ends")), lambda a: a["ends"])
+    return F.zip_with(each, ends, lambda x, end: F.struct(x["whole"].alias("whole"), *[x[f"g{g}"].alias(f"g{g}") for g in groups], (end - F.length(x["whole"])).alias("start"), end.alias("end")))
+
+
+def around(text: Column, start: Column, end: Column, window: int) -> Column:
+    """The text around a stretch of it, white space squeezed."""
+    left = F.greatest(F.lit(0), start - window)
+    return F.regexp_replace(F.regexp_replace(F.substr(text, (left + 1).cast("int"), (end + window - left).cast("int")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
