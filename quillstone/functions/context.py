@@ -14,7 +14,7 @@ def _cut(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
-def _packed(units: Column, limit: int) -> Column:
+def _packed(units: Column, limit: int | Column) -> Column:
     """Units joined by blanks as long as they fit; a longer one stays whole."""
     kind = "struct<held: string, done: array<string>>"
 
@@ -27,13 +27,14 @@ def _packed(units: Column, limit: int) -> Column:
     return F.aggregate(units, start, step, lambda acc: F.concat(acc["done"], F.array(acc["held"])))
 
 
-def _hard(text: Column, limit: int) -> Column:
+def _hard(text: Column, limit: int | Column) -> Column:
     """Stretches of at most ``limit`` code points that end before a blank where there is one."""
-    rest, blank, any_ = rf"[\s\S]{{1,{limit}}}\z", rf"[\s\S]{{1,{limit - 1}}}(?= )", rf"[\s\S]{{1,{limit}}}"
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({rest}|{blank}|{any_})"), F.lit(1)), lambda x: F.trim(x))
+    n = F.lit(limit) if isinstance(limit, int) else limit
+    pattern = F.concat(F.lit(r"([\s\S]{1,"), n.cast("string"), F.lit(r"}\z|[\s\S]{1,"), (n - 1).cast("string"), F.lit(r"}(?= )|[\s\S]{1,"), n.cast("string"), F.lit("})"))
+    return F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda x: F.trim(x))
 
 
-def large_text(text: Column, limit: int) -> Column:
+def large_text(text: Column, limit: int | Column) -> Column:
     """A text in pieces: itself where it is short, else its paragraphs, lines or sentences, the first that are
     several; longer ones in packed sentences, or at blanks where they are but one sentence. Null and '' are ''."""
     t = F.coalesce(text, F.lit(""))
@@ -60,10 +61,11 @@ def _leading(units: Column, limit: Column, between: int) -> Column:
     return F.aggregate(units, start, step, lambda acc: acc["kept"])
 
 
-def semantic_prefix(text: Column, limit: int) -> Column:
+def semantic_prefix(text: Column, limit: int | Column) -> Column:
     """The front of a text in whole paragraphs, or in whole sentences where not even one paragraph fits."""
-    paragraphs = _leading(_cut(text, PARAGRAPH), F.lit(limit), 2)
-    sentences = _leading(_cut(text, SENTENCE), F.lit(limit - 1), 1)
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    paragraphs = _leading(_cut(text, PARAGRAPH), limit, 2)
+    sentences = _leading(_cut(text, SENTENCE), limit - 1, 1)
     return F.when(F.length(text) <= limit, text).when(F.size(paragraphs) > 0, F.array_join(paragraphs, "\n\n")).otherwise(F.array_join(sentences, " "))
 
 
