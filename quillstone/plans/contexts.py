@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators import documents
+from quillstone.operators import documents, similarity
 from quillstone.plans.registry import query
 from quillstone.plans.tables import table
 
@@ -66,3 +66,26 @@ def sc70(spark, sf):
     """How many of a document's sentences, with a number before them, read as headings."""
     lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("s")).withColumn("line", F.concat(F.lit("3.1 "), F.trim("s")))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(documents.is_heading(F.col("line")), 1)).alias("n_headings"))
+
+
+@query("jn07_claim_citations")
+def jn07_claims(spark, sf):
+    """The assistant's turns of its conversation that each user's turn resembles, each turn a reference with its number."""
+    c = table(spark, sf, "conversations").filter("text is not null and conv_id is not null and turn is not null")
+    said = c.filter("role = 'assistant'")
+    claims = c.filter("role = 'user'").select("conv_id", F.col("turn").alias("claim_id"), F.col("text").alias("claim_text"))
+    none = F.lit(None).cast("string")
+    citations = said.select("conv_id", F.col("turn").alias("citation_id"), F.col("turn").alias("place"), F.array(F.col("turn").cast("long")).alias("keys"), F.format_string("[%d]", "turn").alias("marker"), none.alias("content"), none.alias("author"), none.alias("year"), F.col("text").alias("context"))
+    references = said.select("conv_id", F.format_string("R%d", "turn").alias("reference_id"), F.col("turn").cast("long").alias("number"), F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("year"))
+    return similarity.map_claims(claims, citations, references, "conv_id").select("conv_id", "claim_id", "rank", "reference_id", "similarity")
+
+
+@query("jn03_repaired_places")
+def jn03_places(spark, sf):
+    """The ground truth of each order's lines, whose rows are one place off in every second order."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(part, "l_partkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    refs = lines.select("l_orderkey", F.row_number().over(w).alias("reference_no"), F.concat("p_name", F.lit(" of supplier "), "l_suppkey").alias("title"))
+    ground = refs.select("l_orderkey", (F.col("reference_no") + F.col("l_orderkey") % 2).cast("int").alias("reference_no"), F.upper("title").alias("title"))
+    return similarity.repaired_places(refs, ground, "l_orderkey")
