@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import fuzzy
+from quillstone.functions.fuzzy import token_set
 from quillstone.functions.text import title_form
 
 #: Claims and contexts that one task compares, at most, and pairs whose letters are counted at a time.
@@ -59,7 +60,7 @@ def score_block(a: list[str], b: list[str], least: float) -> Iterator[tuple[int,
         bound = 200 * np.minimum(ba[start:stop, None, :], bb[None, :, :]).sum(axis=2) / np.maximum(1, na[start:stop, None] + nb[None, :])
         # A thousandth of a point of room for what floats leave out; scores are worked out anew.
         for i, j in zip(*np.nonzero(total[start:stop] & (whole[start:stop] | (np.maximum(bound, known[start:stop]) >= least - 1e-3))), strict=True):
-            score = 100.0 if whole[start + i, j] else fuzzy.token_set(a[start + i], b[j])
+            score = 100.0 if whole[start + i, j] else token_set(a[start + i], b[j])
             if score >= least:
                 yield int(start + i), int(j), float(score)
 

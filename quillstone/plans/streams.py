@@ -35,3 +35,15 @@ def str05(spark, sf):
     allowed = {a: {b for b in ("cart", "click", "login", "logout", "purchase", "search", "signup", "view") if a < b} for a in ("cart", "click", "login", "logout", "purchase", "search", "signup", "view")}
     folded = ledger.fold(_stream(spark, sf).select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id", allowed)
     return ledger.run_once(folded, "update")
+
+
+@query("str03_lease_events", """
+WITH b AS (SELECT user_id, ts, lag(ts) OVER w AS before, lead(ts) OVER w AS next FROM (SELECT DISTINCT user_id, ts FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS at FROM events)
+SELECT user_id, CASE WHEN before IS NULL OR ts >= before + INTERVAL 6 HOUR THEN 'CLAIMED' ELSE 'RENEWED' END AS event, ts AS at FROM b
+UNION ALL SELECT user_id, 'EXPIRED', ts + INTERVAL 6 HOUR FROM b, mark WHERE next >= ts + INTERVAL 6 HOUR OR next IS NULL AND ts + INTERVAL 6 HOUR < mark.at""")
+def str03(spark, sf):
+    """Leases of six hours that every user's events hold: claims, renewals, and what had expired when the stream ended."""
+    timed = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ledger.run_once(ledger.lease_events(timed, "ts", "user_id", 6 * 3600), "append")
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions import citations, fuzzy, identifiers, ladders, text
+from quillstone.functions import citations, fuzzy, identifiers, ladders, model_json, text
 from quillstone.plans.registry import query
 from quillstone.plans.tables import table
 
@@ -327,3 +327,15 @@ def sc42(spark, sf):
     year = fuzzy.year_score(F.lit(2020), F.lit(2020) - c("event_id") % 3)
     score = fuzzy.composite(c("t"), c("a"), F.when(c("event_id") % 2 == 0, c("c")), year, F.lit(None).cast("double"))
     return _ladder(spark, sf).select("event_id", F.round(score, 3).alias("composite"))
+
+
+@query("sc96_tolerant_json", """
+SELECT doc_id, lang, length(text)::BIGINT AS n_chars FROM documents WHERE text IS NOT NULL""")
+def sc96(spark, sf):
+    """Every text, put into JSON and that into an answer: alone, in a fence, or in prose with more braces behind it."""
+    d = table(spark, sf, "documents").filter("text is not null")
+    inner = F.to_json(F.struct("doc_id", F.struct("lang", "text").alias("of")))
+    answer = F.when(F.col("lang") == "en", F.concat(F.lit("Here it is:\n```json\n"), F.replace(inner, F.lit("`"), F.lit("\\u0060")), F.lit("\n```\nDone."))).when(F.col("lang").isin("fr", "de"), F.concat(F.lit("Voici : "), inner, F.lit(" and {more} of it }"))).otherwise(F.concat(F.lit(" \n"), inner))
+    v = d.select(model_json.tolerant_json(answer).alias("v"))
+    at = lambda path, kind: F.try_variant_get("v", path, kind)
+    return v.select(at("$.doc_id", "long").alias("doc_id"), at("$.of.lang", "string").alias("lang"), F.length(at("$.of.text", "string")).cast("long").alias("n_chars"))
