@@ -144,7 +144,9 @@ def manuscript_references(df: DataFrame, key: str, text: str) -> DataFrame:
     Numbered entries come first, then author-date ones, then paragraphs, semicolons and lines; a text that none of
     them cuts is one entry. Null and blank texts give no row.
     """
-    cleaned = df.select(F.col(key).alias("key"), _cleaned(F.col(text)).alias("t")).withColumn("numbered", numbered_references(F.col("t")))
+    # Arrays of one, exploded: what is in them is worked out once for each row, however often it is used.
+    once = lambda c: F.explode(F.array(c))
+    cleaned = df.select(F.col(key).alias("key"), once(_cleaned(F.col(text))).alias("t")).select("key", "t", once(numbered_references(F.col("t"))).alias("numbered"))
     explode = lambda rows, strategy, parts: rows.select("key", F.lit(strategy).alias("strategy"), F.posexplode(parts).alias("number", "raw")).withColumn("number", F.col("number") + 1)
     rest = cleaned.filter(F.col("numbered").isNull())
     dated = author_date_references(rest, "key", "t")

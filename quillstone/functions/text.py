@@ -135,3 +135,8 @@ def around(text: Column, start: Column, end: Column, window: int) -> Column:
     """The text around a stretch of it, white space squeezed."""
     left = F.greatest(F.lit(0), start - window)
     return F.regexp_replace(F.regexp_replace(F.substr(text, (left + 1).cast("int"), (end + window - left).cast("int")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+
+
+def bound(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -176,7 +176,7 @@ def running_lines(df: DataFrame, doc: str, text: str) -> DataFrame:
 
     One row of ``df`` is a page.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     pages = df.select(doc, F.get(lines, F.lit(0)).alias("head"), F.get(lines, F.size(lines) - 1).alias("foot"))
     counts = pages.groupBy(doc).agg(F.count("*").alias("pages")).filter("pages >= 3")
     ends = pages.select(doc, F.explode(F.array_distinct(F.array_compact(F.array("head", "foot")))).alias("line"))

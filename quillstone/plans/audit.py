@@ -372,8 +372,9 @@ def tvf20(spark, sf):
 
 
 @query("tvf21_documentation_facts", """
-SELECT s_suppkey, 'python' AS category, '3.' || s_nationkey AS value, 1::INTEGER AS line_no FROM supplier UNION ALL SELECT s_suppkey, 'cuda', '11.8', 1 FROM supplier UNION ALL SELECT s_suppkey, 'memory', (8 + s_nationkey) || ' GB', 2 FROM supplier UNION ALL SELECT s_suppkey, 'gpu', '4 x A100', 2 FROM supplier""")
+SELECT s_suppkey, 'python' AS category, '3.' || s_nationkey AS value, 1::INTEGER AS line_no FROM supplier UNION ALL SELECT s_suppkey, 'cuda', '11.8', 1 FROM supplier UNION ALL SELECT s_suppkey, 'memory', (8 + s_nationkey) || ' GB', 2 FROM supplier""")
 def tvf21(spark, sf):
+    """Facts of a documentation. Cards that nothing says are needed or used are no fact."""
     from quillstone.functions.environment import documentation_facts
 
     doc = F.concat(F.lit("Needs Python >= 3."), F.col("s_nationkey").cast("string"), F.lit(" and CUDA 11.8\nWith "), (8 + F.col("s_nationkey")).cast("string"), F.lit(" GB of RAM on 4 x A100 cards\nNothing else"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("rollups", "ordered", "graphs", "texts", "audit", "more", "lookups", "rulings", "settled", "streams", "bibliographies", "cases", "artifacts", "contexts")
+_MODULES: tuple[str, ...] = ("rollups", "ordered", "graphs", "texts", "audit", "more", "lookups", "rulings", "settled", "streams", "bibliographies", "cases", "artifacts", "contexts", "uploads")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
