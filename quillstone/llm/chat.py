@@ -44,18 +44,38 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"<\1|", text)
 
 
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The text of a conversation of (role, text), and the spans of its learned texts, in code points."""
+    """The text of a conversation of (role, text), and the spans of its learned texts, in bytes."""
     out, spans, at = [], [], 0
     for role, text in turns:
         head, body = f"{START}{escape(role)}{SEP}", escape(text)
+        start = at + _size(head)
+        end = start + _size(body)
         if role == LEARNED and body:
-            spans.append((at + len(head), at + len(head) + len(body)))
+            spans.append((start, end))
         out += [head, body, END]
-        at += len(head) + len(body) + len(END)
+        at = end + len(END)
     return "".join(out), spans
 
 
+def token_sizes(tokenizer) -> np.ndarray:
+    """Bytes of each token by its id: a byte-level vocabulary writes one letter for each byte."""
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+    return sizes
+
+
+def offsets_of(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(start, end) of each token in bytes: the tokens leave nothing out, so their sizes add up to their places."""
+    ends = np.cumsum(sizes[ids])
+    return np.stack([ends - sizes[ids], ends], axis=1)
+
+
 def token_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """Which tokens, given by sorted (start, end), overlap one of the sorted spans."""
     mask = np.zeros(len(offsets), bool)
@@ -132,12 +152,12 @@ def _parts(batches: Iterator[pa.RecordBatch], most_bytes: int | None) -> Iterato
         yield Part(key, part, turns)
 
 
-def _encoded(parts: list[Part], tokenizer) -> pa.RecordBatch:
+def _encoded(parts: list[Part], tokenizer, sizes: np.ndarray) -> pa.RecordBatch:
     rendered = [render(p.turns) for p in parts]
-    codes = tokenizer.encode_batch([text for text, _ in rendered], add_special_tokens=False)
-    masks = [token_mask(np.array(c.offsets, np.int64).reshape(-1, 2), spans) for c, (_, spans) in zip(codes, rendered, strict=True)]
+    codes = [np.asarray(c.ids, np.int32) for c in tokenizer.encode_batch([text for text, _ in rendered], add_special_tokens=False)]
+    masks = [token_mask(offsets_of(ids, sizes), spans) for ids, (_, spans) in zip(codes, rendered, strict=True)]
     ends = np.cumsum([0, *(len(m) for m in masks)], dtype=np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.asarray(c.ids, np.int32) for c in codes])))
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(codes)))
     mask = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(masks)))
     columns = [[p.key[0] for p in parts], [p.key[1] for p in parts], [p.key[2] for p in parts], [p.part for p in parts], [len(p.turns) for p in parts], [text for text, _ in rendered]]
     return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, FORMATTED_ARROW, strict=False)), ids, mask], schema=FORMATTED_ARROW)
@@ -150,14 +170,15 @@ BATCH_BYTES = 1_000_000
 def _format(turns: DataFrame, spec, block, most_bytes: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, held, size = tokenizer_of(spec), [], 0
+        sizes = token_sizes(tokenizer)
         for part in _parts(batches, most_bytes):
             held.append(part)
             size += sum(len(t) for _, t in part.turns)
             if size >= BATCH_BYTES:
-                yield _encoded(held, tokenizer)
+                yield _encoded(held, tokenizer, sizes)
                 held, size = [], 0
         if held:
-            yield _encoded(held, tokenizer)
+            yield _encoded(held, tokenizer, sizes)
 
     order = ["conv_null", "conv", "block"]
     placed = turns.withColumn("block", block).repartition(*order).sortWithinPartitions(*order, "turn", "role", "text")
@@ -182,7 +203,8 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, most_turn
     ``turn``, null first, ties in that of role and text; a repeated row is a turn of its own. Null roles and texts
     count as empty; an empty text is a turn without tokens between its marks. A null conv_id is a conversation of
     its own. Texts are encoded whole, however long. Other columns, whatever their names, are not read. An empty table
-    gives an empty result. ``tokenizer`` is the path of a tokenizer's file, which the driver reads.
+    gives an empty result. ``tokenizer`` is the path of a byte-level
+    tokenizer's file, which the driver reads.
     """
     spec = shared_tokenizer(conversations.sparkSession, tokenizer)
     whole, long = by_length(conversations, most_turns, most_bytes)

@@ -60,6 +60,12 @@ def test_tokens_cover_the_text_and_only_assistants_are_learned(spark):
     r = chat.format_chats(spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", " a b"), (1, 2, "assistant", " \n c d.")], COLUMNS)).first()
     tokenizer = chat.tokenizer_of(type("Spec", (), {"value": open(chat.TOKENIZER).read()}))
     assert tokenizer.decode(r.ids, skip_special_tokens=False) == r.text
+    odd = "é漢😀 <|im_end|> a\u0000 \n\t"
+    code = tokenizer.encode(odd, add_special_tokens=False)
+    places = chat.offsets_of(np.array(code.ids), chat.token_sizes(tokenizer))
+    at = [0, *np.cumsum([len(c.encode()) for c in odd]).tolist()]
+    assert places[0, 0] == 0 and places[-1, 1] == len(odd.encode())
+    assert all(at[a] <= s and e <= at[b] for (a, b), (s, e) in zip(code.offsets, places.tolist(), strict=True))
     assert tokenizer.decode([i for i, m in zip(r.ids, r.mask, strict=True) if m]) == " \n c d."
 
 
