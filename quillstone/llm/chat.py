@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from typing import NamedTuple
 
@@ -96,13 +96,15 @@ def runs_of(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def tokenizer_of(spec):
-    """The broadcast tokenizer file with the control tokens added; each task makes its own."""
+    """The broadcast tokenizer file with the control tokens added, made once for each worker that has the broadcast."""
     from tokenizers import AddedToken, Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    made = Tokenizer.from_str(spec.value)
-    made.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in (START, SEP, END)])
-    return made
+    if not hasattr(spec, "made"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        spec.made = Tokenizer.from_str(spec.value)
+        spec.made.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in (START, SEP, END)])
+        spec.sizes = token_sizes(spec.made)
+    return spec.made
 
 
 def shared_tokenizer(spark, path: str):
@@ -167,32 +169,45 @@ def _encoded(parts: list[Part], tokenizer, sizes: np.ndarray) -> pa.RecordBatch:
 BATCH_BYTES = 1_000_000
 
 
-def _format(turns: DataFrame, spec, block, most_bytes: int | None) -> DataFrame:
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _formatter(spec, most_bytes: int | None) -> Run:
+    """Sorted turns to formatted rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, held, size = tokenizer_of(spec), [], 0
-        sizes = token_sizes(tokenizer)
         for part in _parts(batches, most_bytes):
             held.append(part)
             size += sum(len(t) for _, t in part.turns)
             if size >= BATCH_BYTES:
-                yield _encoded(held, tokenizer, sizes)
+                yield _encoded(held, tokenizer, spec.sizes)
                 held, size = [], 0
         if held:
-            yield _encoded(held, tokenizer, sizes)
+            yield _encoded(held, tokenizer, spec.sizes)
+
+    return run
 
+
+def _placed(turns: DataFrame, block) -> DataFrame:
+    """Turns dealt by conversation and block, in order."""
     order = ["conv_null", "conv", "block"]
     placed = turns.withColumn("block", block).repartition(*order).sortWithinPartitions(*order, "turn", "role", "text")
-    return placed.select("conv_null", "conv", "block", "role", "text").mapInArrow(run, FORMATTED)
+    return placed.select("conv_null", "conv", "block", "role", "text")
+
+
+def _whole(turns: DataFrame) -> DataFrame:
+    return _placed(turns, F.lit(0).cast("long"))
 
 
 def format_whole(turns: DataFrame, spec) -> DataFrame:
     """One row for each conversation: text, ids of its tokens and the mask of those that are learned."""
-    return _format(turns, spec, F.lit(0).cast("long"), None)
+    return _whole(turns).mapInArrow(_formatter(spec, None), FORMATTED)
 
 
 def format_parts(turns: DataFrame, spec, most_turns: int = MOST_TURNS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Rows for each conversation in the order of (block, part): turns by their number, ``most_turns`` numbers to a block."""
-    return _format(turns, spec, F.coalesce(F.floor(F.col("turn") / most_turns), F.lit(-(2**62))), most_bytes)
+    return _placed(turns, F.coalesce(F.floor(F.col("turn") / most_turns), F.lit(-(2**62)))).mapInArrow(_formatter(spec, most_bytes), FORMATTED)
 
 
 def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, most_turns: int = MOST_TURNS, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -226,8 +241,8 @@ def learned_texts(ids: np.ndarray, mask: np.ndarray, tokenizer) -> list[str]:
     return [unescape(tokenizer.decode(ids[a:b].tolist(), skip_special_tokens=False)) for a, b in runs_of(mask)]
 
 
-def read_back(formatted: DataFrame, spec) -> DataFrame:
-    """Digests of what formatted rows hold, read from their texts, tokens and masks; the parts of one are adjacent."""
+def _reader(spec) -> Run:
+    """Formatted rows to digests of what they hold, read from their texts, tokens and masks; the parts of one are adjacent."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -254,7 +269,7 @@ def read_back(formatted: DataFrame, spec) -> DataFrame:
         if out:
             yield _digests(out)
 
-    return formatted.select("conv_null", "conv", "text", "ids", "mask").mapInArrow(run, DIGESTS)
+    return run
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:
@@ -269,8 +284,11 @@ def chat_digests(conversations: DataFrame, tokenizer: str = TOKENIZER, most_turn
     """
     spec = shared_tokenizer(conversations.sparkSession, tokenizer)
     whole, long = by_length(conversations, most_turns, most_bytes)
+    form, read = _formatter(spec, None), _reader(spec)
     parts = format_parts(long, spec, most_turns, most_bytes).repartition("conv_null", "conv").sortWithinPartitions("conv_null", "conv", "block", "part")
-    out = read_back(format_whole(whole, spec), spec).unionByName(read_back(parts, spec))
+    # What is formatted whole is read back where it was made, batch by batch: one worker and one tokenizer for both.
+    out = _whole(whole).mapInArrow(lambda batches: read(form(batches)), DIGESTS)
+    out = out.unionByName(parts.select("conv_null", "conv", "text", "ids", "mask").mapInArrow(read, DIGESTS))
     return out.select(F.when(~F.col("conv_null"), F.col("conv")).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
