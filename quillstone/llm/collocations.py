@@ -34,7 +34,7 @@ FORM = bytes(ord(".") if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c
 #: Words of the dictionary, and bytes in them, up to which it is broadcast; beyond, words are joined with it.
 DICTIONARY_WORDS, DICTIONARY_BYTES = 1_000_000, 32_000_000
 #: Keys that a map task sorts at a time; words for each range; the number of ranges at least.
-SORT_KEYS, RANGE_WORDS, LEAST_RANGES = 2_000_000, 4_000_000, 256
+SORT_KEYS, RANGE_WORDS, LEAST_RANGES = 1_000_000, 4_000_000, 256
 #: Distinct words that a map task counts at a time.
 COUNTED_WORDS = 400_000
 #: Log of the bits in the filter of frequent pairs, at most. A fuller filter lets more phrases be counted in vain.
