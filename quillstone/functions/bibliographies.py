@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.citations import MARKERS, unmerged
 from quillstone.functions.identifiers import unroll
+from quillstone.functions.spread import spread
 from quillstone.functions.text import around, located
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -192,7 +193,7 @@ def scan_markers(df: DataFrame, key: str, body: str) -> DataFrame:
         found = located(text, pattern, 1, 2) if form in ("AUTHOR_YEAR_NARRATIVE", "FOOTNOTE_NOTE") else located(text, pattern, 1)
         families.setdefault(family, []).append(F.filter(F.transform(found, _marker(text, form, none)), lambda m: m["fits"]))
     numbered = [F.transform(F.concat(*of), lambda m, i: m.withField("place", i + 1)) for of in families.values()]
-    rows = df.select(F.col(key).alias("key"), F.explode(F.concat(*numbered)).alias("m"))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(body).alias(body))).select("key", F.explode(F.concat(*numbered)).alias("m"))
     # A note without a number is keyed by its place.
     keys = F.when((F.col("m.family") == "FOOTNOTE_NOTE") & (F.size("m.keys") == 0), F.array(F.col("m.place").cast("long"))).otherwise(F.col("m.keys"))
     return rows.select(F.col("key").alias(key), "m.family", "m.form", "m.place", "m.marker", "m.content", keys.alias("keys"), "m.author", "m.year", "m.context", "m.start", "m.end")

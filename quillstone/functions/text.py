@@ -127,8 +127,10 @@ def located(text: Column, pattern: str, *groups: int) -> Column:
     parts = [wholes.alias("whole"), gaps.alias("gap"), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]]
     each = F.filter(F.arrays_zip(*parts), lambda x: x["whole"].isNotNull())
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    ends = F.aggregate(each, zero, lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["whole"])).alias("at"), F.concat(a["ends"], F.array(a["at"] + x["gap"] + F.length(x["whole"]))).alias("ends")), lambda a: a["ends"])
-    return F.zip_with(each, ends, lambda x, end: F.struct(x["whole"].alias("whole"), *[x[f"g{g}"].alias(f"g{g}") for g in groups], (end - F.length(x["whole"])).alias("start"), end.alias("end")))
+    reached = lambda a, x: a["at"] + x["gap"] + F.length(x["whole"])
+    ends = lambda of: F.aggregate(of, zero, lambda a, x: F.struct(reached(a, x).alias("at"), F.concat(a["ends"], F.array(reached(a, x))).alias("ends")), lambda a: a["ends"])
+    placed = lambda x, end: F.struct(x["whole"].alias("whole"), *[x[f"g{g}"].alias(f"g{g}") for g in groups], (end - F.length(x["whole"])).alias("start"), end.alias("end"))
+    return bound(each, lambda of: F.zip_with(of, ends(of), placed))
 
 
 def around(text: Column, start: Column, end: Column, window: int) -> Column:
