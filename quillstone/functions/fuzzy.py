@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.functions.text import author_list, title_form
+from quillstone.functions.text import author_list, bound, title_form
 
 #: Words that carry no meaning in a title.
 STOP_WORDS = (
@@ -106,18 +106,23 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 def author_similarity(a: Column, b: Column) -> Column:
     """Half the first author's match, half the surnames' overlap; a fuzzy ratio where no list can be read."""
-    x, y = author_list(a), author_list(b)
-    sx, sy = F.transform(x, lambda p: p["surname"]), F.transform(y, lambda p: p["surname"])
-    fx, fy = F.get(x, F.lit(0)), F.get(y, F.lit(0))
     initial = lambda p: F.substring(p["initials"], 1, 1)
-    first = (
-        F.when(fx["surname"] == fy["surname"], F.when((initial(fx) != "") & (initial(fx) == initial(fy)), 1.0).otherwise(0.9))
-        .when(F.array_contains(sy, fx["surname"]) | F.array_contains(sx, fy["surname"]), 0.6)
-        .otherwise(0.0)
-    )
+
+    def listed(x: Column, y: Column) -> Column:
+        sx, sy = F.transform(x, lambda p: p["surname"]), F.transform(y, lambda p: p["surname"])
+        fx, fy = F.get(x, F.lit(0)), F.get(y, F.lit(0))
+        first = (
+            F.when(fx["surname"] == fy["surname"], F.when((initial(fx) != "") & (initial(fx) == initial(fy)), 1.0).otherwise(0.9))
+            .when(F.array_contains(sy, fx["surname"]) | F.array_contains(sx, fy["surname"]), 0.6)
+            .otherwise(0.0)
+        )
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), F.round(0.5 * first + 0.5 * jaccard(F.array_distinct(sx), F.array_distinct(sy)), 4))
+
+    # Each list is read once, however often it is used.
+    known = bound(author_list(a), lambda x: bound(author_list(b), lambda y: listed(x, y)))
+    said = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
     loose = F.round(token_set_ratio(F.lower(a), F.lower(b)) / 100, 4)
-    known = (F.size(x) > 0) & (F.size(y) > 0)
-    return F.when(known, F.round(0.5 * first + 0.5 * jaccard(F.array_distinct(sx), F.array_distinct(sy)), 4)).when((F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != ""), loose).otherwise(F.lit(0.0))
+    return F.coalesce(known, F.when(said, loose), F.lit(0.0))
 
 
 def first_page(pages: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import artifacts, fuzzy, identifiers
+from quillstone.functions.spread import spread
 from quillstone.operators import aggregates, filters, matching, paging, windows
 from quillstone.plans.registry import query
 from quillstone.plans.tables import table
@@ -302,7 +303,7 @@ def sc41(spark, sf):
     """Similarity of neighbouring customers' names, read as authors."""
     c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Customer"), (F.col("c_custkey") % 5).cast("string"), F.lit(", A."), F.when(F.col("c_custkey") % 2 == 0, "; Doe, J.").otherwise("")).alias("authors"))
     n = c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("authors").alias("other"))
-    return c.join(n, "c_custkey").select("c_custkey", fuzzy.author_similarity(F.col("authors"), F.col("other")).alias("similarity"))
+    return spread(c.join(n, "c_custkey")).select("c_custkey", fuzzy.author_similarity(F.col("authors"), F.col("other")).alias("similarity"))
 
 
 def _verified(spark, sf):
