@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import artifacts, citations, numbers, people, rules
+from quillstone.functions.spread import spread
 from quillstone.operators import clustering, jobs, matching
 from quillstone.plans.registry import query
 from quillstone.plans.tables import table
@@ -35,7 +36,9 @@ SELECT doc_id, len(r)::INTEGER AS n_references, md5(array_to_string(r, chr(10)))
 def tvf03(spark, sf):
     """The lines of every document, numbered and merged, cut into references again where they start like ones."""
     merged = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)), " ")
-    r = table(spark, sf, "documents").filter("text is not null").select("doc_id", citations.unmerged(merged).alias("r"))
+    r = spread(table(spark, sf, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", F.explode(F.array(merged)).alias("merged"))
+    # Arrays of one, exploded: what is in them is worked out once for each row.
+    r = r.select("doc_id", F.explode(F.array(citations.unmerged(F.col("merged")))).alias("r"))
     return r.select("doc_id", F.size("r").alias("n_references"), F.md5(F.array_join("r", "\n")).alias("entries_md5"))
 
 
