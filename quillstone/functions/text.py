@@ -142,3 +142,13 @@ def around(text: Column, start: Column, end: Column, window: int) -> Column:
 def bound(value: Column, use) -> Column:
     """What ``use`` makes of a value that is worked out once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def stretches(of: Column, ends: Column) -> Column:
+    """An array cut after each of some places, in order; what follows the last one is one more stretch."""
+
+    def parts(e: Column) -> Column:
+        starts = F.concat(F.array(F.lit(1)), F.transform(e, lambda i: i + 1))
+        return F.filter(F.zip_with(starts, F.concat(e, F.array(F.size(of))), lambda a, z: F.slice(of, a, F.greatest(z - a + 1, F.lit(0)))), lambda x: F.size(x) > 0)
+
+    return bound(ends, parts)

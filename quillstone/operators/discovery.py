@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import artifacts as kinds
 from quillstone.functions import identifiers
 from quillstone.functions.fuzzy import token_set_ratio
+from quillstone.functions.spread import spread
 from quillstone.functions.text import around, located
 from quillstone.operators.matching import associated
 
@@ -61,7 +62,7 @@ def links(papers: DataFrame) -> DataFrame:
     """One row per link of each paper's text: case_id, url, context, location, place (its start in the text)."""
     text = F.coalesce("text", F.lit(""))
     found = F.transform(located(text, URL), lambda m: F.struct(public_url(m["whole"]).alias("url"), around(text, m["start"], m["end"], CONTEXT).alias("context"), nearest_heading(F.substr(text, F.lit(1), m["start"])).alias("location"), m["start"].alias("place")))
-    return papers.select("case_id", F.explode(F.filter(found, lambda x: x["url"].isNotNull())).alias("x")).select("case_id", "x.*")
+    return spread(papers.select("case_id", "text")).select("case_id", F.explode(F.filter(found, lambda x: x["url"].isNotNull())).alias("x")).select("case_id", "x.*")
 
 
 def _key() -> Column:

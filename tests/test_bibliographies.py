@@ -123,3 +123,10 @@ def test_notes_and_superscripts(spark):
         ("NUMERIC_SUPERSCRIPT", "¹", [1]), ("NUMERIC_SUPERSCRIPT", "²", [2]), ("NUMERIC_SUPERSCRIPT", "³,⁴", [3, 4]),
         ("FOOTNOTE_NOTE", "[Footnote]", [1]), ("FOOTNOTE_NOTE", "[12]", [12]), ("NUMERIC_PARENTHETICAL", "(7)", [7]),
     ]
+
+
+def test_no_line_leaves_its_text(spark):
+    df = spark.range(3).selectExpr("id", "concat('Ricardo Lee. A study of it by\\nmany. In Proceedings 1, 199', id, '.') AS text")
+    for split_ in (b.author_date_references, b.manuscript_references):
+        plan = split_(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Exchange|Window|Join|Aggregate", plan), split_
