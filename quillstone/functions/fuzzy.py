@@ -7,7 +7,7 @@ pairs; everything around it is Column expressions.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,19 +91,43 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def title_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two titles from 0 to 1."""
-    x, y = title_form(a), title_form(b)
-    cx, cy = content_words(x), content_words(y)
+def _likeness(x: Column, y: Column, cx: Column, cy: Column) -> Column:
+    """Similarity of two title forms with their content words; the letters of equal forms are not compared."""
+    differ, words = (x != "") & (y != "") & (x != y), lambda c: F.array_join(F.array_sort(c), " ")
     shared = F.size(F.array_intersect(cx, cy)) > 0
-    sort = token_sort_ratio(F.array_join(F.array_sort(cx), " "), F.array_join(F.array_sort(cy), " ")) / 100
-    whole = token_set_ratio(x, y) / 100
+    sort = token_sort_ratio(F.when(differ, words(cx)), F.when(differ, words(cy))) / 100
+    whole = token_set_ratio(F.when(differ, x), F.when(differ, y)) / 100
     share = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
     contained = (F.length(x) > 15) & (F.length(y) > 15) & (x.contains(y) | y.contains(x)) & (share > 0.6)
     blend = F.when(shared, 0.35 * jaccard(cx, cy) + 0.35 * sort + 0.30 * whole).otherwise(0.40 * sort)
     return F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0)).when(contained, F.greatest(F.lit(0.9), F.round(share, 4))).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(blend, 4))))
 
 
+def title_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two titles from 0 to 1."""
+    x, y = title_form(a), title_form(b)
+    return _likeness(x, y, content_words(x), content_words(y))
+
+
+def with_title_similarity(df: DataFrame, a: Column, b: Column, score: str, least: float | None = None) -> DataFrame:
+    """``df`` with the similarity of two titles as the column ``score``, only the rows of at least ``least`` if that is given.
+
+    The titles' forms are worked out once for each row. Letters count for at most 0.65: where the words in common leave
+    ``least`` out of reach, and neither holds the other, letters are not compared.
+    """
+    # Arrays of one, exploded: what is in them is worked out once for each row, however often it is used.
+    rows = df.withColumns({"__x": title_form(a), "__y": title_form(b)})
+    rows = rows.withColumn("__w", F.explode(F.array(F.struct("__x", "__y")))).drop("__x", "__y")
+    x, y = F.col("__w.__x"), F.col("__w.__y")
+    rows = rows.withColumn("__c", F.explode(F.array(F.struct(content_words(x).alias("x"), content_words(y).alias("y")))))
+    cx, cy = F.col("__c.x"), F.col("__c.y")
+    if least is not None:
+        # A thousandth of room for what rounding adds.
+        rows = rows.filter(x.contains(y) | y.contains(x) | (0.35 * jaccard(cx, cy) + 0.65 >= least - 1e-3))
+    rows = rows.withColumn(score, _likeness(x, y, cx, cy)).drop("__w", "__c")
+    return rows if least is None else rows.filter(F.col(score) >= least)
+
+
 def author_similarity(a: Column, b: Column) -> Column:
     """Half the first author's match, half the surnames' overlap; a fuzzy ratio where no list can be read."""
     initial = lambda p: F.substring(p["initials"], 1, 1)

@@ -26,6 +26,8 @@ BLOCK, PAIRS = 512, 20_000
 LEAST, TOP = 55.0, 3
 #: A place is given up below the first, another is taken from the second on, titles are longer than the third.
 LOST, SURE, SHORT = 0.35, 0.70, 10
+#: Ground-truth rows of a document up to which an open title is compared with all of them.
+FEW = 64
 
 
 def score_block(a: list[str], b: list[str], least: float) -> Iterator[tuple[int, int, float]]:
@@ -138,20 +140,26 @@ def repaired_places(references: DataFrame, ground: DataFrame, doc: str) -> DataF
     the most similar of at least 0.70, where the document has several; without a row at the place the first of at
     least 0.70 is taken. Titles of ten characters or fewer stay. Returns doc, reference_no, ground_no and whether it was
     repaired. Numbers should be unique in a document. Only titles that share a word can be that similar, or one holds
-    the other: these are compared, for the references that their place does not settle.
+    the other: these are compared, for the references that their place does not settle. In a document of at most
+    ``FEW`` rows the open titles meet them all, so that no title is taken apart.
     """
     g = ground.select(F.col(doc).alias("d"), F.col("reference_no").alias("ground_no"), F.col("title").alias("g_title"))
     counts = g.groupBy("d").agg(F.count("*").alias("n"))
     r = references.select(F.col(doc).alias("d"), "reference_no", "title").join(g.withColumn("reference_no", F.col("ground_no")), ["d", "reference_no"], "left").join(counts, "d", "left")
     long, said = F.length(F.coalesce("title", F.lit(""))) > SHORT, F.coalesce("g_title", F.lit("")) != ""
     asked = F.when(long & F.col("ground_no").isNotNull() & said & (F.col("n") > 1), F.col("title"))
-    r = r.withColumn("here", fuzzy.title_similarity(asked, F.when(asked.isNotNull(), F.col("g_title"))))
+    r = fuzzy.with_title_similarity(r, asked, F.when(asked.isNotNull(), F.col("g_title")), "here")
     lost = long & (F.col("ground_no").isNull() | (asked.isNotNull() & (F.col("here") < LOST)))
-    open_ = r.filter(lost).select("d", "reference_no", "title", F.col("ground_no").isNotNull().alias("placed"))
-    a = open_.withColumn("form", title_form(F.col("title"))).select("d", "reference_no", "title", "placed", F.explode(_title_keys(F.col("form"))).alias("k"))
-    b = g.filter(F.coalesce("g_title", F.lit("")) != "").withColumn("form", title_form(F.col("g_title"))).select("d", "ground_no", "g_title", F.explode(_title_keys(F.col("form"))).alias("k"))
-    pairs = a.join(b, ["d", "k"]).select("d", "reference_no", "title", "placed", "ground_no", "g_title").distinct()
-    scored = pairs.withColumn("s", fuzzy.title_similarity(F.col("title"), F.col("g_title"))).filter(F.col("s") >= SURE)
+    few = F.coalesce("n", F.lit(0)) <= FEW
+    open_ = r.filter(lost).select("d", "reference_no", "title", F.col("ground_no").isNotNull().alias("placed"), few.alias("few"))
+    said = g.filter(F.coalesce("g_title", F.lit("")) != "")
+    # Of a document with few rows all are compared; words and letters find the pairs of the others.
+    near = open_.filter("few").drop("few").join(said, "d")
+    far = open_.filter("not few").drop("few")
+    a = far.withColumn("form", title_form(F.col("title"))).select("d", "reference_no", "title", "placed", F.explode(_title_keys(F.col("form"))).alias("k"))
+    b = said.join(counts.filter(F.col("n") > FEW).select("d"), "d", "left_semi").withColumn("form", title_form(F.col("g_title"))).select("d", "ground_no", "g_title", F.explode(_title_keys(F.col("form"))).alias("k"))
+    pairs = a.join(b, ["d", "k"]).select("d", "reference_no", "title", "placed", "ground_no", "g_title").distinct().unionByName(near)
+    scored = fuzzy.with_title_similarity(pairs, F.col("title"), F.col("g_title"), "s", SURE)
     best = scored.groupBy("d", "reference_no").agg(F.min_by("ground_no", F.when(F.col("placed"), F.struct((-F.col("s")).alias("s"), F.col("ground_no").alias("n"))).otherwise(F.struct(F.lit(0.0).alias("s"), F.col("ground_no").alias("n")))).alias("better"))
     out = r.join(best, ["d", "reference_no"], "left")
     return out.select(F.col("d").alias(doc), "reference_no", F.coalesce("better", "ground_no").alias("ground_no"), F.col("better").isNotNull().alias("repaired"))

@@ -81,3 +81,15 @@ def test_places_by_hand(spark):
     got = {(r.doc, r.reference_no): r.ground_no for r in out.collect()}
     assert got == by_hand(spark, refs, ground)
     assert got[90, 0] == 5 and got[91, 0] == 0 and got[92, 0] is None and out.filter("repaired").count() > 10
+
+
+def test_places_are_repaired_alike_with_few_rows_and_many(spark, monkeypatch):
+    titles = some_texts(40, 11, 2, 6)
+    refs = [(d, i + 1, titles[(7 * d + i) % 40]) for d in range(8) for i in range(6)]
+    ground = [(d, i + 1 + d % 2, titles[(7 * d + i) % 40].upper()) for d in range(8) for i in range(6)]
+    a, b = (spark.createDataFrame(x, "d int, reference_no int, title string") for x in (refs, ground))
+    found = []
+    for few in (0, s.FEW):
+        monkeypatch.setattr(s, "FEW", few)
+        found.append(sorted(map(tuple, s.repaired_places(a, b, "d").collect())))
+    assert found[0] == found[1] and any(r[3] for r in found[0])
