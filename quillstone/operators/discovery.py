@@ -15,6 +15,7 @@ from quillstone.functions import identifiers
 from quillstone.functions.fuzzy import token_set_ratio
 from quillstone.functions.spread import spread
 from quillstone.functions.text import around, located
+from quillstone.operators.case_graph import kept
 from quillstone.operators.matching import associated
 
 #: Links, also those that a line end cuts after a slash, and what does not end one.
@@ -62,7 +63,8 @@ def links(papers: DataFrame) -> DataFrame:
     """One row per link of each paper's text: case_id, url, context, location, place (its start in the text)."""
     text = F.coalesce("text", F.lit(""))
     found = F.transform(located(text, URL), lambda m: F.struct(public_url(m["whole"]).alias("url"), around(text, m["start"], m["end"], CONTEXT).alias("context"), nearest_heading(F.substr(text, F.lit(1), m["start"])).alias("location"), m["start"].alias("place")))
-    return spread(papers.select("case_id", "text")).select("case_id", F.explode(F.filter(found, lambda x: x["url"].isNotNull())).alias("x")).select("case_id", "x.*")
+    # The outer form: of an inner one the optimizer finds all links once more, to see whether there are any.
+    return spread(papers.select("case_id", "text")).select("case_id", F.explode_outer(F.filter(found, lambda x: x["url"].isNotNull())).alias("x")).filter("x is not null").select("case_id", "x.*")
 
 
 def _key() -> Column:
@@ -96,7 +98,8 @@ def discover(papers: DataFrame, experiments: DataFrame, repositories: DataFrame)
         "case_id", F.lit(0).alias("stage"), F.array(F.col("place").cast("long")).alias("at"), "experiment_id", "type", named.alias("name"), source.alias("source"), url.alias("source_url"), "repository",
         F.when(F.col("type") == "SUPPLEMENTARY", "SUPPLEMENTARY_LINK").otherwise("PAPER_URL").alias("discovery_method"), F.col("location").alias("evidence_location"), "context",
     )
-    linked = _kept_first(linked)
+    # Written once: links and what they say are read by several branches below, and so are the artifacts seen.
+    linked = kept(_kept_first(linked))
     known = repositories.select(F.col("canonical_url").alias("repository"), F.struct(*[c for c in repositories.columns]).alias("m"))
     titled = papers.select("case_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors"))
     code = linked.filter("type = 'CODE' and repository is not null").join(known, "repository", "left").join(titled, "case_id")
@@ -130,7 +133,7 @@ def discover(papers: DataFrame, experiments: DataFrame, repositories: DataFrame)
         F.lit("PUBLIC_REPOSITORY_LOOKUP").alias("discovery_method"), "evidence_location", F.when(verified, "VERIFIED").otherwise("PARTIAL").alias("relationship_status"), F.lit("FOUND").alias("availability_status"),
         F.when(verified, "HIGH").otherwise("MEDIUM").alias("confidence"), m["default_branch"].alias("version"), F.array(F.lit("File presence was inspected as metadata only; it was not downloaded or executed.")).alias("notes"),
     )
-    seen = code.drop("m").unionByName(others).unionByName(shown)
+    seen = kept(code.drop("m").unionByName(others).unionByName(shown))
 
     expects = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).alias("type"), F.col(c).alias("name"), F.lit(f"{t}_MENTION").alias("method")) for k, (t, c) in enumerate((("DATASET", "dataset"), ("MODEL", "model")))])
     expected = experiments.select("case_id", "experiment_id", "place", "evidence_locations", F.explode(expects).alias("x")).filter("coalesce(x.name, '') <> ''").select("case_id", "experiment_id", "place", "evidence_locations", "x.*")
@@ -145,9 +148,9 @@ def discover(papers: DataFrame, experiments: DataFrame, repositories: DataFrame)
         "case_id", F.lit(3).alias("stage"), F.array("k").alias("at"), none.alias("experiment_id"), "type", none.alias("name"), none.alias("source"), none.alias("source_url"), none.alias("repository"), F.lit("PAPER_TEXT").alias("discovery_method"), none.alias("evidence_location"),
         F.lit("PARTIAL").alias("relationship_status"), F.lit("MISSING").alias("availability_status"), F.lit("MEDIUM").alias("confidence"), none.alias("version"), F.array("note").alias("notes"),
     )
-    kept = _kept_first(seen.unionByName(expected).unionByName(mentioned))
+    first = _kept_first(seen.unionByName(expected).unionByName(mentioned))
     number = F.row_number().over(Window.partitionBy("case_id").orderBy("stage", "at", "type"))
-    return kept.select("case_id", F.format_string("ART-%03d", number).alias("artifact_id"), *CANDIDATE)
+    return first.select("case_id", F.format_string("ART-%03d", number).alias("artifact_id"), *CANDIDATE)
 
 
 #: Repository files by name, extension and the words of their paths, in order.

@@ -124,3 +124,13 @@ def test_doubt_and_missing_repositories(spark):
     search = [("E", "Neural architecture search on GLUE", "GLUE", "Net", None)]
     files, _ = mapped(spark, search, ["glue_train.py", "nas_glue.py"], readme=None)
     assert (files["E"]["glue_train.py"].relevance_status, files["E"]["nas_glue.py"].relevance_status) == ("POSSIBLY_RELEVANT", "RELEVANT")
+
+
+def test_links_are_found_once(spark):
+    from quillstone.operators import discovery
+
+    papers = spark.createDataFrame([("c", "see https://x.org/a, and more"), ("n", None)], "case_id string, text string").repartition(2)
+    found = discovery.links(papers)
+    # No filter that finds all links beforehand, to see whether there are any.
+    assert "(size(filter(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.case_id, r.url) for r in found.collect()] == [("c", "https://x.org/a")]
