@@ -137,13 +137,20 @@ def unmerged(part: Column) -> Column:
     Bracketed numbers go before dotted ones; pieces of 15 characters or fewer are no references. Digits that were
     drawn apart within brackets are joined first. A part without merged references stays whole, null gives none.
     """
-    t = F.regexp_replace(F.coalesce(part, F.lit("")), r"(?<=\[[\d\s]{0,40})\s+(?=[\d\s]*\])", "")
-    out = None
-    for start in MERGED:
-        pieces = F.filter(F.transform(F.split(F.regexp_replace(t, start, "\u0001"), "\u0001"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: F.length(p) > 15)
-        found = F.regexp_count(t, F.lit(start)) >= 2
-        out = F.when(found, pieces) if out is None else out.when(found, pieces)
-    return out.otherwise(F.filter(F.array(t), lambda p: p != ""))
+
+    def cut(t: Column) -> Column:
+        out = None
+        # Two numbers need two brackets, or a digit with a full stop and a blank twice: most parts have neither.
+        twice = (F.length(F.substring_index(t, "[", 2)) < F.length(t), t.rlike(r"(?s)\d\.\s.*\d\.\s"))
+        for likely, start in zip(twice, MERGED, strict=True):
+            pieces = F.filter(F.transform(F.split(F.regexp_replace(t, start, "\u0001"), "\u0001"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: F.length(p) > 15)
+            found = likely & (F.regexp_count(t, F.lit(start)) >= 2)
+            out = F.when(found, pieces) if out is None else out.when(found, pieces)
+        return out.otherwise(F.filter(F.array(t), lambda p: p != ""))
+
+    whole = F.coalesce(part, F.lit(""))
+    # The look ahead comes first: it fails at once at most places, where the look behind tries forty lengths.
+    return bound(F.when(whole.contains("["), F.regexp_replace(whole, r"(?=\s[\d\s]*\])(?<=\[[\d\s]{0,40})\s+(?=[\d\s]*\])", "")).otherwise(whole), cut)
 
 
 #: A key of letters and two digits in brackets, and a bracketed number at a reference's start.

@@ -25,7 +25,7 @@ def _lines(spark, sf) -> DataFrame:
 
 def _texts(lines: DataFrame, entry, between) -> DataFrame:
     """One text per order of its lines' entries, an entry being made of the line's place and columns."""
-    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "p_name", "yr", "surname")))
+    listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "p_name", "yr", "surname")))
     orders = lines.groupBy("l_orderkey").agg(listed.alias("of"))
     return orders.select("l_orderkey", F.array_join(F.transform("of", lambda x, i: F.concat(entry(x, i + 1), F.when(i + 1 < F.size("of"), between).otherwise(""))), "").alias("text"))
 

@@ -2,8 +2,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.functions import bibliographies as b
+from quillstone.functions.citations import unmerged
 
 
 def split(spark, *texts, by=b.author_date_references):
@@ -130,3 +132,25 @@ def test_no_line_leaves_its_text(spark):
     for split_ in (b.author_date_references, b.manuscript_references):
         plan = split_(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Exchange|Window|Join|Aggregate", plan), split_
+
+
+def test_each_text_is_read_once(spark):
+    # A reading that names what it made more than once does not make it again: patterns stand in the plan once for each place that reads them.
+    df = spark.createDataFrame([(1, "x")], "k long, t string")
+    plan = b.manuscript_references(df, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (b.COMPLETE, b.ONE_AUTHOR, b.STRATEGIES[0][2]):
+        assert plan.count(pattern) == 1
+    plan = df.select(unmerged(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?<=\[[\d\s]{0,40})") == 1
+
+
+def test_ends_of_lines_tell_as_whole_lines_do(spark):
+    ends = ["2004.", "12004a.", "x 1999b. ", "see a.", "A.", "ba.", "123456789.", "3.", "12.", "http://arxiv.org/abs/1 2.", "doi.org/10.1/x", "doi.org/", "page.html", ".htm", "99999", "1234", "end)", "end”", "…", "é2001.", "𝟐𝟎𝟎𝟏."]
+    lines = [(start + e).strip() for start in ("", "A long line of words that goes before it ", "https://doi.org/10.1000/", "word") for e in ends]
+    whole = b.COMPLETE + "|" + b.COMPLETE_LINK.replace("(?iU)", "(?iU:") + ")"
+    line, tail = F.col("line"), b._tail(F.col("line"))
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(
+        line, (line.rlike(whole) == (tail.rlike(b.COMPLETE) | (line.contains("/") & line.rlike(b.COMPLETE_LINK)))).alias("complete"), (line.rlike(b.ENDED) == tail.rlike(b.ENDED)).alias("ended"), (line.rlike(b.NUMBER_AT_END) == tail.rlike(b.NUMBER_AT_END)).alias("number")
+    )
+    assert rows.filter("not (complete and ended and number)").collect() == []
+    assert rows.count() == len(lines)
